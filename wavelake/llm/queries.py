@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import media, mixing, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.query,
+    "op5_media_columns": media.query,
+    "op10_mixing": mixing.query,
 }
 
 ORACLES = {"op3_url_filter": url_filter.oracle()}
