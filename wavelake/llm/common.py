@@ -185,13 +185,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hooked = materialise(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("up")).select("node", F.least("node", "up").alias("up")), f"cc-hook{k}")
         for j in range(2):
             higher = hooked.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
-            step = hooked.join(higher.where("n2 <> up2"), F.col("up") == F.col("n2"), "left").select("node", F.coalesce("up2", "up").alias("up"))
+            step = hooked.join(higher.where("n2 <> up2").hint("merge"), F.col("up") == F.col("n2"), "left").select("node", F.coalesce("up2", "up").alias("up"))
             nxt = materialise(step, f"cc-jump{k}.{j}")
             drop_table(hooked)
             hooked = nxt
         a = hooked.select(F.col("node").alias("src"), F.col("up").alias("u1"))
         b = hooked.select(F.col("node").alias("dst"), F.col("up").alias("u2"))
-        moved = live.join(a, "src").join(b, "dst").where("u1 <> u2")
+        moved = live.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("u1 <> u2")
         nxt = materialise(moved.select(F.greatest("u1", "u2").alias("src"), F.least("u1", "u2").alias("dst")).distinct(), f"cc-edges{k}")
         if k:
             drop_table(e)
@@ -205,6 +205,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     out = nodes.select("node", F.col("node").alias("component"))
     for k, m in enumerate(maps):
         m = m.select(F.col("node").alias("n2"), "up")
-        out = out.join(m, F.col("component") == F.col("n2"), "left").select("node", F.coalesce("up", "component").alias("component"))
+        out = out.join(m.hint("merge"), F.col("component") == F.col("n2"), "left").select("node", F.coalesce("up", "component").alias("component"))
         out = materialise(out, f"cc-map{k}")
     return out

@@ -82,7 +82,7 @@ def laid_out(docs: DataFrame, block_words: int) -> DataFrame:
     before = Window.partitionBy("src").orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = materialise(sums.select("src", "lot", (F.sum("lot_size").over(before) - F.col("lot_size")).alias("lot_at")), "mix-lots")
     placed = rows.withColumn("in_lot", F.sum("size").over(within) - F.col("size"))
-    return placed.join(starts, ["src", "lot"]).select("doc_id", "tag", "src", "size", (F.col("lot_at") + F.col("in_lot")).alias("at"))
+    return placed.join(starts.hint("merge"), ["src", "lot"]).select("doc_id", "tag", "src", "size", (F.col("lot_at") + F.col("in_lot")).alias("at"))
 
 
 def mixed_blocks(spark: SparkSession, sources: list[tuple[int, int, float]], seed: int, block_words: int, shard_slots: int, most: int = MOST) -> DataFrame:
@@ -115,13 +115,15 @@ def mixed_blocks(spark: SparkSession, sources: list[tuple[int, int, float]], see
 
     def slots(batches):
         for pdf in batches:
-            for src, first, n in zip(pdf["src"], pdf["first"], pdf["n"], strict=True):
-                of = limits[src]
-                j = np.arange(first, min(first + n, most * of), dtype=np.int64)
-                key = mix64(np.uint64(seed) + mix64(np.uint64(src) * np.uint64(1 << 32) + (j // of).astype(np.uint64)))
-                yield pd.DataFrame({"src": src, "block": permuted(j % of, np.full(len(j), of), key)})
-
-    dealt = counts.repartition("shard", "src").mapInPandas(slots, "src long, block long")
+            of = pdf["src"].map(limits).to_numpy(np.int64)
+            first = pdf["first"].to_numpy(np.int64)
+            n = np.clip(most * of - first, 0, pdf["n"].to_numpy(np.int64))
+            src, of = np.repeat(pdf["src"].to_numpy(np.int64), n), np.repeat(of, n)
+            j = np.arange(len(src)) - np.repeat(np.cumsum(n) - n - first, n)
+            key = mix64(np.uint64(seed) + mix64(src.astype(np.uint64) * np.uint64(1 << 32) + (j // of).astype(np.uint64)))
+            yield pd.DataFrame({"src": src, "block": permuted(j % of, of, key)})
+
+    dealt = counts.repartition(shuffle_partitions(spark), "shard", "src").mapInPandas(slots, "src long, block long")
     return dealt.groupBy("src", "block").agg(F.count("*").alias("uses"))
 
 
@@ -148,10 +150,10 @@ def mix(docs: DataFrame, seed: int = 20240, block_words: int = BLOCK_WORDS, shar
     uses = mixed_blocks(spark, live, seed, block_words, shard_slots)
     lo = F.greatest(F.col("block") * block_words, F.col("at")) - F.col("at")
     hi = F.least((F.col("block") + 1) * block_words, F.col("at") + F.col("size")) - F.col("at")
-    pieces = over.join(uses, ["src", "block"]).select("doc_id", "tag", "size", lo.alias("lo"), hi.alias("hi"), "uses")
+    pieces = over.join(uses.hint("merge"), ["src", "block"]).select("doc_id", "tag", "size", lo.alias("lo"), hi.alias("hi"), "uses")
     pieces = materialise(pieces, "mix-pieces")
     taken = pieces.groupBy("doc_id", "tag").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("uses")).alias("taken"))
-    out = known.join(taken, known.doc_id.eqNullSafe(taken.doc_id) & (known.tag == taken.tag), "left")
+    out = known.join(taken.hint("merge"), known.doc_id.eqNullSafe(taken.doc_id) & (known.tag == taken.tag), "left")
     return out.select(known.doc_id, "tag0", known.tag, known["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), pieces
 
 
@@ -171,7 +173,7 @@ def mixed_documents(docs: DataFrame, seed: int = 20240) -> DataFrame:
         alike = Window.partitionBy("doc_id", "_k").orderBy("_n")
         tagged = tagged.withColumn("_tag", F.xxhash64("_k", F.row_number().over(alike)))
     used = pieces.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "uses"))).alias("_p"))
-    joined = tagged.join(used, tagged.doc_id.eqNullSafe(used._id) & (tagged._tag == used._t)).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_p", lambda p: p["uses"])).cast("int"))))
+    joined = tagged.join(used.hint("merge"), tagged.doc_id.eqNullSafe(used._id) & (tagged._tag == used._t)).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_p", lambda p: p["uses"])).cast("int"))))
     joined = joined.withColumn("_p", F.filter("_p", lambda p: p["uses"] >= F.col("_pass")))
     whole = F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["hi"] - p["lo"]) == F.col("_size")
     part = cut_words(F.when(~whole, F.col("text")), F.when(~whole, F.col("_p.lo")), F.when(~whole, F.col("_p.hi")))

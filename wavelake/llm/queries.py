@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import media, mixing, url_filter
+from . import langid, media, mixing, simhash, tokens, url_filter
 
 QUERIES = {
+    "op2_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
+    "op4_language_id": langid.query,
     "op5_media_columns": media.query,
+    "op6_token_files": tokens.query_token_files,
+    "op9_separator_scan": tokens.query_separator_scan,
     "op10_mixing": mixing.query,
 }
 

@@ -85,8 +85,8 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     # what rules say of a url, also of urls that are only link targets
     said = groups.select("component", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"].alias("v")).where("v is not null")
     verdicts = said.groupBy("component").agg(F.min("v").alias("group_verdict"))  # allow before block
-    aliases = materialise(groups.join(verdicts, "component", "left").select("node", "component", F.coalesce("group_verdict", F.lit("allow")).alias("group_verdict")), "url-aliases")
-    out = base.drop("links").join(aliases, base.url == aliases.node, "left")
+    aliases = materialise(groups.join(verdicts.hint("merge"), "component", "left").select("node", "component", F.coalesce("group_verdict", F.lit("allow")).alias("group_verdict")), "url-aliases")
+    out = base.drop("links").join(aliases.hint("merge"), base.url == aliases.node, "left")
     return out.select("page_id", "url", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "group_verdict", F.lit("allow")).alias("verdict"), "component")
 
 
