@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, simhash, tokens, url_filter
+from . import langid, media, mixing, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
     "op2_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": langid.query,
     "op5_media_columns": media.query,
     "op6_token_files": tokens.query_token_files,
+    "op8_toxicity": toxicity.query,
     "op9_separator_scan": tokens.query_separator_scan,
     "op10_mixing": mixing.query,
 }
