@@ -30,7 +30,7 @@ from .common import Words, blocks, held_out, mix64, table, text_bytes
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED = 8, 8
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 16
-PER_CLASS = 1500
+PER_CLASS = 2500
 THRESHOLD = 0.3
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -38,7 +38,6 @@ for _a, _z in ((48, 58), (97, 123), (128, 256)):
     _PLAIN[_a:_z] = np.arange(_a, _z)
 _PLAIN[65:91] = np.arange(97, 123)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 # --- inputs -------------------------------------------------------------------------------------------------------
@@ -237,10 +236,11 @@ def _log_odds(rows: np.ndarray, of: np.ndarray, toxic: np.ndarray, size: int) ->
     hit = np.bincount(row, toxic[doc], size)
     n = np.bincount(row, minlength=size)
     base = max(toxic.mean(), 1e-3)
-    return np.clip(np.log((hit + base) / (n - hit + 1 - base)) - np.log(base / (1 - base)), -3, 3).astype(np.float32)
+    few = 3.0  # meetings that a row without any counts as
+    return np.clip(np.log((hit + few * base) / (n - hit + few * (1 - base))) - np.log(base / (1 - base)), -3, 3).astype(np.float32)
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, prior: float = 0.5, rounds: int = 6, batch: int = 512, rate: float = 0.01, seed: int = 7) -> Network:
+def fit(texts: list[bytes], toxic: np.ndarray, prior: float = 0.5, rounds: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
     """A network for texts with labels; the last quarter of each class is only used to calibrate, for a share `prior`
     of toxic documents."""
     net, g = Network(seed), np.random.default_rng(seed)
@@ -275,7 +275,8 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float = 0.5, rounds: int =
         pick = np.concatenate([hot, clean])
         label = np.concatenate([np.ones(len(hot)), np.zeros(len(clean))])
         share = np.where(label == 1, len(pick) / (2 * max(1, len(hot))), len(pick) / (2 * max(1, len(clean))))
-        order = g.permutation(len(pick))
+        passes = -(-15 * batch // max(1, len(pick)))  # 15 steps at least
+        order = np.concatenate([g.permutation(len(pick)) for _ in range(passes)])
         for lo in range(0, len(order), batch):
             j = order[lo : lo + batch]
             ids = x.window_ids(start[pick[j]], text[pick[j]])
