@@ -3,12 +3,12 @@
 Words are runs of letters and digits, lower-cased. Only words that occur in the benchmark can matter, so each document
 becomes the sequence of its benchmark terms (-1 elsewhere). Passages are windows of 32 words that overlap by half, TF-IDF
 weighted by their frequency over all passages (terms in over `common` of the passages weigh nothing). A distributed
-randomised SVD of the passage matrix A gives the latent space: each partition adds its part of A'(A M), first for a
-random M, then for the orthonormal basis of the sum, and the eigenvectors of the small projected matrix are the terms'
-directions. Passages whose cosine to a window of an item is at least `cosine` are candidates. A candidate is verified on
-the words around it: the longest common subsequence with the whole item must be at least `lcs` of the item, or at least
-`paraphrase` of it if the item's answer (its last quarter) is found too, in that order and nearly whole. Items of under
-eight words must occur as they are.
+randomised SVD of the passage matrix A gives the latent space in one pass: each partition adds its part of A'(A M) for a
+random M, and the singular vectors of the sum, made whole by the small matrix M'A'A M, are the terms' directions.
+Passages whose cosine to a window of an item is at least `cosine` are candidates. A candidate must have words that make
+up `overlap` of the weight of the item's window, and is then verified on the words around it: the longest common
+subsequence with the whole item must be at least `lcs` of the item, or at least `paraphrase` of it if the item's answer
+(its last quarter) is found too, in that order and nearly whole. Items of under eight words must occur as they are.
 
 Each slice of about SLICE_BYTES of benchmark text is one run of this, so what is sent to the executors is bounded
 whatever the benchmark's size.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Words, blocks, materialise, shuffle_partitions, table, text_bytes
 
 HALF = 16
-RANK, MORE = 48, 12
-SLICE_BYTES = 1 << 20
+RANK, MORE = 96, 16
+SLICE_BYTES = 1 << 18
 
 _PLAIN = np.full(256, 32, np.uint8)
 for _a, _z in ((48, 58), (97, 123), (128, 256)):
@@ -103,13 +103,17 @@ class Passages:
         return tile, tile[self.at]
 
     def sums(self, vectors: np.ndarray) -> np.ndarray:
-        """Sum of the vectors of each half-window's words."""
-        out = np.zeros((len(self.doc), vectors.shape[1]), np.float32)
-        step = 1 << 18
-        for lo in range(0, len(self.at), step):
-            at = self.at[lo : lo + step]
-            cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            out[at[cut]] += np.add.reduceat(vectors[self.term[lo : lo + step]], cut, axis=0)
+        """Sum of the vectors of each half-window's words: the first word of all, then the second, and so on."""
+        n = len(self.doc)
+        count = np.bincount(self.at, minlength=n)
+        order = np.argsort(-count, kind="stable")
+        count, start = count[order], (np.cumsum(count) - count)[order]
+        total = np.zeros((n, vectors.shape[1]), np.float32)
+        for j in range(int(count[0]) if n else 0):
+            some = int(np.searchsorted(-count, -j, side="left"))
+            total[:some] += vectors[self.term[start[:some] + j]]
+        out = np.empty_like(total)
+        out[order] = total
         return out
 
 
@@ -157,18 +161,19 @@ def _summed(seqs: DataFrame, size: int, width: int, add) -> np.ndarray:
         for block in blocks(batches, "seq", 4 << 20):
             total += add(*_sequences(block))
         for c, lo in enumerate(range(0, size, chunk)):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total[lo : lo + chunk].tobytes()], pa.binary())], names=["chunk", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total[lo : lo + chunk].astype(np.float32).tobytes()], pa.binary())], names=["chunk", "part"])
 
     def added(parts):
         total = None
         for p in parts["part"]:
-            v = np.frombuffer(p, np.float64)
-            total = v.copy() if total is None else total + v
+            v = np.frombuffer(p, np.float32)
+            total = v.astype(np.float64) if total is None else total + v
         parts = parts.iloc[:1].copy()
-        parts["part"] = [total.tobytes()]
+        parts["part"] = [total.astype(np.float32).tobytes()]
         return parts
 
-    few = seqs.select("seq").mapInArrow(rows, "chunk int, part binary")
+    tasks = 3 * seqs.sparkSession.sparkContext.defaultParallelism
+    few = seqs.select("seq").coalesce(tasks).mapInArrow(rows, "chunk int, part binary")
     # two steps, so that no task adds up the sums of all partitions
     lots = max(1, int(shuffle_partitions(seqs.sparkSession) ** 0.5))
     few = few.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(lots)))
@@ -176,7 +181,7 @@ def _summed(seqs: DataFrame, size: int, width: int, add) -> np.ndarray:
     found = half.groupBy("chunk").applyInPandas(added, "chunk int, part binary").collect()
     out = np.zeros((size, width))
     for r in found:
-        v = np.frombuffer(r["part"], np.float64).reshape(-1, width)
+        v = np.frombuffer(r["part"], np.float32).reshape(-1, width)
         out[r["chunk"] * chunk : r["chunk"] * chunk + len(v)] = v
     return out
 
@@ -220,17 +225,21 @@ def latent_space(seqs: DataFrame, weight: np.ndarray, rank: int = RANK, more: in
             step = 1 << 18
             for lo in range(0, len(order), step):
                 j = order[lo : lo + step]
-                t = p.term[j]
+                t, part = p.term[j], y[of[j]]
                 cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                out[t[cut]] += np.add.reduceat(y[of[j]], cut, axis=0)
+                for a, z in zip(cut.tolist(), np.append(cut[1:], len(t)).tolist(), strict=True):
+                    out[t[a]] += part[a:z].sum(0)
             return out * weight[:, None]
 
         return _summed(seqs, terms, m.shape[1], add)
 
-    q, _ = np.linalg.qr(gram_times(np.random.default_rng(seed).standard_normal((terms, width))))
-    small = q.T @ gram_times(q)
-    value, vector = np.linalg.eigh((small + small.T) / 2)
-    return ((q @ vector[:, np.argsort(-value)[:rank]]) * weight[:, None]).astype(np.float32)
+    random = np.random.default_rng(seed).standard_normal((terms, width))
+    image = gram_times(random)
+    image += (shift := 1e-6 * max(float(np.linalg.norm(image)), 1e-12)) * random  # keeps the small matrix positive
+    small = random.T @ image
+    root = np.linalg.cholesky((small + small.T) / 2 + shift * np.eye(width))
+    basis, _, _ = np.linalg.svd(np.linalg.solve(root, image.T).T, full_matrices=False)
+    return (basis[:, :rank] * weight[:, None]).astype(np.float32)
 
 
 # --- search and verification --------------------------------------------------------------------------------------
@@ -252,7 +261,8 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.6
+    cosine: float = 0.35
+    overlap: float = 0.35
     lcs: float = 0.8
     paraphrase: float = 0.6
     answer: float = 0.8
@@ -285,10 +295,15 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
     # an item whose words are all too common for the latent space is looked for by its words alone
     blind = [i for i in range(len(items.words)) if len(items.words[i]) and not (size[of == i] > 0).any()]
     q = q / np.maximum(size, 1e-9)[:, None]
-    known = docs.sparkSession.sparkContext.broadcast((items.words, of, q, vectors, weight, blind))  # of one slice
+    plain = np.append(weight, np.float32(0))
+    share = np.zeros((len(windows), len(plain)), np.float16)  # weight of each term in a window, as a part of the whole
+    for row, w in zip(share, windows, strict=True):
+        w = np.unique(w)
+        row[w] = plain[w] / max(float(plain[w].sum()), 1e-9)
+    known = docs.sparkSession.sparkContext.broadcast((items.words, of, q, vectors, weight, blind, share))  # of one slice
 
     def rows(batches):
-        words, of, q, vectors, weight, blind = known.value
+        words, of, q, vectors, weight, blind, share = known.value
         lengths = np.array([len(w) for w in words])
         for block in blocks(batches, "seq", 4 << 20):
             seq, first = _sequences(block)
@@ -305,15 +320,22 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
                 d, n = int(p.doc[h]), int(lengths[i])
                 at = int(p.nth[h]) * HALF
                 region = seq[first[d] + max(0, at - n) : min(first[d + 1], first[d] + at + 2 * HALF + n)]
-                hit, share, answered = verified(words[i], region, limits)
-                if hit and share > best.get((d, i), (-1.0,))[0]:
-                    best[d, i] = (share, max(c, best.get((d, i), (0, 0.0))[1]), answered, at)
+                hit, part, answered = verified(words[i], region, limits)
+                if hit and part > best.get((d, i), (-1.0,))[0]:
+                    best[d, i] = (part, max(c, best.get((d, i), (0, 0.0))[1]), answered, at)
 
             step = 4096
             for lo in range(0, len(live), step):
                 h = live[lo : lo + step]
                 c = (x[h] / norm[h, None]) @ q.T
                 a, b = np.nonzero(c >= limits.cosine)
+                if len(a):
+                    pos = first[p.doc[h]][:, None] + p.nth[h][:, None] * HALF + np.arange(2 * HALF)
+                    near = np.where(pos < first[p.doc[h] + 1][:, None], seq[np.minimum(pos, len(seq) - 1)], -1)
+                    near = np.sort(near, axis=1)
+                    near[:, 1:][near[:, 1:] == near[:, :-1]] = -1  # each term once
+                    part = np.concatenate([share[b[i : i + 50_000, None], near[a[i : i + 50_000]]].sum(1, dtype=np.float32) for i in range(0, len(a), 50_000)])
+                    a, b = a[part >= limits.overlap], b[part >= limits.overlap]
                 if len(a):
                     # each candidate item once for a passage
                     key, where = np.unique(h[a] * len(words) + of[b], return_index=True)

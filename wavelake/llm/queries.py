@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, simhash, tokens, toxicity, url_filter
+from . import decontaminate, langid, lmscore, media, mixing, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
+    "op1_lm_scores": lmscore.query,
     "op2_simhash": simhash.query,
     "op3_url_filter": url_filter.query,
     "op4_language_id": langid.query,
     "op5_media_columns": media.query,
     "op6_token_files": tokens.query_token_files,
+    "op7_decontamination": decontaminate.query,
     "op8_toxicity": toxicity.query,
     "op9_separator_scan": tokens.query_separator_scan,
     "op10_mixing": mixing.query,
