@@ -291,9 +291,9 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 # --- flat files ---------------------------------------------------------------------------------------------------
 
 
-def write_flat_files(docs: DataFrame, path: str, vocabulary: str, end: int = END, tokens: int = FLAT_TOKENS, width: int = 2) -> None:
-    """The ids of `docs` in ascending order as blocks of `tokens` ids of `width` bytes (part, block, ids) without any
-    index; the last block of a part is shorter."""
+def write_flat_files(docs: DataFrame, path: str, vocabulary: str, end: int = END, tokens: int = FLAT_TOKENS, width: int = 2, ordered: bool = False) -> None:
+    """The ids of `docs` as blocks of `tokens` ids of `width` bytes (part, block, ids) without any index; the last block
+    of a part is shorter. Documents lie in the order of the partitions, or of their ids, which costs a shuffle."""
 
     def rows(batches):
         from pyspark import TaskContext
@@ -311,7 +311,8 @@ def write_flat_files(docs: DataFrame, path: str, vocabulary: str, end: int = END
         if len(rest):
             yield _flat(part, k, [rest])
 
-    in_order(docs, shuffle_partitions(docs.sparkSession)).mapInArrow(rows, "part int, block int, ids binary").write.option("compression", "zstd").parquet(path)
+    texts = in_order(docs, shuffle_partitions(docs.sparkSession)) if ordered else docs
+    texts.select("text").mapInArrow(rows, "part int, block int, ids binary").write.option("compression", "zstd").parquet(path)
 
 
 def _flat(part: int, k: int, parts: list[np.ndarray]) -> pa.RecordBatch:
