@@ -66,7 +66,7 @@ def codewords(n: int) -> np.ndarray:
     while len(h) < n + 1:
         h = np.block([[h, h], [h, -h]])
     rows = h[1 : n + 1, 1:]
-    return rows[:, np.abs(rows.sum(1 - 1)) < n]
+    return rows[:, np.abs(rows.sum(0)) < n]
 
 
 def fit(x: np.ndarray, label: np.ndarray, codes: np.ndarray, rounds: int = 120, rate: float = 40.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,9 +91,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE):
     names = sorted(counts)
     if not names:
         return [], np.zeros((0, 0), np.float32), None, None, None
-    spark = docs.sparkSession
-    lots = spark.createDataFrame([(x, min(1.0, per_language / counts[x])) for x in names], "lang string, share double")
-    chosen = rows.join(lots, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    share = F.create_map(*(F.lit(v) for x in names for v in (x, min(1.0, per_language / counts[x]))))[F.col("lang")]
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
 
     def rows_of(batches):
         for block in blocks(batches, limit=1 << 20):
