@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, connected_components, materialise, table, text_bytes
+from .common import Words, blocks, connected_components, materialise, mix64, shuffle_partitions, table, text_bytes
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -37,29 +37,32 @@ GENERATOR = 0b110001110101
 # --- fingerprints -------------------------------------------------------------------------------------------------
 
 
+def _shingle_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, width: int):
+    """(text number, unsigned hash) of each shingle, in pieces of bounded size; first: as in Words."""
+    n_words = np.diff(first)
+    n_shingles = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
+    ends_at = np.cumsum(n_shingles)
+    digest, step = xxhash.xxh64_intdigest, 1 << 17
+    for lo in range(0, int(ends_at[-1]) if len(ends_at) else 0, step):
+        at = np.arange(lo, min(lo + step, int(ends_at[-1])))
+        doc = np.searchsorted(ends_at, at, side="right")
+        k = first[:-1][doc] + at - (ends_at - n_shingles)[doc]
+        last = np.minimum(k + width, first[1:][doc]) - 1
+        spans = zip(starts[k].tolist(), ends[last].tolist(), strict=True)
+        yield doc, np.fromiter([digest(text[i:j], SEED) for i, j in spans], np.uint64, len(at))
+
+
 def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """One unsigned 64-bit fingerprint for each text."""
     words = Words(data, offsets)
-    text, starts, ends = words.joined()
-    n_words = np.diff(words.first)
-    n_shingles = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
-    doc = np.repeat(np.arange(len(n_words)), n_shingles)
-    first = np.cumsum(n_shingles) - n_shingles
-    k = words.first[:-1][doc] + np.arange(len(doc)) - first[doc]
-    last = np.minimum(k + width, words.first[1:][doc]) - 1
-    out = np.zeros(len(n_words), np.uint64)
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros((len(n_words), 64), np.int64)
-    a, z = starts[k].tolist(), ends[last].tolist()
-    step = 1 << 17
-    for lo in range(0, len(doc), step):
-        hi = min(lo + step, len(doc))
-        h = np.fromiter([digest(text[i:j], SEED) for i, j in zip(a[lo:hi], z[lo:hi], strict=True)], np.uint64, hi - lo)
+    n = len(offsets) - 1
+    ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+    for doc, h in _shingle_hashes(*words.joined(), words.first, width):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        cut = np.flatnonzero(np.append(True, doc[lo + 1 : hi] != doc[lo : hi - 1]))
-        ones[doc[lo:hi][cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
-    majority = 2 * ones > n_shingles[:, None]
-    return np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel() if len(out) else out
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        ones[doc[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+        total[doc[cut]] += np.diff(np.append(cut, len(doc)))
+    return np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -78,8 +81,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 @cache
 def golay() -> tuple[np.ndarray, np.ndarray]:
-    """(syndrome of each 23-bit word's low part is not stored) codewords by index, and for each of the 2048 syndromes
-    the lowest-weight error pattern, by the generator polynomial."""
+    """(codewords by index, for each of the 2048 syndromes its error pattern of weight three or less)."""
     index = np.arange(4096, dtype=np.int64)
     words = np.zeros(4096, np.int64)
     for b in range(12):
@@ -190,10 +192,184 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
-    """`docs` without all but one document of each near-duplicate group: the one of the smallest id stays.
+# --- groups by similarity -----------------------------------------------------------------------------------------
+#
+# Texts of a similarity of 0.8 differ in about a seventh of their fingerprint bits, far more than two. For these each
+# shingle is dealt to one of TABLES fingerprints, and each fingerprint gives the pairs of nearby codeword indices of its
+# first two segments (28 keys or so): two fingerprints meet if their segments share a codeword within distance 4 each.
+
+TABLES = 10
+_WIDE = 8 * TABLES
+
+
+def _wide_marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the words, TABLES fingerprints) of each text."""
+    words = Words(data, offsets)
+    text, starts, ends = words.joined()
+    n = np.diff(words.first)
+    spans = zip(np.append(starts, len(text))[words.first[:-1]].tolist(), np.where(n > 0, np.append(ends, 0)[words.first[1:] - 1], 0).tolist(), n.tolist(), strict=True)
+    whole = np.fromiter([xxhash.xxh64_intdigest(text[a:z] if k else b"", SEED) for a, z, k in spans], np.uint64, len(n))
+    ones = np.zeros((len(n) * TABLES, 64), np.int64)
+    total = np.zeros(len(n) * TABLES, np.int64)
+    for doc, h in _shingle_hashes(text, starts, ends, words.first, width):
+        row = doc * TABLES + (mix64(h) % np.uint64(TABLES)).astype(np.int64)
+        by = np.argsort(row, kind="stable")
+        row = row[by]
+        bits = np.unpackbits(h[by].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        ones[row[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+        total[row[cut]] += np.diff(np.append(cut, len(row)))
+    fp = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view(np.uint64).reshape(len(n), TABLES)
+    return whole, fp
+
+
+def wide_marks(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, tag, words long, wide binary) of each row; tag: hash of the text."""
+
+    def rows(batches):
+        for block in blocks(batches, limit=8 << 20):
+            whole, fp = _wide_marks(*text_bytes(block), width)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("tag").combine_chunks(), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "tag", "words", "wide"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(rows, "doc_id long, tag long, words long, wide binary")
+
 
-    Groups are the components of SimHash links on `width`-word shingles; a document goes if its fingerprint group's
-    representative, or the representative of a text with the same words, shares `similar` of its shingles (Jaccard).
-    """
-    raise NotImplementedError
+_SENT = pa.schema([("shard", pa.int32()), ("base", pa.int64()), ("rows", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary())])
+
+
+def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFrame:
+    """(src, dst) of ids of `distinct` (id, wide) that meet under a key and whose next fingerprints differ in at most
+    `most` bits: for each key the edges of a search tree, so a group of m gives m - 1."""
+
+    def sent(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            fp = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, TABLES)
+            base = int(ids.min()) if len(ids) else 0
+            for lo in range(0, len(ids), 4096):
+                part = fp[lo : lo + 4096]
+                local = (ids[lo : lo + 4096] - base).astype(np.uint64)
+                for t in range(TABLES):
+                    seg = [(part[:, t] >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS[:2]]
+                    (i, ni), (j, nj) = map(nearby_indices, seg)
+                    live = (np.arange(6) < ni[:, None])[:, :, None] & (np.arange(6) < nj[:, None])[:, None, :]
+                    key = ((t << 12 | i)[:, :, None] << 12 | j[:, None, :])[live].astype(np.uint64)
+                    row = np.broadcast_to(local[:, None, None], live.shape)[live]
+                    check = np.broadcast_to(part[:, (t + 1) % TABLES, None, None], live.shape)[live]
+                    at = (mix64(key) % np.uint64(shards)).astype(np.int64)
+                    by = np.lexsort((key, at))
+                    at, key, row, check = at[by], key[by], row[by], check[by]
+                    cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                    end = np.append(cut[1:], len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array(np.full(len(cut), base)), *(pa.array([x[a:z].astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes() for a, z in zip(cut, end, strict=True)], pa.binary()) for x, w in ((row, 4), (key, 4), (check, 8)))], schema=_SENT)
+
+    def whole(column, w: int) -> list[np.ndarray]:
+        return [np.ascontiguousarray(np.frombuffer(b.as_py(), np.uint8).reshape(w, -1).T).view(f"<u{w}").ravel() for b in column]
+
+    def met(parts: pa.Table) -> pa.Table:
+        row = whole(parts.column("rows"), 4)
+        ids = np.concatenate([r.astype(np.int64) + b for r, b in zip(row, parts.column("base").to_pylist(), strict=True)])
+        key, check = np.concatenate(whole(parts.column("keys"), 4)), np.concatenate(whole(parts.column("checks"), 8))
+        by = np.lexsort((ids, key))
+        key, ids, check = key[by], ids[by], check[by]
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(cut, len(key)))
+        src, dst = [], []
+        for few in range(1, 8):  # small groups: all pairs at a distance of `few` in the sorted order
+            a = np.arange(len(key) - few)
+            a = a[(key[a] == key[a + few]) & np.repeat(size <= 8, size)[: len(key) - few]]
+            a = a[np.bitwise_count(check[a] ^ check[a + few]) <= most]
+            src.append(ids[a + few]), dst.append(ids[a])
+        for c, n in zip(cut[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+            left = np.arange(c, c + n)
+            while len(left):
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    x = queue.pop()
+                    near = np.bitwise_count(check[left] ^ check[x]) <= most
+                    hit, left = left[near], left[~near]
+                    src.append(ids[hit]), dst.append(np.full(len(hit), ids[x]))
+                    queue += hit.tolist()
+        src, dst = np.concatenate(src), np.concatenate(dst)
+        pair = np.unique(np.stack([np.maximum(src, dst), np.minimum(src, dst)], 1), axis=0) if len(src) else np.zeros((0, 2), np.int64)
+        return pa.table({"src": pair[:, 0], "dst": pair[:, 1]})
+
+    packed = distinct.select("id", "wide").mapInArrow(sent, "shard int, base long, rows binary, keys binary, checks binary")
+    return packed.groupBy("shard").applyInArrow(met, "src long, dst long").distinct()
+
+
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles binary) of `docs` (id, text): sorted distinct 64-bit hashes."""
+
+    def rows(batches):
+        for block in blocks(batches, limit=4 << 20):
+            words = Words(*text_bytes(block))
+            text, starts, ends = words.joined()
+            sets: list[list] = [[] for _ in range(block.num_rows)]
+            for doc, h in _shingle_hashes(text, starts, ends, words.first, width):
+                cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                for d, part in zip(doc[cut].tolist(), np.split(h, cut[1:]), strict=True):
+                    sets[d].append(part)
+            out = [np.unique(np.concatenate(s)).tobytes() if s else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([block.column("id").combine_chunks(), pa.array(out, pa.binary())], names=["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(rows, "id long, shingles binary")
+
+
+def _similar_pairs(pairs: DataFrame, similar: float) -> DataFrame:
+    """(src, dst) of `pairs` (src, dst, a, b) whose shingle sets have a Jaccard similarity of `similar` or more."""
+
+    def rows(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similar * (len(a) + len(b) - both))
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(rows, "src long, dst long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
+    """(doc_id, tag, group) of each row: group is one for texts of the same words or linked by similar shingle sets."""
+    marked = materialise(wide_marks(docs, width), "wide-marks")
+    distinct = marked.groupBy("words").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("who"))
+    distinct = materialise(distinct.select(F.monotonically_increasing_id().alias("id"), "words", "wide", "who.doc_id", "who.tag"), "wide-distinct")
+    edges = materialise(candidate_edges(distinct, 4 * shuffle_partitions(docs.sparkSession)), "wide-edges")
+    a = distinct.select(F.col("id").alias("src"), F.col("wide").alias("a"))
+    b = distinct.select(F.col("id").alias("dst"), F.col("wide").alias("b"))
+    # a loose test on all bits first: beyond it lie similarities under 0.7 or so
+    near = edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(_apart("a", "b") <= int(0.22 * 64 * TABLES)).select("src", "dst")
+    near = materialise(near, "wide-near")
+    part = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).distinct().join(distinct.select("id", "doc_id", "tag").hint("merge"), "id")
+    part = materialise(part, "wide-part")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tag"), "text")
+    sets = part.join(texts.hint("merge"), part.doc_id.eqNullSafe(texts._id) & (part.tag == texts._tag)).select("id", "text")
+    sets = materialise(_shingle_sets(sets, width).dropDuplicates(["id"]), "wide-sets")
+    pairs = near.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
+    of = connected_components(_similar_pairs(pairs.select("src", "dst", "a", "b"), similar)).select(F.col("node").alias("id"), "component")
+    known = materialise(distinct.select("id", "words").join(of.hint("merge"), "id", "left").select("words", F.coalesce("component", "id").alias("group")), "wide-known")
+    return marked.select("doc_id", "tag", "words").join(known.hint("merge"), "words").select("doc_id", "tag", "group")
+
+
+def _apart(a: str, b: str):
+    """Number of differing bits of two binary columns of _WIDE bytes."""
+    word = lambda c, i: F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long")
+    total = F.lit(0)
+    for i in range(_WIDE // 4):
+        total = total + F.bit_count(word(a, i).bitwiseXOR(word(b, i)))
+    return total
+
+
+def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
+    """`docs` with one document of each group of similar_groups(): the one of the smallest id, and of its equal rows
+    one. All columns stay."""
+    groups = similar_groups(docs, width, similar)
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("who"), F.count("*").alias("n"))
+    kept = materialise(best.select(F.col("who.doc_id").alias("_id"), F.col("who.tag").alias("_tag")), "kept")
+    out = docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept._id) & (F.xxhash64(docs.text) == kept._tag), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    names = docs.columns
+    return out.withColumn("_tag", F.xxhash64("text")).dropDuplicates(["doc_id", "_tag"]).select(*names)
