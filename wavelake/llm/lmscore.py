@@ -12,7 +12,7 @@ equal n-grams and sends every block the totals of its n-grams, in the block's ow
 bucketed by block too, so both reading passes (counts of the held-out fold by cells for the weights, then the scores)
 join without a shuffle. No n-gram table is ever in one place; what one task holds is a block or a shard.
 
-Two n-grams are taken for one if their 64-bit hashes agree.
+Two words are taken for one if their 64-bit hashes agree, two longer n-grams if 56 bits do.
 
 Null texts are empty (one end token). Null ids are kept and train. Equal rows train as often as they occur. Without
 training tokens every estimate is the uniform one. An empty table gives an empty result; other columns are not read.
@@ -65,7 +65,8 @@ def bucketed(df: DataFrame, label: str) -> DataFrame:
     """`df` (block, ...) as a table bucketed by block in the shared folder."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(shuffle_partitions(spark), "block").option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
+    buckets = 4 * shuffle_partitions(spark)  # few blocks in each: a block is some MB
+    df.write.bucketBy(buckets, "block").option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
@@ -95,7 +96,7 @@ class Grams:
         for _ in range(2, order + 1):
             before = np.append(START, context[:-1])
             before[self.first] = START
-            context = mix64(before * np.uint64(0x9E3779B97F4A7C15) + of)
+            context = mix64(before * np.uint64(0x9E3779B97F4A7C15) + of) & np.uint64(2**64 - 256)
             by = np.argsort(context)
             up = context[by]
             new = np.append(True, up[1:] != up[:-1]) if len(up) else np.zeros(0, bool)
@@ -127,7 +128,14 @@ _ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("train", pa.
 
 
 def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(shards)).astype(np.int64)
+    """Shards are ranges of hashes, so that sorted keys of one shard share their high bits."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _in_shards(keys: np.ndarray, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorting of the keys of order k, bounds of the shards in it)."""
+    by = np.argsort(keys) if k == 1 else np.arange(len(keys))
+    return by, np.searchsorted(_shards_of(keys[by], shards), np.arange(shards + 1))
 
 
 def total_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
@@ -143,9 +151,7 @@ def total_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
                 for k in range(1, order + 1):
                     train, deleted = g.counts(k)
                     keys = g.keys[k - 1]
-                    at = _shards_of(keys, shards)
-                    by = np.lexsort((keys, at)) if k == 1 else np.argsort(at, kind="stable")
-                    cut = np.searchsorted(at[by], np.arange(shards + 1))
+                    by, cut = _in_shards(keys, k, shards)
                     some = [s for s in range(shards) if cut[s] < cut[s + 1]]
                     parts = [by[cut[s] : cut[s + 1]] for s in some]
                     yield pa.RecordBatch.from_arrays([pa.array([k * shards + s for s in some], pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([_planes(keys[p]) for p in parts], pa.binary()), pa.array([_narrow(train[p]) for p in parts], pa.binary()), pa.array([_narrow(deleted[p]) for p in parts], pa.binary())], schema=_SENT)
@@ -195,9 +201,8 @@ def _returned(row: dict, g: Grams, order: int, shards: int) -> list[tuple[np.nda
     answers = {a["shard"]: a for a in row["answers"]}
     for k in range(1, order + 1):
         keys = g.keys[k - 1]
-        at = _shards_of(keys, shards)
-        by = np.lexsort((keys, at)) if k == 1 else np.argsort(at, kind="stable")
-        some = np.unique(at).tolist()
+        by, cut = _in_shards(keys, k, shards)
+        some = np.flatnonzero(np.diff(cut)).tolist()
         pair = []
         for what in ("train", "deleted"):
             got = np.concatenate([_wide(answers[k * shards + s][what]) for s in some]) if some else np.zeros(0, np.int64)
