@@ -66,8 +66,9 @@ class Inputs:
         """Word numbers (windows, WINDOW); beyond the text's end the number of distinct words."""
         at = start[:, None] + np.arange(WINDOW)
         inside = at < self.first[text + 1][:, None]
-        padded = np.append(self.ids, len(self.rows))
-        return padded[np.where(inside, at, len(self.ids))]
+        if not len(self.ids):
+            return np.full(at.shape, len(self.rows))
+        return np.where(inside, self.ids[np.minimum(at, len(self.ids) - 1)], len(self.rows))
 
 
 def inputs(data: np.ndarray, offsets: np.ndarray) -> Inputs:
@@ -134,7 +135,7 @@ class Network:
         out[:-1, :EMBED] = self.p["word"][x.rows]
         k = np.diff(x.gram_at)
         some = np.flatnonzero(k)
-        step = 1 << 16
+        step = 1 << 14
         for lo in range(0, len(some), step):
             part = some[lo : lo + step]
             a, z = x.gram_at[part[0]], x.gram_at[part[-1] + 1]
@@ -229,12 +230,17 @@ class Network:
         return np.round(_sigmoid(self.scale * top.astype(np.float64) + self.shift), 6)
 
 
-def _log_odds(rows: np.ndarray, of: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Of each embedding row the log-odds of being met in a toxic document; of: document of each meeting."""
-    pairs = np.unique(of.astype(np.int64) * size + rows)
-    doc, row = pairs // size, pairs % size
-    hit = np.bincount(row, toxic[doc], size)
-    n = np.bincount(row, minlength=size)
+def _log_odds(rows_of, docs: int, toxic: np.ndarray, size: int, step: int = 64) -> np.ndarray:
+    """Of each embedding row the log-odds of being met in a toxic document; rows_of(a, z): (document, row) of what
+    documents a to z meet. A few documents are counted at a time."""
+    hit, n = np.zeros(size), np.zeros(size)
+    for a in range(0, docs, step):
+        doc, row = rows_of(a, min(a + step, docs))
+        pair = np.sort(doc.astype(np.int64) * size + row)
+        pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+        row = pair % size
+        n += np.bincount(row, minlength=size)
+        hit += np.bincount(row, toxic[pair // size], size)
     base = max(toxic.mean(), 1e-3)
     few = 3.0  # meetings that a row without any counts as
     return np.clip(np.log((hit + few * base) / (n - hit + few * (1 - base))) - np.log(base / (1 - base)), -3, 3).astype(np.float32)
@@ -251,16 +257,28 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float = 0.5, rounds: int =
     learn = [t for t, h in zip(texts, held, strict=True) if not h]
     y = toxic[~held].astype(np.float64)
     x = inputs(np.frombuffer(b"".join(learn), np.uint8), np.cumsum([0, *map(len, learn)]))
-    doc = np.repeat(np.arange(len(learn)), np.diff(x.first))
-    net.p["word"][:, 0] = 0.3 * _log_odds(x.rows[x.ids], doc, y, WORD_ROWS)
-    pair = np.unique(doc * len(x.rows) + x.ids) if len(x.ids) else np.zeros(0, np.int64)
-    which, word = (pair // len(x.rows), pair % len(x.rows)) if len(pair) else (pair, pair)
-    k = np.diff(x.gram_at)[word]
-    flat = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k - x.gram_at[word], k)
-    net.p["gram"][:, 0] = 0.3 * _log_odds(x.grams[flat].astype(np.int64), np.repeat(which, k), y, GRAM_ROWS)
+
+    def words_of(a, z):
+        return np.repeat(np.arange(a, z), np.diff(x.first[a : z + 1])), x.ids[x.first[a] : x.first[z]]
+
+    def grams_of(a, z):
+        doc, word = words_of(a, z)
+        pair = np.unique(doc * len(x.rows) + word) if len(word) else np.zeros(0, np.int64)
+        doc, word = pair // max(1, len(x.rows)), pair % max(1, len(x.rows))
+        k = np.diff(x.gram_at)[word]
+        flat = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k - x.gram_at[word], k)
+        return np.repeat(doc, k), x.grams[flat]
+
+    def rows_of(a, z):
+        doc, word = words_of(a, z)
+        return doc, x.rows[word]
+
+    net.p["word"][:, 0] = 0.3 * _log_odds(rows_of, len(learn), y, WORD_ROWS)
+    net.p["gram"][:, 0] = 0.3 * _log_odds(grams_of, len(learn), y, GRAM_ROWS)
     start, text = x.windows()
-    heat = np.append(net.p["word"][:, 0][x.rows] + 2 * net.embed(x)[:-1, EMBED], -9.0)
-    rank = heat[x.window_ids(start, text)].max(1)  # before the first round: the word of highest log-odds
+    heat = np.append(net.p["word"][:, 0][x.rows] + 2 * net.embed(x)[:-1, EMBED], np.float32(-9))
+    # before the first round a window ranks by its word of highest log-odds
+    rank = np.concatenate([heat[x.window_ids(start[i : i + 4096], text[i : i + 4096])].max(1) for i in range(0, len(start), 4096)])
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(a) for k, a in net.p.items()}
     step = 0
