@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as e
-from ..operators import color, geometry, packets, rate, wavelet
+from ..operators import color, colormeta, geometry, packets, rate, wavelet
+from ..sources import headers
+from ..streaming import ingest
 from .fixtures import GEOM_SQL, PASSES_SQL, RASTER_SQL
 from .fixtures import geometry as geom
 from .fixtures import passes, pictures, pixels, table
@@ -463,3 +465,106 @@ FROM (SELECT *, passno % 3 AS layno FROM passes)""")
 def layer_distortion_running(spark, sf_dir):
     w = Window.partitionBy("cblk").orderBy("layno").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return passes(spark, sf_dir).withColumn("layno", F.col("passno") % 3).select("cblk", "passno", "layno", F.sum("ddist").over(w).alias("cumulative"))
+
+
+# --- headers and files --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {GEOM_SQL} SELECT image_id, 'j2k' AS format, x0, y0, x1, y1, tdx, tdy, numcomps, prec, (x1 - tx0 + tdx - 1) // tdx AS tw, (y1 - ty0 + tdy - 1) // tdy AS th FROM geom")
+def header_info(spark, sf_dir):
+    g = geom(spark, sf_dir)
+    s = g.select("image_id", headers.codestream_header(g).alias("content"))
+    s = s.withColumn("siz", F.filter(headers.segments(F.col("content")), lambda m: m["code"] == headers.SIZ)[0])
+    f = s.select("image_id", headers.sniff(F.col("content")).alias("format"), *headers.siz_fields(F.col("content"), F.col("siz")))
+    return f.select("image_id", "format", "x0", "y0", "x1", "y1", "tdx", "tdy", "numcomps", "prec", e.ceil_div(F.col("x1") - F.col("tx0"), "tdx").alias("tw"), e.ceil_div(F.col("y1") - F.col("ty0"), "tdy").alias("th"))
+
+
+@query(f"""WITH {GEOM_SQL}, s AS (SELECT image_id, unnest([{{'nth': 0, 'code': 'FF51', 'len': 38 + 3 * numcomps}}, {{'nth': 1, 'code': 'FF52', 'len': 12}}, {{'nth': 2, 'code': 'FF5C', 'len': 3 + 3 * numres - 2}}]) AS m FROM geom)
+SELECT image_id, CAST(m.nth AS BIGINT) AS nth, m.code AS code, CAST(m.len AS BIGINT) AS len FROM s""")
+def marker_segments(spark, sf_dir):
+    g = geom(spark, sf_dir)
+    s = g.select("image_id", F.posexplode(headers.segments(headers.codestream_header(g))).alias("nth", "m"))
+    return s.select("image_id", F.col("nth").cast("long").alias("nth"), "m.code", "m.len")
+
+
+@query(f"""WITH {GEOM_SQL}, s AS (SELECT image_id, 2 + 40 + 3 * numcomps + 14 + 3 + 3 * numres + 2 AS n FROM geom),
+b AS (SELECT image_id, unnest([{{'o': 0, 'l': 12, 't': 'jP  '}}, {{'o': 12, 'l': 20, 't': 'ftyp'}}, {{'o': 32, 'l': 45, 't': 'jp2h'}}, {{'o': 77, 'l': 8 + n, 't': 'jp2c'}}, {{'o': 40, 'l': 22, 't': 'ihdr'}}, {{'o': 62, 'l': 15, 't': 'colr'}}]) AS b FROM s)
+SELECT image_id, CAST(b.o AS BIGINT) AS off, CAST(b.l AS BIGINT) AS len, b.t AS type FROM b""")
+def jp2_box_walk(spark, sf_dir):
+    g = geom(spark, sf_dir)
+    s = g.select("image_id", headers.boxed_header(headers.codestream_header(g), F.col("prec")).alias("content"))
+    s = s.withColumn("top", headers.boxes(F.col("content"), F.lit(0), F.octet_length("content")))
+    inner = F.filter("top", lambda b: b["type"] == "jp2h")[0]
+    s = s.withColumn("sub", headers.boxes(F.col("content"), inner["off"] + 8, inner["off"] + inner["len"]))
+    return s.select("image_id", F.explode(F.concat("top", "sub")).alias("b")).select("image_id", "b.off", "b.len", "b.type")
+
+
+@query(_PIX + "SELECT image_id, compno, y, x, greatest(0, least(255, sv + 128)) AS v FROM raster")
+def pnm_roundtrip(spark, sf_dir):
+    p = _whole(spark, sf_dir, signed=False).select("image_id", "compno", headers.graymap(F.col("rows")).alias("content"))
+    return p.select("image_id", "compno", F.explode(headers.read_graymap(F.col("content"))).alias("s")).select("image_id", "compno", "s.y", "s.x", "s.v")
+
+
+@query(_PIX + "SELECT image_id, compno, y, x, sv AS v FROM raster")
+def raw_roundtrip(spark, sf_dir):
+    p = _whole(spark, sf_dir).select("image_id", "compno", headers.raw_plane(F.col("rows"), 12).alias("content"))
+    return p.select("image_id", "compno", F.explode(headers.read_raw(F.col("content"), 8, 12, True)).alias("s")).select("image_id", "compno", "s.y", "s.x", "s.v")
+
+
+@query("SELECT user_id AS tile, count(*) AS parts, string_agg(event_type, '' ORDER BY event_id) AS data FROM events GROUP BY 1")
+def tilepart_merge(spark, sf_dir):
+    parts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("tile")).agg(F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("p"))
+    return parts.select("tile", "parts", F.array_join(F.transform("p", lambda p: p["event_type"]), "").alias("data"))
+
+
+# --- channel definitions and profiles -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {GEOM_SQL}, want AS (SELECT image_id, unnest(range(numcomps)) AS cn FROM geom),
+defs AS (SELECT image_id, (i + image_id) % numcomps * (1 - image_id % 2) AS cn FROM (SELECT *, unnest(range(numcomps)) AS i FROM geom)),
+n AS (SELECT image_id, cn, count(*) AS n FROM defs GROUP BY ALL)
+SELECT image_id, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (n > 1) AS repeated FROM want LEFT JOIN n USING (image_id, cn) GROUP BY 1""")
+def cdef_validate(spark, sf_dir):
+    g = geom(spark, sf_dir)
+    defs = g.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("numcomps") - 1))).select("image_id", ((F.col("i") + F.col("image_id")) % F.col("numcomps") * (1 - F.col("image_id") % 2)).alias("cn"))
+    return colormeta.channels_complete(defs, g.select("image_id", "numcomps"))
+
+
+_ORDERS = {0: (0, 1, 2), 1: (1, 0, 2), 2: (2, 1, 0), 3: (0, 2, 1), 4: (1, 2, 0), 5: (2, 0, 1)}
+#: Component order after the definitions "component c is channel _ORDERS[k][c] + 1", worked out by hand.
+_AFTER = {0: "0,1,2", 1: "1,0,2", 2: "2,1,0", 3: "0,2,1", 4: "2,0,1", 5: "1,2,0"}
+
+
+@query(f"""WITH {GEOM_SQL} SELECT image_id, CASE image_id % 6 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _AFTER.items())} END AS components FROM geom""")
+def cdef_permute(spark, sf_dir):
+    g = geom(spark, sf_dir).select("image_id")
+    pick = F.lit(None).cast("array<struct<cn:bigint,asoc:bigint>>")
+    for k, order in _ORDERS.items():
+        defs = F.array(*(F.struct(F.lit(c).cast("long").alias("cn"), F.lit(o + 1).cast("long").alias("asoc")) for c, o in enumerate(order)))
+        pick = F.when(F.col("image_id") % 6 == k, defs).otherwise(pick)
+    return g.withColumn("defs", pick).select("image_id", F.array_join(colormeta.channel_order(F.col("defs"), F.lit(3).cast("long")).cast("array<string>"), ",").alias("components"))
+
+
+@query(f"""WITH {GEOM_SQL} SELECT image_id, main <= 11 AND sub <= [{', '.join(map(str, (15, 1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9)))}][least(main, 11) + 1] AS levels, numcomps <= 3 AS components, x0 = 0 AND y0 = 0 AS origin, tdx >= x1 - x0 AND tdy >= y1 - y0 AS tile,
+  prec BETWEEN 8 AND 16 AS precision, dx IN (1, 2) AND dy = 1 AS sampling, x1 - x0 <= 2048 AND y1 - y0 <= 1556 AS size, cblkw = 5 AND cblkh = 5 AS blocks, nlayers = 1 AS layers
+FROM (SELECT *, image_id % 13 AS main, image_id % 4 AS sub FROM geom)""")
+def imf_compliance(spark, sf_dir):
+    g = geom(spark, sf_dir)
+    return g.select("image_id", *(c.alias(n) for n, c in colormeta.imf_rules(F.col("image_id") % 13, F.col("image_id") % 4).items()))
+
+
+@query(f"""WITH {GEOM_SQL} SELECT image_id, cap, least(numres, 6) AS numres, CAST(5 AS BIGINT) AS cblk, CAST(CASE WHEN numres = 1 THEN 7 ELSE 8 END AS BIGINT) AS precinct,
+  CAST(numcomps * (x1 - x0) * (y1 - y0) * prec AS DOUBLE) / CAST(cap * 8 AS DOUBLE) AS rate FROM (SELECT *, CAST(CASE WHEN image_id % 2 = 1 THEN 651041 ELSE 1302083 END AS BIGINT) AS cap FROM geom)""")
+def cinema_coercion(spark, sf_dir):
+    g = geom(spark, sf_dir)
+    return g.select("image_id", *(c.alias(n) for n, c in colormeta.cinema_settings(F.col("image_id") % 2 == 1).items()))
+
+
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream reads folders or patterns
+    return ingest.run_once(spark, ingest.windowed_counts(stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), late="3650 days"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
