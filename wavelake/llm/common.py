@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task holds at once.
+#: Text bytes and rows that a task holds at once.
 BLOCK_BYTES = 16 << 20
+BLOCK_ROWS = 20_000
 
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -81,21 +82,21 @@ def offsets_of(a: pa.Array) -> np.ndarray:
     return np.frombuffer(a.buffers()[1], dtype=kind)[a.offset : a.offset + len(a) + 1].astype(np.int64)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """Batches regrouped so that each has about `limit` bytes in `column`, one row at least."""
-    held, size = [], 0
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, most: int = BLOCK_ROWS) -> Iterator[pa.Table]:
+    """Batches regrouped so that each has about `limit` bytes in `column`, one row at least and `most` at most."""
+    held, size, rows = [], 0, 0
     for batch in batches:
         o = offsets_of(batch.column(column))
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(o, o[at] + limit - size, side="right")) - 1
-            to = min(max(to, at + (not held)), batch.num_rows)
+            to = min(max(to, at + (not held)), at + most - rows, batch.num_rows)
             if to > at:
                 held.append(batch.slice(at, to - at))
-                size += int(o[to] - o[at])
-            if to < batch.num_rows or size >= limit:
+                size, rows = size + int(o[to] - o[at]), rows + to - at
+            if to < batch.num_rows or size >= limit or rows >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
+                held, size, rows = [], 0, 0
             at = to
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

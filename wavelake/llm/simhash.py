@@ -209,8 +209,8 @@ def _wide_marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     n = np.diff(words.first)
     spans = zip(np.append(starts, len(text))[words.first[:-1]].tolist(), np.where(n > 0, np.append(ends, 0)[words.first[1:] - 1], 0).tolist(), n.tolist(), strict=True)
     whole = np.fromiter([xxhash.xxh64_intdigest(text[a:z] if k else b"", SEED) for a, z, k in spans], np.uint64, len(n))
-    ones = np.zeros((len(n) * TABLES, 64), np.int64)
-    total = np.zeros(len(n) * TABLES, np.int64)
+    ones = np.zeros((len(n) * TABLES, 64), np.int32)
+    total = np.zeros(len(n) * TABLES, np.int32)
     for doc, h in _shingle_hashes(text, starts, ends, words.first, width):
         row = doc * TABLES + (mix64(h) % np.uint64(TABLES)).astype(np.int64)
         by = np.argsort(row, kind="stable")
@@ -227,7 +227,7 @@ def wide_marks(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, tag, words long, wide binary) of each row; tag: hash of the text."""
 
     def rows(batches):
-        for block in blocks(batches, limit=8 << 20):
+        for block in blocks(batches, limit=8 << 20, most=8000):
             whole, fp = _wide_marks(*text_bytes(block), width)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("tag").combine_chunks(), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "tag", "words", "wide"])
 
