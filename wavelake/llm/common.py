@@ -52,6 +52,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """`df` written once as a table bucketed by `key`: joins on it do not shuffle this side."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    buckets = 4 * shuffle_partitions(spark)  # so that a bucket is a few MB where a partition is well sized
+    df.write.bucketBy(buckets, key).option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of materialise() that no later plan reads."""
     jvm, path = df.sparkSession._jvm, df._path

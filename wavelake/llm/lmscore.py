@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, crc_mod, mix64, new_path, shuffle_partitions, table, text_bytes
+from .common import Words, blocks, bucketed, crc_mod, mix64, shuffle_partitions, table, text_bytes
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 END = np.uint64(0x656E64)  # stands for the end of a text among word hashes
@@ -61,15 +61,6 @@ def word_blocks(docs: DataFrame) -> DataFrame:
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())), ("sizes", pa.binary()), ("hashes", pa.binary()), ("words", pa.binary())])
 
 
-def bucketed(df: DataFrame, label: str) -> DataFrame:
-    """`df` (block, ...) as a table bucketed by block in the shared folder."""
-    spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    buckets = 4 * shuffle_partitions(spark)  # few blocks in each: a block is some MB
-    df.write.bucketBy(buckets, "block").option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 class Grams:
     """The n-grams of a block: for each order 1..order the distinct keys, and for each token the place of its n-gram.
 
@@ -251,9 +242,9 @@ def score(docs: DataFrame, order: int = 2, folds: int = FOLDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     shards = 4 * shuffle_partitions(spark)
-    texts = bucketed(word_blocks(docs.select("doc_id", crc_mod("doc_id", folds).alias("fold"), "text")), "lm_texts")
+    texts = bucketed(word_blocks(docs.select("doc_id", crc_mod("doc_id", folds).alias("fold"), "text")), "lm_texts", "block")
     answers = total_counts(texts, order, shards)
-    answers = bucketed(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "train", "deleted", "new", "tokens")).alias("answers")), "lm_answers")
+    answers = bucketed(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "train", "deleted", "new", "tokens")).alias("answers")), "lm_answers", "block")
     sums = answers.select(F.explode("answers").alias("a")).where(F.col("a.shard") < 2 * shards).agg(F.sum("a.new").alias("v"), F.sum("a.tokens").alias("n")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     marks = docs.select(crc_mod("doc_id", folds).alias("fold")).groupBy("fold").count().collect()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, connected_components, materialise, mix64, shuffle_partitions, table, text_bytes
+from .common import Words, blocks, bucketed, connected_components, materialise, mix64, shuffle_partitions, table, text_bytes
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -223,15 +223,23 @@ def _wide_marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     return whole, fp
 
 
-def wide_marks(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tag, words long, wide binary) of each row; tag: hash of the text."""
+KEY = "__row_key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` as a table bucketed by KEY, a 64-bit hash of id and text: later joins take texts from it without a shuffle."""
+    return bucketed(docs.withColumn(KEY, F.xxhash64("doc_id", "text")), "docs_by_key", KEY)
+
+
+def wide_marks(held: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, words long, wide binary) of each row of a table of keyed()."""
 
     def rows(batches):
         for block in blocks(batches, limit=8 << 20, most=8000):
             whole, fp = _wide_marks(*text_bytes(block), width)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("tag").combine_chunks(), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "tag", "words", "wide"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("key").combine_chunks(), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "key", "words", "wide"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(rows, "doc_id long, tag long, words long, wide binary")
+    return held.select("doc_id", F.col(KEY).alias("key"), "text").mapInArrow(rows, "doc_id long, key long, words long, wide binary")
 
 
 _SENT = pa.schema([("shard", pa.int32()), ("base", pa.int64()), ("rows", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary())])
@@ -299,7 +307,7 @@ def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFra
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles binary) of `docs` (id, text): sorted distinct 64-bit hashes."""
+    """(id, shingles binary) of `docs` (id, text): sorted distinct 32-bit hashes."""
 
     def rows(batches):
         for block in blocks(batches, limit=4 << 20):
@@ -310,7 +318,7 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                 for d, part in zip(doc[cut].tolist(), np.split(h, cut[1:]), strict=True):
                     sets[d].append(part)
-            out = [np.unique(np.concatenate(s)).tobytes() if s else b"" for s in sets]
+            out = [np.unique(np.concatenate(s).astype(np.uint32)).tobytes() if s else b"" for s in sets]
             yield pa.RecordBatch.from_arrays([block.column("id").combine_chunks(), pa.array(out, pa.binary())], names=["id", "shingles"])
 
     return docs.select("id", "text").mapInArrow(rows, "id long, shingles binary")
@@ -323,7 +331,7 @@ def _similar_pairs(pairs: DataFrame, similar: float) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                a, b = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similar * (len(a) + len(b) - both))
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
@@ -332,25 +340,25 @@ def _similar_pairs(pairs: DataFrame, similar: float) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
-    """(doc_id, tag, group) of each row: group is one for texts of the same words or linked by similar shingle sets."""
-    marked = materialise(wide_marks(docs, width), "wide-marks")
-    distinct = marked.groupBy("words").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("who"))
-    distinct = materialise(distinct.select(F.monotonically_increasing_id().alias("id"), "words", "wide", "who.doc_id", "who.tag"), "wide-distinct")
+    """(doc_id, key, group) of each row: group is one for texts of the same words or linked by similar shingle sets."""
+    held = docs if KEY in docs.columns else keyed(docs.select("doc_id", "text"))
+    marked = materialise(wide_marks(held, width), "wide-marks")
+    distinct = marked.groupBy("words").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("who"))
+    distinct = materialise(distinct.select(F.monotonically_increasing_id().alias("id"), "words", "wide", "who.key"), "wide-distinct")
     edges = materialise(candidate_edges(distinct, 4 * shuffle_partitions(docs.sparkSession)), "wide-edges")
     a = distinct.select(F.col("id").alias("src"), F.col("wide").alias("a"))
     b = distinct.select(F.col("id").alias("dst"), F.col("wide").alias("b"))
     # a loose test on all bits first: beyond it lie similarities under 0.7 or so
     near = edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(_apart("a", "b") <= int(0.22 * 64 * TABLES)).select("src", "dst")
     near = materialise(near, "wide-near")
-    part = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).distinct().join(distinct.select("id", "doc_id", "tag").hint("merge"), "id")
+    part = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).distinct().join(distinct.select("id", F.col("key").alias(KEY)).hint("merge"), "id")
     part = materialise(part, "wide-part")
-    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tag"), "text")
-    sets = part.join(texts.hint("merge"), part.doc_id.eqNullSafe(texts._id) & (part.tag == texts._tag)).select("id", "text")
+    sets = held.select(KEY, "text").join(part.hint("merge"), KEY).select("id", "text")
     sets = materialise(_shingle_sets(sets, width).dropDuplicates(["id"]), "wide-sets")
     pairs = near.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
     of = connected_components(_similar_pairs(pairs.select("src", "dst", "a", "b"), similar)).select(F.col("node").alias("id"), "component")
     known = materialise(distinct.select("id", "words").join(of.hint("merge"), "id", "left").select("words", F.coalesce("component", "id").alias("group")), "wide-known")
-    return marked.select("doc_id", "tag", "words").join(known.hint("merge"), "words").select("doc_id", "tag", "group")
+    return marked.select("doc_id", "key", "words").join(known.hint("merge"), "words").select("doc_id", "key", "group")
 
 
 def _apart(a: str, b: str):
@@ -365,11 +373,10 @@ def _apart(a: str, b: str):
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """`docs` with one document of each group of similar_groups(): the one of the smallest id, and of its equal rows
     one. All columns stay."""
-    groups = similar_groups(docs, width, similar)
-    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("who"), F.count("*").alias("n"))
-    kept = materialise(best.select(F.col("who.doc_id").alias("_id"), F.col("who.tag").alias("_tag")), "kept")
-    out = docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept._id) & (F.xxhash64(docs.text) == kept._tag), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    names = docs.columns
-    return out.withColumn("_tag", F.xxhash64("text")).dropDuplicates(["doc_id", "_tag"]).select(*names)
+    held = keyed(docs)
+    groups = materialise(similar_groups(held, width, similar), "wide-groups")
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("who"))
+    out = held.join(best.select(F.col("who.key").alias(KEY)).hint("merge"), KEY, "left_semi")
+    if not groups.groupBy("key").count().where("count > 1").isEmpty():  # equal rows have one key
+        out = out.dropDuplicates([KEY])
+    return out.select(*docs.columns)
