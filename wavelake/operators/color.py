@@ -141,3 +141,33 @@ def palette_expand(indexed: DataFrame, palette: DataFrame, size: int, channels:
     rows = rows.select("px", "idx", "c.channel", "c.col", clamp("idx", 0, size - 1).alias("at"))
     table = palette.select(F.col("idx").alias("at"), F.col("pcol").alias("col"), "value")
     return rows.join(table, ["at", "col"], "left").select("px", "channel", F.when(F.col("col").isNull(), F.col("idx")).otherwise(F.col("value")).alias("value"))
+
+
+#: From XYZ under the 50 K daylight white to linear sRGB, and that white (fixed values).
+XYZ_RGB = (
+    (3.1341863642, -1.6172089590, -0.4906940640),
+    (-0.9787485042, 1.9161300968, 0.0334333992),
+    (0.0719639278, -0.2289938735, 1.4057537329),
+)
+WHITE = (0.9642, 1.0, 0.8249)
+
+
+def lab_rgb(values: tuple[Column, Column, Column], prec: int = 8, ranges: tuple | None = None, offsets: tuple | None = None) -> tuple[Column, Column, Column]:
+    """16-bit sRGB of L*a*b* samples; without ranges and offsets the defaults for the precision hold."""
+    ranges = ranges or (100.0, 170.0, 200.0)
+    offsets = offsets or (0.0, 2.0 ** (prec - 1), 2.0 ** (prec - 2) + 2.0 ** (prec - 3))
+    top = 2.0**prec - 1
+    light, a, b = (F.lit(-(r * o) / top) + v.cast("double") * r / top for v, r, o in zip(values, ranges, offsets, strict=True))
+    fy = (light + 16.0) / 116.0
+    knee = 6.0 / 29.0
+
+    def cube(t: Column, white: float) -> Column:
+        return F.when(t > knee, t * t * t).otherwise((t - 16.0 / 116.0) * (3.0 * knee * knee)) * white
+
+    xyz = [cube(t, w) for t, w in zip((fy + a / 500.0, fy, fy - b / 200.0), WHITE, strict=True)]
+    out = []
+    for row in XYZ_RGB:
+        v = xyz[0] * row[0] + xyz[1] * row[1] + xyz[2] * row[2]
+        curve = F.when(v <= 0, F.lit(0.0)).when(v >= 1, F.lit(1.0)).when(v <= 0.0031308, v * 12.92).otherwise(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055)
+        out.append(clamp(F.floor(curve * 65535.0 + 0.5), 0, 65535))
+    return tuple(out)

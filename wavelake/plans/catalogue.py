@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as e
+from ..functions import options
 from ..operators import color, colormeta, geometry, packets, rate, wavelet
 from ..sources import headers
 from ..streaming import ingest
@@ -303,6 +304,18 @@ def component_subset(spark, sf_dir):
     return rows.select("image_id", F.size("v").cast("long").alias("n"), F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
 
 
+_LAB = """SELECT image_id, y, x, (100.0::DOUBLE * c0 / 255 + 16) / 116 AS fy, (-(170.0::DOUBLE * 128) / 255 + 170.0::DOUBLE * c1 / 255) / 500 AS da, (-(200.0::DOUBLE * 96) / 255 + 200.0::DOUBLE * c2 / 255) / 200 AS db FROM pixels"""
+_CUBE = "CASE WHEN {t} > 6.0::DOUBLE / 29 THEN {t} * {t} * {t} ELSE ({t} - 16.0::DOUBLE / 116) * 3 * (6.0::DOUBLE / 29) * (6.0::DOUBLE / 29) END * {w}::DOUBLE"
+_LINEAR = ", ".join("X * ({})::DOUBLE + Y * ({})::DOUBLE + Z * ({})::DOUBLE AS l{}".format(*row, i) for i, row in enumerate(color.XYZ_RGB))
+_CURVE = ", ".join(f"CAST(greatest(0, least(65535, floor((CASE WHEN l{i} <= 0 THEN 0 WHEN l{i} >= 1 THEN 1 WHEN l{i} <= 0.0031308 THEN 12.92::DOUBLE * l{i} ELSE 1.055::DOUBLE * pow(greatest(l{i}, 0), 1 / 2.4::DOUBLE) - 0.055::DOUBLE END) * 65535 + 0.5))) AS BIGINT) AS {n}" for i, n in enumerate("rgb"))
+
+
+@query(_PIX + f"SELECT image_id, y, x, {_CURVE} FROM (SELECT image_id, y, x, {_LINEAR} FROM (SELECT image_id, y, x, {_CUBE.format(t='(fy + da)', w=0.9642)} AS X, {_CUBE.format(t='fy', w=1.0)} AS Y, {_CUBE.format(t='(fy - db)', w=0.8249)} AS Z FROM ({_LAB})))".replace(" AS X", " AS lx").replace(" AS Y", " AS ly").replace(" AS Z", " AS lz").replace("X * ", "lx * ").replace("Y * ", "ly * ").replace("Z * ", "lz * "))
+def cielab_rgb(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    return _out(p, color.lab_rgb((F.col("c0"), F.col("c1"), F.col("c2"))), "rgb")
+
+
 # --- wavelets -----------------------------------------------------------------------------------------------------
 
 
@@ -568,3 +581,16 @@ def event_windows(spark, sf_dir):
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream reads folders or patterns
     return ingest.run_once(spark, ingest.windowed_counts(stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), late="3650 days"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# --- option strings -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {GEOM_SQL} SELECT image_id, x1 - x0 AS w, y1 - y0 AS h, numcomps AS n, prec AS depth, image_id % 2 = 1 AS signed, numcomps AS steps, 1 + dx * (numcomps - 1) AS across, tdx AS pw, tdy AS ph, CAST(prec + 0.5 AS DOUBLE) AS rate FROM geom")
+def option_strings(spark, sf_dir):
+    g = geom(spark, sf_dir)
+    step = F.transform(F.sequence(F.lit(0).cast("long"), F.col("numcomps") - 1), lambda c: F.concat(F.when(c == 0, F.lit(1)).otherwise(F.col("dx")).cast("string"), F.lit("x"), F.col("dy").cast("string")))
+    text = F.concat_ws(",", F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), "numcomps", "prec", F.when(F.col("image_id") % 2 == 1, "s").otherwise("u"))
+    s = g.select("image_id", F.concat(text, F.lit("@"), F.array_join(step, ":")).alias("raw"), F.concat(F.lit("[64,64],["), F.col("tdx"), F.lit(" , "), F.col("tdy"), F.lit("]")).alias("list"), F.concat(F.lit("1, "), F.col("prec") + F.lit(0.5)).alias("rates"))
+    s = s.select("image_id", *options.raw_geometry(F.col("raw")), F.get(options.pairs(F.col("list")), F.lit(1)).alias("p"), F.get(options.numbers(F.col("rates")), F.lit(1)).alias("rate"))
+    return s.select("image_id", "w", "h", "n", "depth", "signed", F.size("sampling").cast("long").alias("steps"), F.aggregate("sampling", F.lit(0).cast("long"), lambda a, x: a + x["dx"]).alias("across"), F.col("p.w").alias("pw"), F.col("p.h").alias("ph"), "rate")
