@@ -174,15 +174,18 @@ def in_order(docs: DataFrame, partitions: int) -> DataFrame:
 
 def train_dictionary(docs: DataFrame, path: str, sample: int = 1500) -> bytes:
     """A dictionary for serialized ids of documents like `docs`; empty if there are too few."""
-    few = docs.select("text").where("text is not null").withColumn("_h", F.xxhash64("text")).orderBy("_h").limit(sample).select("text")
+    rows = docs.select("text").where("text is not null")
+    share = min(1.0, 2.0 * sample / max(1, rows.count()))  # twice as many by a threshold, so that few texts are sorted
+    hashed = rows.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    few = hashed.where(F.col("_h") <= int(share * (1 << 30))).orderBy("_h", "text").limit(sample).select("text")
 
-    def rows(batches):
+    def encoded(batches):
         for block in blocks(batches, limit=1 << 20):
             ids, o = encoder(path).block(*text_bytes(block))
             raw = ids.astype("<u2" if int(ids.max(initial=0)) < 65536 else "<u4")
             yield pa.RecordBatch.from_arrays([pa.array([raw[i:j].tobytes() for i, j in zip(o[:-1], o[1:], strict=True)], pa.binary())], names=["ids"])
 
-    samples = [bytes(r["ids"]) for r in few.mapInArrow(rows, "ids binary").collect()]
+    samples = [bytes(r["ids"]) for r in few.mapInArrow(encoded, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
