@@ -6,7 +6,7 @@ hashed. A forward and a backward gated recurrent layer run over a window, attent
 unit scores the pool. A document's score is the calibrated score of its highest window; every window of every text is
 scored.
 
-Training reads a bounded sample of labelled documents (`per_class` of each class at most, by a hash of id and text):
+Training reads a bounded sample of labelled documents (`per_class` of each class at most, by a hash of the id):
 windows of clean documents are clean, and of a toxic document the highest window by the last round's network is toxic.
 Embeddings start from the log-odds of words and character n-grams in the sample. A quarter of the sample is kept from
 training and sets the calibration.
@@ -356,15 +356,16 @@ class Constant:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     """A scorer learned from `docs` (doc_id, text) by `labels` (doc_id, toxic)."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    rows = marks.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id").withColumn("_h", F.xxhash64("doc_id", "text"))
+    marks = marks.join(docs.select("doc_id").hint("merge"), "doc_id", "left_semi")
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return Constant(float(max(counts)) if counts else 0.5)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = []
-    for c, n in sorted(counts.items()):
-        share = min(1.0, 1.5 * per_class / n)
-        some = rows.where(F.col("toxic") == c).where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
-        found += [(c, r["text"].encode()) for r in some.orderBy(F.pmod("_h", F.lit(1 << 30)), "doc_id").limit(per_class).select("text").collect()]
+    for c in sorted(counts):
+        ids = marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id")
+        some = texts.join(F.broadcast(ids), "doc_id")  # per_class ids at most
+        found += [(c, r["text"].encode()) for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).select("text").collect()]
     prior = min(max(counts[1] / sum(counts.values()), 0.02), 0.5)
     return fit([t for _, t in found], np.array([c for c, _ in found]), prior)
 
