@@ -52,11 +52,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
-    """`df` written once as a table bucketed by `key`: joins on it do not shuffle this side."""
+def bucketed(df: DataFrame, label: str, key: str, dealt: bool = False) -> DataFrame:
+    """`df` written once as a table bucketed by `key`: joins on it do not shuffle this side. dealt: many small rows,
+    which are shuffled to their buckets first, so that a bucket is one file and not one of each task."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
-    buckets = 4 * shuffle_partitions(spark)  # so that a bucket is a few MB where a partition is well sized
+    buckets = shuffle_partitions(spark) if dealt else 4 * shuffle_partitions(spark)  # large rows: few in a bucket
+    df = df.repartition(buckets, key) if dealt else df
     df.write.bucketBy(buckets, key).option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 

@@ -228,7 +228,7 @@ KEY = "__row_key"
 
 def keyed(docs: DataFrame) -> DataFrame:
     """`docs` as a table bucketed by KEY, a 64-bit hash of id and text: later joins take texts from it without a shuffle."""
-    return bucketed(docs.withColumn(KEY, F.xxhash64("doc_id", "text")), "docs_by_key", KEY)
+    return bucketed(docs.withColumn(KEY, F.xxhash64("doc_id", "text")), "docs_by_key", KEY, dealt=True)
 
 
 def wide_marks(held: DataFrame, width: int) -> DataFrame:
