@@ -264,7 +264,7 @@ def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFra
                     key = ((t << 12 | i)[:, :, None] << 12 | j[:, None, :])[live].astype(np.uint64)
                     row = np.broadcast_to(local[:, None, None], live.shape)[live]
                     check = np.broadcast_to(part[:, (t + 1) % TABLES, None, None], live.shape)[live]
-                    at = (mix64(key) % np.uint64(shards)).astype(np.int64)
+                    at = (mix64(key >> np.uint64(12)) % np.uint64(shards)).astype(np.int64)  # keys of one first index meet in a shard, which tells equal edges once
                     by = np.lexsort((key, at))
                     at, key, row, check = at[by], key[by], row[by], check[by]
                     cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
