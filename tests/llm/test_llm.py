@@ -552,3 +552,24 @@ def test_pipeline_stages(spark, small, docs):
         d = nxt
     rows = d.orderBy("start").collect()
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+
+
+def test_copies_of_template_texts_are_found(spark):
+    """Keys under which hundreds of texts of one template meet: all pairs of a similarity of 0.8 are linked."""
+    rng, template = random.Random(5), [f"t{i}" for i in range(160)]
+    texts = []
+    for i in range(600):
+        t = [*template, *(f"u{i}x{k}" for k in range(40))]
+        copy = list(t)
+        for k in range(rng.randrange(1, 4)):
+            copy[rng.randrange(200)] = f"c{i}x{k}"
+        texts += [" ".join(t), " ".join(copy)]
+    sets = [set(shingles(t)) for t in texts]
+    # texts of two pairs have 156 shingles in common of 236 or more
+    true = [(i, i + 1) for i in range(0, len(sets), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(true) > 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
+    lost = [p for p in true if group[p[0]] != group[p[1]]]
+    assert not lost
+    assert len(set(group.values())) == len(texts) - len(true)

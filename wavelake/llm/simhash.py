@@ -247,7 +247,8 @@ _SENT = pa.schema([("shard", pa.int32()), ("base", pa.int64()), ("rows", pa.bina
 
 def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFrame:
     """(src, dst) of ids of `distinct` (id, wide) that meet under a key and whose next fingerprints differ in at most
-    `most` bits: for each key the edges of a search tree, so a group of m gives m - 1."""
+    `most` bits: for each key over which more than eight meet the edges of a search tree. A tree of over two is not all
+    its pairs; each id in it comes as a row of src = dst, for rare_pairs()."""
 
     def sent(batches):
         for batch in batches:
@@ -292,12 +293,16 @@ def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFra
             left = np.arange(c, c + n)
             while len(left):
                 queue, left = [left[0]], left[1:]
+                tree = list(queue)
                 while queue and len(left):
                     x = queue.pop()
                     near = np.bitwise_count(check[left] ^ check[x]) <= most
                     hit, left = left[near], left[~near]
                     src.append(ids[hit]), dst.append(np.full(len(hit), ids[x]))
                     queue += hit.tolist()
+                    tree += hit.tolist()
+                if len(tree) > 2:
+                    src.append(ids[tree]), dst.append(ids[tree])
         src, dst = np.concatenate(src), np.concatenate(dst)
         pair = np.unique(np.stack([np.maximum(src, dst), np.minimum(src, dst)], 1), axis=0) if len(src) else np.zeros((0, 2), np.int64)
         return pa.table({"src": pair[:, 0], "dst": pair[:, 1]})
@@ -339,24 +344,86 @@ def _similar_pairs(pairs: DataFrame, similar: float) -> DataFrame:
     return pairs.mapInArrow(rows, "src long, dst long")
 
 
+def rare_pairs(crowd: DataFrame, similar: float, sample: int = 200_000, most: int = 1 << 18) -> DataFrame:
+    """(src, dst) of all pairs of `crowd` (id, component, shingles) of two components that can have a Jaccard similarity
+    of `similar` or more, by prefix filter: in any one order of all shingles, the first that both sets have is among the
+    first of each. The order has rare shingles first (often: up to `most` frequent ones of `sample` sets), so that what
+    a template's texts share comes last. The order decides the cost, not the pairs."""
+    spark = crowd.sparkSession
+    part = 2 * similar / (1 + similar)
+
+    def flat(batch) -> tuple[np.ndarray, np.ndarray]:
+        data, o = text_bytes(pa.Table.from_batches([batch]), "shingles")
+        return np.frombuffer(data.tobytes(), np.uint32), o // 4
+
+    def members(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(flat(batch)[0].astype(np.int64))], names=["shingle"])
+
+    lots = max(1, -(-crowd.count() // sample))
+    some = crowd.where(F.pmod(F.xxhash64("id"), F.lit(lots)) == 0).select("shingles").mapInArrow(members, "shingle long")
+    often = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(most).toArrow()
+    name, many = (np.append(often.column(c).to_numpy(), 0) for c in ("shingle", "count"))
+    by = np.argsort(name[:-1])
+    known = spark.sparkContext.broadcast((np.append(name[:-1][by], -1), np.append(many[:-1][by], 0)))
+
+    def prefixes(batches):
+        name, many = known.value
+        for batch in batches:
+            shingle, first = flat(batch)
+            size = np.diff(first)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.searchsorted(name[:-1], shingle)
+            often = np.where(name[at] == shingle, many[at], 0)
+            by = np.lexsort((shingle, often, row))
+            nth = np.arange(len(by)) - first[:-1][row]
+            keep = nth <= (size - np.ceil(similar * size - 1e-9))[row]
+            low = (nth <= (size - np.ceil(part * size - 1e-9))[row])[keep]
+            row, nth = row[keep], nth[keep]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[by][keep].astype(np.int64)), batch.column("id").take(of), batch.column("component").take(of), pa.array(size[row].astype(np.int32)), pa.array(nth.astype(np.int32)), pa.array(low)], names=["shingle", "id", "component", "size", "nth", "low"])
+
+    rows = crowd.select("id", "component", "shingles").mapInArrow(prefixes, "shingle long, id long, component long, size int, nth int, low boolean")
+    rows = materialise(rows, "wide-prefixes")
+    a, b = (rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "nth", "low"))) for x in "ab")
+    both = a.where("low_a").join(b.hint("merge"), "shingle").where("component_a <> component_b and (size_a < size_b or size_a = size_b and id_a < id_b)")
+    both = both.where(F.col("size_a") >= similar * F.col("size_b") - 1e-9)
+    # as the first that both have, it leaves enough after it
+    both = both.where(F.least(F.col("size_a") - F.col("nth_a"), F.col("size_b") - F.col("nth_b")) >= part / 2 * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    return both.select(F.greatest("id_a", "id_b").alias("src"), F.least("id_a", "id_b").alias("dst")).distinct()
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """(doc_id, key, group) of each row: group is one for texts of the same words or linked by similar shingle sets."""
     held = docs if KEY in docs.columns else keyed(docs.select("doc_id", "text"))
     marked = materialise(wide_marks(held, width), "wide-marks")
     distinct = marked.groupBy("words").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("who"))
     distinct = materialise(distinct.select(F.monotonically_increasing_id().alias("id"), "words", "wide", "who.key"), "wide-distinct")
-    edges = materialise(candidate_edges(distinct, 4 * shuffle_partitions(docs.sparkSession)), "wide-edges")
+    met = materialise(candidate_edges(distinct, 4 * shuffle_partitions(docs.sparkSession)), "wide-edges")
+    edges, crowd = met.where("src <> dst"), met.where("src = dst").select(F.col("src").alias("id"))
     a = distinct.select(F.col("id").alias("src"), F.col("wide").alias("a"))
     b = distinct.select(F.col("id").alias("dst"), F.col("wide").alias("b"))
     # a loose test on all bits first: beyond it lie similarities under 0.7 or so
     near = edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(_apart("a", "b") <= int(0.22 * 64 * TABLES)).select("src", "dst")
     near = materialise(near, "wide-near")
-    part = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).distinct().join(distinct.select("id", F.col("key").alias(KEY)).hint("merge"), "id")
+    part = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).union(crowd).distinct().join(distinct.select("id", F.col("key").alias(KEY)).hint("merge"), "id")
     part = materialise(part, "wide-part")
     sets = held.select(KEY, "text").join(part.hint("merge"), KEY).select("id", "text")
     sets = materialise(_shingle_sets(sets, width).dropDuplicates(["id"]), "wide-sets")
-    pairs = near.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")).hint("merge"), "src").join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")).hint("merge"), "dst")
-    of = connected_components(_similar_pairs(pairs.select("src", "dst", "a", "b"), similar)).select(F.col("node").alias("id"), "component")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        of_a, of_b = (sets.select(F.col("id").alias(i), F.col("shingles").alias(x)) for i, x in (("src", "a"), ("dst", "b")))
+        pairs = pairs.join(of_a.hint("merge"), "src").join(of_b.hint("merge"), "dst").select("src", "dst", "a", "b")
+        return materialise(_similar_pairs(pairs, similar), "wide-similar")
+
+    linked = verified(near)
+    of = connected_components(linked).select(F.col("node").alias("id"), "component")
+    if not crowd.isEmpty():
+        crowd = sets.join(crowd.hint("merge"), "id").join(of.hint("merge"), "id", "left")
+        crowd = materialise(crowd.select("id", F.coalesce("component", "id").alias("component"), "shingles"), "wide-crowd")
+        more = verified(materialise(rare_pairs(crowd, similar), "wide-rare"))
+        if not more.isEmpty():
+            of = connected_components(linked.union(more)).select(F.col("node").alias("id"), "component")
     known = materialise(distinct.select("id", "words").join(of.hint("merge"), "id", "left").select("words", F.coalesce("component", "id").alias("group")), "wide-known")
     return marked.select("doc_id", "key", "words").join(known.hint("merge"), "words").select("doc_id", "key", "group")
 
