@@ -573,3 +573,21 @@ def test_copies_of_template_texts_are_found(spark):
     lost = [p for p in true if group[p[0]] != group[p[1]]]
     assert not lost
     assert len(set(group.values())) == len(texts) - len(true)
+
+
+def test_repeated_lines_do_not_move_wide_fingerprints(spark):
+    """Near copies that differ in how often a line repeats: their sets of shingles are nearly equal."""
+    rng, texts = random.Random(6), []
+    for i in range(20):
+        words, line = [f"w{i}x{k}" for k in range(200)], [f"l{i}x{k}" for k in range(10)]
+        texts += [" ".join(words + line * n) for n in (1, rng.choice((20, 60)))]
+    sets = [set(shingles(t)) for t in texts]
+    assert all(len(sets[i] & sets[i + 1]) >= 0.9 * len(sets[i] | sets[i + 1]) for i in range(0, 40, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
+    assert sum(group[i] != group[i + 1] for i in range(0, 40, 2)) == 0 and len(set(group.values())) == 20
+    long = " ".join(["a b c d e"] * 60_000 + ["f"])  # over several pieces
+    data = np.frombuffer(f"{long}{long} g".encode(), np.uint8)
+    words = simhash.Words(data, np.array([0, len(long), len(data)]))
+    got = [(d, int(x)) for doc, h in simhash._distinct_shingles(*words.joined(), words.first, 5) for d, x in zip(doc.tolist(), h, strict=True)]
+    assert len(got) == len(set(got)) and Counter(d for d, _ in got) == {0: len(set(shingles(long))), 1: len(set(shingles(f"{long} g")))}

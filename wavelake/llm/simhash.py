@@ -52,6 +52,28 @@ def _shingle_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, first: np
         yield doc, np.fromiter([digest(text[i:j], SEED) for i, j in spans], np.uint64, len(at))
 
 
+def _distinct_shingles(text: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, width: int):
+    """As _shingle_hashes, with each hash of a text once: the text that a piece ends in is held back for the next."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def told() -> tuple[np.ndarray, np.ndarray]:
+        doc, h = map(np.concatenate, zip(*held, strict=True))
+        by = np.lexsort((h, doc))
+        doc, h = doc[by], h[by]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
+        return doc[new], h[new]
+
+    for doc, h in _shingle_hashes(text, starts, ends, first, width):
+        z = int(np.searchsorted(doc, doc[-1]))
+        if z:
+            held.append((doc[:z], h[:z]))
+            yield told()
+            held = []
+        held.append((doc[z:], h[z:]))
+    if held:
+        yield told()
+
+
 def _fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """One unsigned 64-bit fingerprint for each text."""
     words = Words(data, offsets)
@@ -203,7 +225,7 @@ _WIDE = 8 * TABLES
 
 
 def _wide_marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the words, TABLES fingerprints) of each text."""
+    """(hash of the words, TABLES fingerprints of the distinct shingles) of each text."""
     words = Words(data, offsets)
     text, starts, ends = words.joined()
     n = np.diff(words.first)
@@ -211,7 +233,7 @@ def _wide_marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     whole = np.fromiter([xxhash.xxh64_intdigest(text[a:z] if k else b"", SEED) for a, z, k in spans], np.uint64, len(n))
     ones = np.zeros((len(n) * TABLES, 64), np.int32)
     total = np.zeros(len(n) * TABLES, np.int32)
-    for doc, h in _shingle_hashes(text, starts, ends, words.first, width):
+    for doc, h in _distinct_shingles(text, starts, ends, words.first, width):
         row = doc * TABLES + (mix64(h) % np.uint64(TABLES)).astype(np.int64)
         by = np.argsort(row, kind="stable")
         row = row[by]
