@@ -591,3 +591,13 @@ def test_repeated_lines_do_not_move_wide_fingerprints(spark):
     words = simhash.Words(data, np.array([0, len(long), len(data)]))
     got = [(d, int(x)) for doc, h in simhash._distinct_shingles(*words.joined(), words.first, 5) for d, x in zip(doc.tolist(), h, strict=True)]
     assert len(got) == len(set(got)) and Counter(d for d, _ in got) == {0: len(set(shingles(long))), 1: len(set(shingles(f"{long} g")))}
+
+
+def test_candidate_edges_of_several_files_in_one_task(spark, tmp_path):
+    """One batch with ids of several partitions: edges name the ids that are given."""
+    rng = np.random.default_rng(3)
+    rows = [((p << 33) + k, rng.bytes(simhash._WIDE)) for p in range(6) for k in range(3)]
+    rows += [((7 << 33) + n, wide) for n, (_, wide) in enumerate(rows)]
+    distinct = spark.createDataFrame(rows, "id long, wide binary").coalesce(1)
+    want = {((7 << 33) + n, i) for n, (i, _) in enumerate(rows[:18])}
+    assert {(r.src, r.dst) for r in simhash.candidate_edges(distinct, 4).collect()} == want

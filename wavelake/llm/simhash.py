@@ -276,10 +276,14 @@ def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFra
         for batch in batches:
             ids = batch.column("id").to_numpy()
             fp = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, TABLES)
-            base = int(ids.min()) if len(ids) else 0
-            for lo in range(0, len(ids), 4096):
-                part = fp[lo : lo + 4096]
-                local = (ids[lo : lo + 4096] - base).astype(np.uint64)
+            # ids of one file only: their high bits tell the task that gave them, offsets have 32 bits
+            cuts = np.union1d(np.arange(0, len(ids), 4096), np.flatnonzero(ids[1:] >> 33 != ids[:-1] >> 33) + 1).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+                part = fp[lo:hi]
+                base = int(ids[lo:hi].min())
+                local = (ids[lo:hi] - base).astype(np.uint64)
+                if int(local.max()) >> 32:
+                    raise ValueError("ids of one task lie over 32 bits apart")
                 for t in range(TABLES):
                     seg = [(part[:, t] >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS[:2]]
                     (i, ni), (j, nj) = map(nearby_indices, seg)
