@@ -601,3 +601,26 @@ def test_candidate_edges_of_several_files_in_one_task(spark, tmp_path):
     distinct = spark.createDataFrame(rows, "id long, wide binary").coalesce(1)
     want = {((7 << 33) + n, i) for n, (i, _) in enumerate(rows[:18])}
     assert {(r.src, r.dst) for r in simhash.candidate_edges(distinct, 4).collect()} == want
+
+
+def test_short_items_are_found_at_any_cosine(spark, small, docs):
+    """Items of 2 to 19 words in documents at random, verbatim and (from 8 words) with a sixth of the words replaced."""
+    rng = random.Random(8)
+    hosts = [r.text for r in docs.where("text is not null").orderBy("doc_id").collect()]
+    source = [re.findall(r"[^\W_]+", r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    items, rows = [], []
+    for n in (2, 7, 10, 17):
+        for k in range(40):
+            w = rng.choice([x for x in source if len(x) >= n])
+            at = rng.randrange(len(w) - n + 1)
+            items.append((100 * n + k, " ".join(w[at : at + n])))
+            words = list(w[at : at + n])
+            for j in rng.sample(range(n), n // 6 if n >= 8 and k % 2 else 0):
+                words[j] = "replacedword"
+            host = rng.choice(hosts).split()
+            cut = rng.randrange(len(host) + 1)
+            rows.append((100 * n + k, " ".join(host[:cut] + words + host[cut:])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    lost = Counter(i // 100 for i, _ in items if (i, i) not in got)
+    assert not lost

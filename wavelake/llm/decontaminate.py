@@ -10,6 +10,11 @@ up `overlap` of the weight of the item's window, and is then verified on the wor
 subsequence with the whole item must be at least `lcs` of the item, or at least `paraphrase` of it if the item's answer
 (its last quarter) is found too, in that order and nearly whole. Items of under eight words must occur as they are.
 
+Besides, documents are searched for the items' runs of three words (whole items of under three): where an item of n
+words keeps `lcs` of them in place, at most m are replaced and at least n - 2 - 3m runs are left in a span of n words, so
+spans with as many runs of an item are verified too, whatever their cosine. Verbatim items and such with replaced words
+are found so at any length; only paraphrases and copies with words put in or moved depend on the latent space.
+
 Each slice of about SLICE_BYTES of benchmark text is one run of this, so what is sent to the executors is bounded
 whatever the benchmark's size.
 
@@ -76,6 +81,67 @@ class Items:
                     out.append(w[at : at + 2 * HALF])
         return np.array(item, np.int64), out
 
+    def runs(self, lcs: float) -> tuple[np.ndarray, list[tuple]]:
+        """(runs that a span must have of each item, for each length k of runs (k, keys, bounds, item, offset)): the
+        runs of a key are those of items and offsets within its bounds."""
+        size = np.array([len(w) for w in self.words], np.int64)
+        k_of = np.minimum(size, 3)
+        lost = np.where(size < 8, 0, size - np.ceil(lcs * size - 1e-9).astype(np.int64))
+        need = np.maximum(1, size - k_of + 1 - k_of * lost)
+        out = []
+        for k in (1, 2, 3):
+            some = [i for i in np.flatnonzero(k_of == k).tolist()]
+            if not some:
+                continue
+            key = np.concatenate([run_keys(self.words[i], k, len(self.terms)) for i in some])
+            item = np.repeat(some, size[some] - k + 1)
+            offset = np.concatenate([np.arange(size[i] - k + 1) for i in some])
+            by = np.argsort(key, kind="stable")
+            keys, first = np.unique(key[by], return_index=True)
+            out.append((k, keys, np.append(first, len(by)), item[by], offset[by]))
+        return need, out
+
+
+def run_keys(seq: np.ndarray, k: int, terms: int) -> np.ndarray:
+    """A number for each run of k terms of a sequence, -1 if one of them is unknown."""
+    n = len(seq) - k + 1
+    key, known = np.zeros(max(n, 0), np.int64), np.ones(max(n, 0), bool)
+    for j in range(k if n > 0 else 0):
+        key = key * terms + seq[j : j + n]
+        known &= seq[j : j + n] >= 0
+    return np.where(known, key, -1)
+
+
+def spans_of_runs(seq: np.ndarray, first: np.ndarray, terms: int, lengths: np.ndarray, need: np.ndarray, runs: list[tuple], most: int = 1 << 20):
+    """(document, item, start) of the spans of twice an item's length that have enough of its runs; starts lie an item's
+    length apart, so that any span of that length is in one of them whole."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for k, keys, bounds, item, offset in runs:
+        key = run_keys(seq, k, terms)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        pos = np.flatnonzero((keys[at] == key) & (doc[: len(key)] == doc[k - 1 :])) if len(key) else np.zeros(0, np.int64)
+        at = at[pos]
+        many = bounds[at + 1] - bounds[at]
+        before = np.cumsum(many) - many
+        new = np.flatnonzero(np.append(True, doc[pos[1:]] != doc[pos[:-1]])) if len(pos) else np.zeros(0, np.int64)
+        piece = np.repeat(before[new] // most, np.diff(np.append(new, len(pos))))  # whole documents
+        cuts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])).tolist() if len(pos) else []
+        for a, z in zip(cuts, [*cuts[1:], len(pos)], strict=False):
+            m = many[a:z]
+            one = np.repeat(bounds[at[a:z]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            d = np.repeat(doc[pos[a:z]], m)
+            i, o = item[one], offset[one]
+            b = (np.repeat(pos[a:z], m) - first[d]) // lengths[i]
+            up = b > 0
+            d, i, o, b = np.append(d, d[up]), np.append(i, i[up]), np.append(o, o[up]), np.append(b, b[up] - 1)
+            by = np.lexsort((o, b, i, d))
+            d, i, o, b = d[by], i[by], o[by], b[by]
+            span = np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1]))
+            cut = np.flatnonzero(span)
+            n = np.add.reduceat((span | np.append(True, o[1:] != o[:-1])).astype(np.int64), cut)
+            for x in cut[n >= need[i[cut]]].tolist():
+                yield int(d[x]), int(i[x]), int(b[x] * lengths[i[x]])
+
 
 # --- passages -----------------------------------------------------------------------------------------------------
 
@@ -300,10 +366,10 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
     for row, w in zip(share, windows, strict=True):
         w = np.unique(w)
         row[w] = plain[w] / max(float(plain[w].sum()), 1e-9)
-    known = docs.sparkSession.sparkContext.broadcast((items.words, of, q, vectors, weight, blind, share))  # of one slice
+    known = docs.sparkSession.sparkContext.broadcast((items.words, of, q, vectors, weight, blind, share, items.runs(limits.lcs)))  # of one slice
 
     def rows(batches):
-        words, of, q, vectors, weight, blind, share = known.value
+        words, of, q, vectors, weight, blind, share, (need, runs) = known.value
         lengths = np.array([len(w) for w in words])
         for block in blocks(batches, "seq", 4 << 20):
             seq, first = _sequences(block)
@@ -344,6 +410,10 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
             for i in blind:
                 for h in range(len(p.doc)):
                     check(h, i, 0.0)
+            for d, i, start in spans_of_runs(seq, first, len(weight), lengths, need, runs):
+                hit, part, answered = verified(words[i], seq[first[d] + start : min(first[d + 1], first[d] + start + 2 * int(lengths[i]))], limits)
+                if hit and part > best.get((d, i), (-1.0,))[0]:
+                    best[d, i] = (part, best.get((d, i), (0, 0.0))[1], answered, start // HALF * HALF)
             if best:
                 keys = list(best)
                 at = pa.array([d for d, _ in keys])
