@@ -624,3 +624,17 @@ def test_short_items_are_found_at_any_cosine(spark, small, docs):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     lost = Counter(i // 100 for i, _ in items if (i, i) not in got)
     assert not lost
+
+
+def test_separator_scan_names_documents_in_order(spark, tmp_path):
+    """Each document's id and count in ascending order of the ids, and a text that spells a special token is one."""
+    texts = [(i * 7 % 50, "one two " * (i % 5) + ("hello <|endoftext|> world" if i % 3 == 0 else "")) for i in range(50)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tokens.query_separator_scan(spark, str(tmp_path)).collect(), key=lambda r: r.doc)
+    sizes = [len(x) + 1 for x in tokens.Encoder(tokens.vocabulary_path()).whole([t for _, t in sorted(texts)])]
+    assert [r.doc_id for r in got] == list(range(50)) and [r.doc for r in got] == list(range(50))
+    assert [r.n_tokens for r in got] == sizes and [r.start for r in got] == np.cumsum([0, *sizes])[:-1].tolist()
+    flat = spark.createDataFrame([(i, t) for i, t in sorted(texts)], "doc_id long, text string")
+    tokens.write_flat_files(flat, str(tmp_path / "flat"), tokens.vocabulary_path(), tokens.SEPARATOR, tokens=7, ordered=True)
+    small = tokens.separator_scan(spark.read.parquet(str(tmp_path / "flat")), tokens.SEPARATOR).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in small) == [(r.doc_id, r.start, r.n_tokens) for r in got]

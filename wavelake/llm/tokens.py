@@ -33,7 +33,7 @@ from .common import blocks, materialise, new_path, shuffle_partitions, table, te
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-END_OF_TEXT = 49407  # <|endoftext|>, which no text encodes to
+SEPARATOR = 0xFFFF  # no id of the vocabulary: a text that spells <|endoftext|> encodes to that token
 DICTIONARY_BYTES = 64 << 10
 FLAT_TOKENS = 1 << 16
 CACHED = 400_000
@@ -295,32 +295,43 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 
 
 def write_flat_files(docs: DataFrame, path: str, vocabulary: str, end: int = END, tokens: int = FLAT_TOKENS, width: int = 2, ordered: bool = False) -> None:
-    """The ids of `docs` as blocks of `tokens` ids of `width` bytes (part, block, ids) without any index; the last block
-    of a part is shorter. Documents lie in the order of the partitions, or of their ids, which costs a shuffle."""
+    """The ids of `docs` as blocks of `tokens` ids of `width` bytes (part, block, ids); the last block of a part is
+    shorter. doc_ids beside them names the documents that end in a block, without any place. Documents lie in the order
+    of the partitions, or of their ids, which costs a shuffle."""
 
     def rows(batches):
         from pyspark import TaskContext
 
         part, k, rest = TaskContext.get().partitionId(), 0, np.zeros(0, f"<u{width}")
+        names, at = [], np.zeros(0, np.int64)  # documents that end in `rest`, and where
         for block in blocks(batches, limit=8 << 20):
-            ids, _ = encoder(vocabulary).block(*text_bytes(block), end)
+            ids, o = encoder(vocabulary).block(*text_bytes(block), end)
             if int(ids.max(initial=0)) >> 8 * width:
                 raise ValueError(f"ids do not fit {width} bytes")
+            if int((ids == end).sum()) != block.num_rows:
+                raise ValueError("a text encodes to the separator")
+            names += block.column("doc_id").to_pylist()
+            at = np.append(at, len(rest) + np.asarray(o[1:], np.int64) - 1)
             rest = np.concatenate([rest, ids.astype(rest.dtype)])
             full = len(rest) // tokens
             if full:
-                yield _flat(part, k, [rest[i * tokens : (i + 1) * tokens] for i in range(full)])
+                cut = np.searchsorted(at, np.arange(full + 1) * tokens).tolist()
+                yield _flat(part, k, [rest[i * tokens : (i + 1) * tokens] for i in range(full)], [names[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)])
                 k, rest = k + full, rest[full * tokens :]
+                names, at = names[cut[-1] :], at[cut[-1] :] - full * tokens
         if len(rest):
-            yield _flat(part, k, [rest])
+            yield _flat(part, k, [rest], [names])
 
     texts = in_order(docs, shuffle_partitions(docs.sparkSession)) if ordered else docs
-    texts.select("text").mapInArrow(rows, "part int, block int, ids binary").write.option("compression", "zstd").parquet(path)
+    texts.select("doc_id", "text").mapInArrow(rows, _FLAT).write.option("compression", "zstd").parquet(path)
+
+
+_FLAT = "part int, block int, ids binary, doc_ids array<long>"
 
 
-def _flat(part: int, k: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+def _flat(part: int, k: int, parts: list[np.ndarray], names: list[list]) -> pa.RecordBatch:
     n = len(parts)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "block", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(names, pa.list_(pa.int64()))], names=["part", "block", "ids", "doc_ids"])
 
 
 def separator_scan(flat: DataFrame, end: int = END, width: int = 2) -> DataFrame:
@@ -328,8 +339,10 @@ def separator_scan(flat: DataFrame, end: int = END, width: int = 2) -> DataFrame
 
     Pass 1 gives each block's tokens, number of ends, and tokens after its last end; a two-level prefix scan (within
     parts, then over parts) gives for each block the documents and tokens before it and the open tokens that reach into
-    it. Pass 2 lists the documents that end in the block. Tokens after the last end of all are one last document.
+    it. Pass 2 lists the documents that end in the block. Tokens after the last end of all are one last document. With
+    doc_ids in the blocks each row has its doc_id too.
     """
+    named = "doc_ids" in flat.columns
 
     def summary(batches):
         for batch in batches:
@@ -337,9 +350,9 @@ def separator_scan(flat: DataFrame, end: int = END, width: int = 2) -> DataFrame
             hits = [np.flatnonzero(x == end) for x in ids]
             tail = [len(x) - (h[-1] + 1) if len(h) else -1 for x, h in zip(ids, hits, strict=True)]
             spans = [h.astype("<u4").tobytes() for h in hits]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(tail, pa.int64()), pa.array(spans, pa.binary())], names=["part", "block", "n", "ends", "tail", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("block"), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(tail, pa.int64()), pa.array(spans, pa.binary()), *([batch.column("doc_ids")] if named else [])], names=["part", "block", "n", "ends", "tail", "at", *(["doc_ids"] if named else [])])
 
-    found = flat.select("part", "block", "ids").mapInArrow(summary, "part int, block int, n long, ends long, tail long, at binary")
+    found = flat.select("part", "block", "ids", *(["doc_ids"] if named else [])).mapInArrow(summary, "part int, block int, n long, ends long, tail long, at binary" + (", doc_ids array<long>" if named else ""))
     found = materialise(found, "flat-ends")
     upto = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = found.select("part", "block", "n", "ends", "tail", F.sum("n").over(upto).alias("n_to"), F.sum("ends").over(upto).alias("ends_to"))
@@ -362,15 +375,15 @@ def separator_scan(flat: DataFrame, end: int = END, width: int = 2) -> DataFrame
                 r = batch.slice(i, 1).to_pylist()[0]
                 ends = r["base"] + np.frombuffer(r["at"], "<u4").astype(np.int64) + 1
                 starts = np.append(r["open"], ends[:-1]) if len(ends) else ends
-                yield pa.RecordBatch.from_arrays([pa.array(r["docs"] + np.arange(len(ends))), pa.array(starts), pa.array(ends - starts)], names=["doc", "start", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["docs"] + np.arange(len(ends))), pa.array(starts), pa.array(ends - starts), *([pa.array(r["doc_ids"], pa.int64())] if named else [])], names=["doc", "start", "n_tokens", *(["doc_id"] if named else [])])
 
-    closed = whole.select("base", "docs", "open", "at").mapInArrow(listed, "doc long, start long, n_tokens long")
+    closed = whole.select("base", "docs", "open", "at", *(["doc_ids"] if named else [])).mapInArrow(listed, "doc long, start long, n_tokens long" + (", doc_id long" if named else ""))
     rest = sums.groupBy().agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     final = rest.crossJoin(parts.groupBy().agg(F.max(F.col("base") + F.col("last")).alias("last"))).select(F.col("ends").alias("doc"), F.coalesce("last", F.lit(0)).alias("start"), (F.col("n") - F.coalesce("last", F.lit(0))).alias("n_tokens")).where("n_tokens > 0")
-    return closed.unionByName(final)
+    return closed.unionByName(final, allowMissingColumns=True)
 
 
 def query_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "flat-tokens")
-    write_flat_files(table(spark, sf_dir, "documents"), path, vocabulary_path(), END_OF_TEXT)
-    return separator_scan(spark.read.schema("part int, block int, ids binary").parquet(path), END_OF_TEXT)
+    write_flat_files(table(spark, sf_dir, "documents"), path, vocabulary_path(), SEPARATOR, ordered=True)
+    return separator_scan(spark.read.schema(_FLAT).parquet(path), SEPARATOR)
