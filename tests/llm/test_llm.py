@@ -638,3 +638,10 @@ def test_separator_scan_names_documents_in_order(spark, tmp_path):
     tokens.write_flat_files(flat, str(tmp_path / "flat"), tokens.vocabulary_path(), tokens.SEPARATOR, tokens=7, ordered=True)
     small = tokens.separator_scan(spark.read.parquet(str(tmp_path / "flat")), tokens.SEPARATOR).collect()
     assert sorted((r.doc_id, r.start, r.n_tokens) for r in small) == [(r.doc_id, r.start, r.n_tokens) for r in got]
+
+
+def test_lm_query_uses_trigrams(spark, small, docs):
+    """The registered query's held-out score is that of order 3, above that of bigrams."""
+    held = lambda df: df.where("held_out").agg(F.sum("score")).first()[0]
+    got = held(lmscore.query(spark, small))
+    assert got == pytest.approx(held(lmscore.score(docs, order=3))) and got > held(lmscore.score(docs, order=2))

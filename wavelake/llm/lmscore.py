@@ -292,5 +292,5 @@ def score(docs: DataFrame, order: int = 2, folds: int = FOLDS) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), order=3)
 
