@@ -223,9 +223,9 @@ def test_url_query_equals_sql(spark, small, duck):
     assert rows_of(got) == rows_of(want)
 
 
-def test_url_aliases_and_precedence(spark):
+def _url_cases():
     html = '<link rel="canonical" href="{}">'
-    rows = [
+    return [
         (1, "http://a.example.com/en/x", None, "block"),
         (2, "http://x.org/1", html.format("http://a.example.com/en/x"), "block"),  # alias of a blocked url
         (3, "https://x.org/1/?utm_source=a#top", "", "block"),  # another spelling of 2
@@ -238,8 +238,21 @@ def test_url_aliases_and_precedence(spark):
         (9, "HTTP://N.NET/es/", "", "block"),
         (None, "http://z.org", '<meta http-equiv="refresh" content="0; url=//m.net/fr/1">', "block"),
         (11, "://", "", "allow"),
+        (12, "http://a.org/x?u=http://b.net/es/1", None, "allow"),  # a url in a query is no alias
+        (13, "http://q.org/r?u=http://s.example.com/en/1#f", None, "allow"),
+        (14, "http://c.org/in/page", '<link href="../up/./bad" rel=canonical><LINK REL=canonical HREF=mailto:x>', "block"),
+        (15, "http://c.org/up/bad/", html.format("https://k.net/fr/z"), "block"),
+        (16, "http://d.org/x/y.html?p=1", '<meta content="5;URL=?p=2" http-equiv=refresh>' + html.format("z"), "block"),
+        (17, "http://d.org/x/y.html?p=2#a", html.format("#top"), "block"),
+        (18, "http://d.org/x/z", html.format("//e.net/es/"), "block"),
+        (19, "b.net/x?v=http://f.org/", None, "allow"),
+        (20, "http://g.org/net/es/", html.format("http://g.org/" + "a/" * 3000), "allow"),
     ]
-    pages = spark.createDataFrame([(i, u, h, "c") for i, u, h, _ in rows], "page_id long, url string, html string, component string")
+
+
+def test_url_aliases_and_precedence(spark):
+    rows = _url_cases()
+    pages = spark.createDataFrame([(i, u, h, "c", 1) for i, u, h, _ in rows], "page_id long, url string, html string, component string, key int")
     got = sorted((str(r.page_id), r.verdict) for r in url_filter.judge_urls(pages).collect())
     assert got == sorted((str(i), v) for i, _, _, v in rows)
     r = {x.page_id: x for x in url_filter.judge_urls(pages).collect()}
@@ -249,6 +262,19 @@ def test_url_aliases_and_precedence(spark):
     one = spark.createDataFrame([(1, "http://q.org/", None)], "page_id long, url string, html string")
     assert url_filter.judge_urls(one, redirects=extra).first().verdict == "block"
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    tie = spark.createDataFrame([(1, "http://t.org/a", None)], "page_id long, url string, html string")
+    assert url_filter.judge_urls(tie, rules=(("block", "t.org", "/"), ("allow", "t.org", "/"))).first().verdict == "allow"
+
+
+def test_url_sql_on_declared_links(spark, tmp_path):
+    """The cases with links, through the SQL as well as through Spark."""
+    import duckdb
+
+    spark.createDataFrame([r[:3] for r in _url_cases()], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = [tuple(r) for r in url_filter.query(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, con.execute(url_filter.oracle()).fetchall()))
 
 
 # --- 4: language ID -----------------------------------------------------------------------------------------------
