@@ -3,15 +3,17 @@
 Sources are ranked by code point (null last) and weigh 5, 2, 1, repeating. Their targets share the words of all
 documents by weight; a target stops at three times its source's words, and the excess goes to the others by weight
 until none is above. The words of each source are laid end to end and packed into blocks of `block_words`. The output
-is a row of shards of `shard_slots` slots: each shard draws its slots' sources (the whole part of the expected counts
-is granted, the rest is drawn from a multinomial of the remainders), and the j-th slot of a source takes block
-`permutation(j mod blocks)`, with a new pseudorandom permutation for each pass over the source. No source gets more
-slots than three passes have. Joining slots and blocks by (source, block) gives how often each block, and so each
-document, is taken.
+is a row of shards of `shard_slots` slots, and each shard draws its slots' sources from one multinomial. Over all shards
+a source is then drawn somewhat more or less often than its target says (by the square root of its slots); the surplus
+slots, spread over all shards by a permutation of the source's slots, go to the sources that lack some, so that the
+totals are the targets' whole numbers. The j-th slot of a source takes block `permutation(j mod blocks)`, with a new
+pseudorandom permutation for each pass over the source. No source gets more slots than three passes have. Joining slots
+and blocks by (source, block) gives how often each block, and so each document, is taken.
 
 Null texts and texts without words have size 0 and are never taken; a null source is a source; a null doc_id is an id
-like others; equal rows each keep their own place. An empty table gives an empty mix. The sources' totals (one row for
-each source) are the only thing that the driver gathers.
+like others; equal rows each keep their own place; ties of a source's order go by id, then by a hash of the row. A text
+of any length is one row, and spans as many blocks as it fills. An empty table gives an empty mix. The sources' totals
+(one row for each source) are the only thing that the driver gathers; columns of any name are carried unread.
 """
 
 from __future__ import annotations
@@ -46,12 +48,13 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, most=MOST) -> dict[st
         whole = sum(weight[s] for s in open_)
         full = [s for s in names if s in open_ and left * weight[s] / whole >= most * sizes[s]]
         if not full:
-            return out | {s: left * weight[s] / whole for s in open_}
+            out |= {s: left * weight[s] / whole for s in open_}
+            break
         for s in full:
             out[s] = float(most * sizes[s])
         left -= sum(out[s] for s in full)
         open_ -= set(full)
-    return out
+    return {s: out[s] for s in names}
 
 
 def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -85,6 +88,27 @@ def laid_out(docs: DataFrame, block_words: int) -> DataFrame:
     return placed.join(starts.hint("merge"), ["src", "lot"]).select("doc_id", "tag", "src", "size", (F.col("lot_at") + F.col("in_lot")).alias("at"))
 
 
+def whole_slots(want: np.ndarray, total: int) -> np.ndarray:
+    """`want` as whole numbers of sum `total`, by the largest remainders."""
+    out = np.floor(want).astype(np.int64)
+    rest = np.argsort(out - want, kind="stable")
+    out[rest[: total - int(out.sum())]] += 1
+    return out
+
+
+def reassigned(src: np.ndarray, j: np.ndarray, drawn: np.ndarray, wanted: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, slot of it) of slots that were drawn as the j-th of a source: `drawn` slots of each source become
+    `wanted` ones. A permutation of the source's slots says which are surplus; these fill up the sources that lack some."""
+    j = permuted(j, drawn[src], mix64(src.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)))
+    over, under = np.maximum(drawn - wanted, 0), np.maximum(wanted - drawn, 0)
+    surplus = j >= wanted[src]
+    nth = (np.cumsum(over) - over)[src[surplus]] + j[surplus] - wanted[src[surplus]]
+    to = np.searchsorted(np.cumsum(under), nth, side="right")
+    src, j = src.copy(), j.copy()
+    src[surplus], j[surplus] = to, drawn[to] + nth - (np.cumsum(under) - under)[to]
+    return src, j
+
+
 def mixed_blocks(spark: SparkSession, sources: list[tuple[int, int, float]], seed: int, block_words: int, shard_slots: int, most: int = MOST) -> DataFrame:
     """(src, block, uses) of the blocks that the mix takes. sources: (rank, words, target words)."""
     ranks = np.array([s[0] for s in sources], np.int64)
@@ -94,36 +118,39 @@ def mixed_blocks(spark: SparkSession, sources: list[tuple[int, int, float]], see
     total = int(round(want.sum()))
     shards = -(-total // shard_slots)
     share = want / want.sum()
+    wanted = np.minimum(whole_slots(want, total), most * n_blocks)
+    lot_shards = 512
 
     def draw(batches):
         for pdf in batches:
-            out = []
-            for shard in pdf["id"]:
-                slots = min(shard_slots, total - int(shard) * shard_slots)
-                sure = np.floor(slots * share).astype(np.int64)
-                rest = slots * share - sure
-                more = int(slots - sure.sum())
-                drawn = np.random.default_rng([seed, int(shard)]).multinomial(more, rest / rest.sum()) if more else 0 * sure
-                out.append(pd.DataFrame({"shard": int(shard), "src": ranks, "n": sure + drawn}))
-            if out:
-                yield pd.concat(out)
-
-    counts = spark.range(0, shards, 1, max(1, min(shards, shuffle_partitions(spark)))).mapInPandas(draw, "shard long, src long, n long").where("n > 0")
-    before = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("first", F.sum("n").over(before) - F.col("n"))
-    limits = dict(zip(ranks.tolist(), n_blocks.tolist(), strict=True))
+            ids = pdf["id"].to_numpy(np.int64)
+            n = [np.random.default_rng([seed, int(i)]).multinomial(min(shard_slots, total - int(i) * shard_slots), share) for i in ids]
+            yield pd.DataFrame({"shard": np.repeat(ids, len(ranks)), "nth": np.tile(np.arange(len(ranks)), len(ids)), "n": np.concatenate(n) if n else np.zeros(0, np.int64)})
+
+    counts = spark.range(0, shards, 1, max(1, min(shards, shuffle_partitions(spark)))).mapInPandas(draw, "shard long, nth long, n long").withColumn("lot", F.expr(f"shard div {lot_shards}"))
+    counts = materialise(counts, "mix-counts")
+    # slots of a source before each shard: within lots of shards, then over lots, so that no window has a row for each shard
+    upto = Window.partitionBy("nth").orderBy("lot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lots = counts.groupBy("nth", "lot").agg(F.sum("n").alias("lot_n")).withColumn("lot_first", F.sum("lot_n").over(upto) - F.col("lot_n"))
+    within = Window.partitionBy("nth", "lot").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("in_lot", F.sum("n").over(within) - F.col("n")).join(lots.hint("merge"), ["nth", "lot"])
+    placed = placed.where("n > 0").select("shard", "nth", "n", (F.col("lot_first") + F.col("in_lot")).alias("first"))
+    sums = {r["nth"]: r["n"] for r in counts.groupBy("nth").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    drawn = np.array([sums[i] for i in range(len(ranks))], np.int64)
 
     def slots(batches):
         for pdf in batches:
-            of = pdf["src"].map(limits).to_numpy(np.int64)
-            first = pdf["first"].to_numpy(np.int64)
-            n = np.clip(most * of - first, 0, pdf["n"].to_numpy(np.int64))
-            src, of = np.repeat(pdf["src"].to_numpy(np.int64), n), np.repeat(of, n)
-            j = np.arange(len(src)) - np.repeat(np.cumsum(n) - n - first, n)
+            n, first = pdf["n"].to_numpy(np.int64), pdf["first"].to_numpy(np.int64)
+            nth = np.repeat(pdf["nth"].to_numpy(np.int64), n)
+            j = np.arange(len(nth)) - np.repeat(np.cumsum(n) - n - first, n)
+            nth, j = reassigned(nth, j, drawn, wanted, seed)
+            keep = j < wanted[nth]
+            nth, j = nth[keep], j[keep]
+            of, src = n_blocks[nth], ranks[nth]
             key = mix64(np.uint64(seed) + mix64(src.astype(np.uint64) * np.uint64(1 << 32) + (j // of).astype(np.uint64)))
             yield pd.DataFrame({"src": src, "block": permuted(j % of, of, key)})
 
-    dealt = counts.repartition(shuffle_partitions(spark), "shard", "src").mapInPandas(slots, "src long, block long")
+    dealt = placed.repartition(shuffle_partitions(spark), "shard", "nth").mapInPandas(slots, "src long, block long")
     return dealt.groupBy("src", "block").agg(F.count("*").alias("uses"))
 
 
@@ -165,22 +192,21 @@ def mixed_documents(docs: DataFrame, seed: int = 20240) -> DataFrame:
     """The mix as documents with the columns of `docs`: for each pass a document's words in the blocks that the mix
     takes at least so often; a whole text is kept as it is. n_chars, if there, is that of the new text."""
     known, pieces = mix(docs, seed)
-    names = docs.columns
-    tagged = docs.withColumn("_k", F.xxhash64("text", "source")).withColumn("_n", F.lit(1))
+    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("id", F.col("row.doc_id")).withColumn("key", F.xxhash64("row.text", "row.source"))
     if known.groupBy("doc_id", "tag0").count().where("count > 1").isEmpty():
-        tagged = tagged.withColumn("_tag", F.xxhash64("_k", "_n"))
+        tagged = tagged.withColumn("tag", F.xxhash64("key", F.lit(1)))
     else:  # only equal rows need numbers, and only these cost a shuffle of the texts
-        alike = Window.partitionBy("doc_id", "_k").orderBy("_n")
-        tagged = tagged.withColumn("_tag", F.xxhash64("_k", F.row_number().over(alike)))
-    used = pieces.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "uses"))).alias("_p"))
-    joined = tagged.join(used.hint("merge"), tagged.doc_id.eqNullSafe(used._id) & (tagged._tag == used._t)).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_p", lambda p: p["uses"])).cast("int"))))
-    joined = joined.withColumn("_p", F.filter("_p", lambda p: p["uses"] >= F.col("_pass")))
-    whole = F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["hi"] - p["lo"]) == F.col("_size")
-    part = cut_words(F.when(~whole, F.col("text")), F.when(~whole, F.col("_p.lo")), F.when(~whole, F.col("_p.hi")))
-    out = joined.withColumn("_cut", part).withColumn("text", F.coalesce("_cut", "text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+        alike = Window.partitionBy("id", "key").orderBy("key")
+        tagged = tagged.withColumn("tag", F.xxhash64("key", F.row_number().over(alike)))
+    used = pieces.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag"), F.col("size").alias("n")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "uses"))).alias("parts"))
+    joined = tagged.join(used.hint("merge"), tagged.id.eqNullSafe(used.of_id) & (tagged.tag == used.of_tag)).withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["uses"])).cast("int"))))
+    joined = joined.withColumn("parts", F.filter("parts", lambda p: p["uses"] >= F.col("pass")))
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["hi"] - p["lo"]) == F.col("n")
+    part = cut_words(F.when(~whole, F.col("row.text")), F.when(~whole, F.col("parts.lo")), F.when(~whole, F.col("parts.hi")))
+    out = joined.withColumn("row", F.col("row").withField("text", F.coalesce(part, "row.text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def _cut(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
