@@ -9,8 +9,9 @@ of tokens, offset index, and one zstandard frame for each document, so one short
 range and its offset. The dictionary is trained on the serialized ids of a bounded sample (`sample` documents with the
 smallest hashes) and lies beside the blocks.
 
-Flat files: the ids of all documents one after the other, each with the end id, cut into blocks of equal length that
-know nothing of documents. separator_scan() finds the end ids of each block with one vectorised comparison and stitches
+Flat files: the ids of all documents in ascending doc_id order, each with the end id, cut into blocks of equal length
+that know nothing of documents. Texts are encoded where they lie; what is shuffled into order is each document's ids as a
+small compressed frame. separator_scan() finds the end ids of each block with one vectorised comparison and stitches
 documents that cross blocks with a prefix scan of the blocks' summaries.
 
 Null texts are empty documents with only the end id; null doc ids come first, and rows of equal doc_id follow each other
@@ -19,6 +20,7 @@ in the order of their texts' hashes. An empty table gives files without rows. Fu
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from functools import cache
@@ -36,6 +38,7 @@ END = 2
 SEPARATOR = 0xFFFF  # no id of the vocabulary: a text that spells <|endoftext|> encodes to that token
 DICTIONARY_BYTES = 64 << 10
 FLAT_TOKENS = 1 << 16
+PACK_LEVEL = 9
 CACHED = 400_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = 0, 1, 2, 3, 4
@@ -294,25 +297,60 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 # --- flat files ---------------------------------------------------------------------------------------------------
 
 
-def write_flat_files(docs: DataFrame, path: str, vocabulary: str, end: int = END, tokens: int = FLAT_TOKENS, width: int = 2, ordered: bool = False) -> None:
-    """The ids of `docs` as blocks of `tokens` ids of `width` bytes (part, block, ids); the last block of a part is
-    shorter. doc_ids beside them names the documents that end in a block, without any place. Documents lie in the order
-    of the partitions, or of their ids, which costs a shuffle."""
+def order_bounds(docs: DataFrame, parts: int) -> list[tuple]:
+    """The first row of each of `parts` ranges of the documents in ascending (null first, doc_id, hash of the text)."""
+    order = (F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    slim = docs.select(*order).repartitionByRange(parts, "known", "doc_id", "h").sortWithinPartitions("known", "doc_id", "h")
 
-    def rows(batches):
-        from pyspark import TaskContext
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
 
-        part, k, rest = TaskContext.get().partitionId(), 0, np.zeros(0, f"<u{width}")
-        names, at = [], np.zeros(0, np.int64)  # documents that end in `rest`, and where
-        for block in blocks(batches, limit=8 << 20):
+    return sorted(tuple(r) for r in slim.mapInArrow(first, slim.schema).collect())  # a row for each part
+
+
+def packed_ids(docs: DataFrame, vocabulary: str, end: int, width: int, bounds: list[tuple], trained: bytes) -> DataFrame:
+    """(part, known, doc_id, h, frame): each document's ids as one small frame, so that ids and not texts are shuffled."""
+
+    def rows(batches):
+        packer = zstandard.ZstdCompressor(level=PACK_LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        for block in blocks(batches, limit=4 << 20):
             ids, o = encoder(vocabulary).block(*text_bytes(block), end)
             if int(ids.max(initial=0)) >> 8 * width:
                 raise ValueError(f"ids do not fit {width} bytes")
             if int((ids == end).sum()) != block.num_rows:
                 raise ValueError("a text encodes to the separator")
-            names += block.column("doc_id").to_pylist()
-            at = np.append(at, len(rest) + np.asarray(o[1:], np.int64) - 1)
-            rest = np.concatenate([rest, ids.astype(rest.dtype)])
+            raw = ids.astype(f"<u{width}")
+            frames = [packer.compress(raw[i:j].tobytes()) for i, j in zip(o[:-1], o[1:], strict=True)]
+            keys = [block.column(c).to_pylist() for c in ("known", "doc_id", "h")]
+            part = [max(0, bisect.bisect_right(bounds, k) - 1) for k in zip(*keys, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(block.column(c).combine_chunks() for c in ("known", "doc_id", "h")), pa.array(frames, pa.binary())], names=["part", "known", "doc_id", "h", "frame"])
+
+    texts = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    return texts.mapInArrow(rows, "part int, known boolean, doc_id long, h long, frame binary")
+
+
+def write_flat_files(docs: DataFrame, path: str, vocabulary: str, end: int = END, tokens: int = FLAT_TOKENS, width: int = 2) -> None:
+    """The ids of `docs` in ascending doc_id order as blocks of `tokens` ids of `width` bytes (part, block, ids); the last
+    block of a part is shorter. doc_ids beside them names the documents that end in a block, without any place. An id
+    that a text encodes to cannot be `end`, and ids must fit the width; else this raises an error."""
+    spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
+    trained = train_dictionary(docs, vocabulary)
+
+    def rows(batches):
+        from pyspark import TaskContext
+
+        part, k, rest = TaskContext.get().partitionId(), 0, np.zeros(0, f"<u{width}")
+        names, at = [], np.zeros(0, np.int64)  # documents that end in `rest`, and where
+        unpacker = _unpacker(trained)
+        for block in blocks(batches, "frame", limit=2 << 20):
+            found = [np.frombuffer(unpacker.decompress(f.as_py()), rest.dtype) for f in block.column("frame")]
+            names += [i if known else None for known, i in zip(block.column("known").to_pylist(), block.column("doc_id").to_pylist(), strict=True)]
+            at = np.append(at, len(rest) + np.cumsum([len(x) for x in found]) - 1)
+            rest = np.concatenate([rest, *found])
             full = len(rest) // tokens
             if full:
                 cut = np.searchsorted(at, np.arange(full + 1) * tokens).tolist()
@@ -322,8 +360,10 @@ def write_flat_files(docs: DataFrame, path: str, vocabulary: str, end: int = END
         if len(rest):
             yield _flat(part, k, [rest], [names])
 
-    texts = in_order(docs, shuffle_partitions(docs.sparkSession)) if ordered else docs
-    texts.select("doc_id", "text").mapInArrow(rows, _FLAT).write.option("compression", "zstd").parquet(path)
+    packed = packed_ids(docs, vocabulary, end, width, order_bounds(docs, parts), trained)
+    ordered = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("known", "doc_id", "h")
+    out = ordered.select("known", "doc_id", "frame").mapInArrow(rows, _FLAT)
+    out.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(PACK_LEVEL)).parquet(path)
 
 
 _FLAT = "part int, block int, ids binary, doc_ids array<long>"
@@ -365,9 +405,9 @@ def separator_scan(flat: DataFrame, end: int = END, width: int = 2) -> DataFrame
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = materialise(parts.withColumn("open", F.coalesce(F.max(F.col("base") + F.col("last")).over(earlier), F.lit(0))), "flat-parts")
     before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sums.withColumn("last_before", F.max("last_to").over(before)).join(parts.drop("last"), "part")
+    placed = sums.withColumn("last_before", F.max("last_to").over(before)).join(parts.drop("last").hint("merge"), "part")
     placed = placed.select("part", "block", (F.col("base") + F.col("n_to") - F.col("n")).alias("base"), (F.col("docs") + F.col("ends_to") - F.col("ends")).alias("docs"), F.coalesce(F.col("base") + F.col("last_before"), F.col("open")).alias("open"), F.col("n").alias("size"))
-    whole = found.join(placed, ["part", "block"])
+    whole = found.join(placed.hint("merge"), ["part", "block"])
 
     def listed(batches):
         for batch in batches:
@@ -378,12 +418,14 @@ def separator_scan(flat: DataFrame, end: int = END, width: int = 2) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(r["docs"] + np.arange(len(ends))), pa.array(starts), pa.array(ends - starts), *([pa.array(r["doc_ids"], pa.int64())] if named else [])], names=["doc", "start", "n_tokens", *(["doc_id"] if named else [])])
 
     closed = whole.select("base", "docs", "open", "at", *(["doc_ids"] if named else [])).mapInArrow(listed, "doc long, start long, n_tokens long" + (", doc_id long" if named else ""))
-    rest = sums.groupBy().agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    final = rest.crossJoin(parts.groupBy().agg(F.max(F.col("base") + F.col("last")).alias("last"))).select(F.col("ends").alias("doc"), F.coalesce("last", F.lit(0)).alias("start"), (F.col("n") - F.coalesce("last", F.lit(0))).alias("n_tokens")).where("n_tokens > 0")
+    # one row for each part; what follows the last end of all
+    whole_parts = parts.join(sums.groupBy("part").agg(F.max("n_to").alias("n"), F.max("ends_to").alias("ends")).hint("merge"), "part")
+    final = whole_parts.agg(F.sum("ends").alias("doc"), F.coalesce(F.max(F.col("base") + F.col("last")), F.lit(0)).alias("start"), F.sum("n").alias("n"))
+    final = final.select("doc", "start", (F.col("n") - F.col("start")).alias("n_tokens")).where("n_tokens > 0")
     return closed.unionByName(final, allowMissingColumns=True)
 
 
 def query_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "flat-tokens")
-    write_flat_files(table(spark, sf_dir, "documents"), path, vocabulary_path(), SEPARATOR, ordered=True)
+    write_flat_files(table(spark, sf_dir, "documents"), path, vocabulary_path(), SEPARATOR)
     return separator_scan(spark.read.schema(_FLAT).parquet(path), SEPARATOR)
