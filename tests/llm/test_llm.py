@@ -337,6 +337,29 @@ def test_media_tables(spark):
     assert got[3].error and got[4].error and got[5].error
 
 
+def test_hostile_media(spark):
+    """Deep nesting, counts beyond the file and tables that do not fit give an error, little memory and no crash."""
+    import struct
+
+    plain = media.write_media(bytes(range(200)) * 5)
+    deep = b""
+    for _ in range(3000):
+        deep = media.box(b"moov", deep)
+    huge = media.box(b"moov", media.box(b"trak", media.full(b"stsz", struct.pack(">II", 64, 0xFFFFFFFF))))
+    times = plain.replace(b"stts" + bytes(4) + struct.pack(">I", 1), b"stts" + bytes(4) + struct.pack(">I", 0xFFFFFFFF))
+    wide = plain.replace(struct.pack(">III", 1, 16, 64), struct.pack(">III", 1, 0xFFFFFFFF, 0xFFFFFFFF))
+    chunks = plain.replace(b"stco" + bytes(4) + struct.pack(">I", 1), b"stco" + bytes(4) + struct.pack(">I", 7))
+    bad = [deep, huge, times, wide, chunks, plain[:-70], plain + b"x", media.box(b"moov", media.box(b"trak", media.box(b"mdhd")), media.box(b"trak", media.box(b"mdhd", b"1")))]
+    bad += [plain[:i] + bytes([255] * 4) + plain[i + 4 :] for i in range(0, plain.index(b"mdat"), 3)]
+    got = {r.id: r for r in media.describe_media(spark.createDataFrame(list(enumerate([plain, *bad])), "id int, content binary"), "id").collect()}
+    assert len(got) == len(bad) + 1 and got[0].error is None and got[0].tracks[0].samples == 16
+    assert all(got[i].error for i in (1, 2, 3, 5, 6, 7, 8))
+    small = b"".join((bytes([0, 0, 0, 0]), bytes(3), bytes([4]), struct.pack(">I", 3), bytes([0x12, 0x30])))
+    t = media.Track()
+    t.take(b"stz2", memoryview(small), 0, len(small))
+    assert t.sizes.tolist() == [1, 2, 3] and t.before(np.array([3])).tolist() == [6]
+
+
 # --- 6 and 9: tokens ----------------------------------------------------------------------------------------------
 
 

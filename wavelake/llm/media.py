@@ -4,9 +4,12 @@ describe_media() walks the nested boxes of each file, decodes the sample tables
 duration and the byte range and time of each keyframe; payload bytes are never decoded. write_media() stores a payload
 as the constant-size samples of one track. Both run as Arrow batches over the rows of a table; each file is one row.
 
-Null content gives null columns; an empty, cut or damaged file gives a row with `error` set and what was read before
-the damage. Boxes of size 0 reach to the end, size 1 has 64 bits; unknown boxes are skipped. Rows are independent, so
-repeats give equal rows and an empty table gives an empty result; further columns of the input are not read.
+Null content gives null columns; an empty, cut, damaged or hostile file gives a row with `error` set and what was read
+before the damage, without keyframes. Boxes of size 0 reach to the end, size 1 has 64 bits; unknown boxes are skipped,
+and boxes that nest over DEPTH deep are an error. Counts are checked against the length of the file before anything is
+made of them. Movie fragments and edit lists are not read. Rows are independent, so repeats and ties give equal rows; a
+file (or text) of any length is one row, held whole by one task; an empty table gives an empty result; further columns of
+the input are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,108 +32,154 @@ SAMPLES_A_CHUNK = 256
 KEYFRAME_EVERY = 32
 TIMESCALE = 8000
 CODEC = b"raw "
+DEPTH = 32
 
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
 
-TRACKS = "array<struct<track_id:int,handler:string,codec:string,timescale:long,duration:long,samples:long,bytes:long,keyframes:array<struct<offset:long,length:long,time:long>>>>"
+TRACKS = "array<struct<track_id:long,handler:string,codec:string,timescale:long,duration:long,samples:long,bytes:long,keyframes:array<struct<offset:long,length:long,time:long>>>>"
 
 
 # --- reading ------------------------------------------------------------------------------------------------------
 
 
 def walk(buf: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(type, start, end) of each box body between at and end, parents before children."""
-    while at + 8 <= end:
+    """(type, start, end) of each box body between at and end, parents before children; DEPTH levels at most."""
+    open_ = [end]
+    while open_:
+        if at == open_[-1]:
+            open_.pop()
+            continue
+        if at + 8 > open_[-1]:
+            raise ValueError("bytes after the last box")
         size, kind = struct.unpack_from(">I4s", buf, at)
         head = 8
         if size == 1:
-            if at + 16 > end:
+            if at + 16 > open_[-1]:
                 raise ValueError("cut box header")
             size, head = struct.unpack_from(">Q", buf, at + 8)[0], 16
-        size = size or end - at
-        if size < head or at + size > end:
+        size = size or open_[-1] - at
+        if size < head or at + size > open_[-1]:
             raise ValueError(f"box {kind.decode('latin-1')} of {size} bytes does not fit")
         yield kind, at + head, at + size
         if kind in CONTAINERS:
-            yield from walk(buf, at + head, at + size)
-        at += size
-    if at != end:
-        raise ValueError("bytes after the last box")
+            if len(open_) == DEPTH:
+                raise ValueError(f"boxes nest over {DEPTH} deep")
+            open_.append(at + size)
+            at += head
+        else:
+            at += size
 
 
-def _u32(buf: memoryview, at: int, n: int, end: int) -> np.ndarray:
-    if n < 0 or at + 4 * n > end:
+def _u32(buf: memoryview, at: int, n: int, end: int, kind: str = ">u4") -> np.ndarray:
+    """n numbers; they must lie in the box, so that no count makes a table larger than the file."""
+    if n < 0 or at + np.dtype(kind).itemsize * n > end:
         raise ValueError("cut table")
-    return np.frombuffer(buf, ">u4", n, at).astype(np.int64)
+    return np.frombuffer(buf, kind, n, at).astype(np.int64)
 
 
 class Track:
-    """The tables of one track as they are met, and what follows from them."""
+    """The tables of one track as they are met, and what follows from them. Tables stay as runs: a constant sample size is
+    one number, sample times and chunks are worked out only where they are asked for."""
 
     def __init__(self):
         self.id, self.handler, self.codec, self.timescale, self.duration = None, None, None, 0, 0
         self.stts = self.stsc = np.zeros((0, 2), np.int64)
-        self.sizes, self.chunks, self.sync = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        self.samples, self.same, self.sizes = 0, 0, np.zeros(0, np.int64)
+        self.chunks, self.sync = np.zeros(0, np.int64), None
 
     def take(self, kind: bytes, buf: memoryview, a: int, z: int) -> None:
+        count = lambda: struct.unpack_from(">I", buf[:z], a + 4)[0]
         if kind == b"tkhd":
-            self.id = struct.unpack_from(">I", buf, a + (20 if buf[a] else 12))[0]
+            self.id = struct.unpack_from(">I", buf[:z], a + (20 if buf[a] else 12))[0]
         elif kind == b"mdhd":
-            self.timescale, self.duration = struct.unpack_from(">IQ", buf, a + 20) if buf[a] else struct.unpack_from(">II", buf, a + 12)
+            self.timescale, self.duration = struct.unpack_from(">IQ", buf[:z], a + 20) if buf[a] else struct.unpack_from(">II", buf[:z], a + 12)
+            if self.duration >> 63:
+                raise ValueError("duration over 63 bits")
         elif kind == b"hdlr" and self.handler is None:
-            self.handler = bytes(buf[a + 8 : a + 12]).decode("latin-1")
+            self.handler = bytes(buf[a + 8 : min(a + 12, z)]).decode("latin-1")
         elif kind == b"stsd":
-            self.codec = bytes(buf[a + 12 : a + 16]).decode("latin-1")
+            self.codec = bytes(buf[a + 12 : min(a + 16, z)]).decode("latin-1")
         elif kind == b"stts":
-            self.stts = _u32(buf, a + 8, 2 * struct.unpack_from(">I", buf, a + 4)[0], z).reshape(-1, 2)
+            self.stts = _u32(buf, a + 8, 2 * count(), z).reshape(-1, 2)
         elif kind == b"stsc":
-            self.stsc = _u32(buf, a + 8, 3 * struct.unpack_from(">I", buf, a + 4)[0], z).reshape(-1, 3)[:, :2]
+            self.stsc = _u32(buf, a + 8, 3 * count(), z).reshape(-1, 3)[:, :2]
         elif kind == b"stsz":
-            same, n = struct.unpack_from(">II", buf, a + 4)
-            self.sizes = np.full(n, same, np.int64) if same else _u32(buf, a + 12, n, z)
+            self.same, self.samples = struct.unpack_from(">II", buf[:z], a + 4)
+            self.sizes = np.zeros(0, np.int64) if self.same else _u32(buf, a + 12, self.samples, z)
+        elif kind == b"stz2":
+            bits, self.samples = buf[a + 7], struct.unpack_from(">I", buf[:z], a + 8)[0]
+            if bits not in (4, 8, 16):
+                raise ValueError(f"sample sizes of {bits} bits")
+            raw = _u32(buf, a + 12, -(-self.samples * bits // 8) if bits < 16 else self.samples, z, ">u2" if bits == 16 else ">u1")
+            self.same, self.sizes = 0, (np.stack([raw >> 4, raw & 15], 1).ravel() if bits == 4 else raw)[: self.samples]
         elif kind == b"stco":
-            self.chunks = _u32(buf, a + 8, struct.unpack_from(">I", buf, a + 4)[0], z)
+            self.chunks = _u32(buf, a + 8, count(), z)
         elif kind == b"co64":
-            n = struct.unpack_from(">I", buf, a + 4)[0]
-            if a + 8 + 8 * n > z:
-                raise ValueError("cut table")
-            self.chunks = np.frombuffer(buf, ">u8", n, a + 8).astype(np.int64)
+            self.chunks = _u32(buf, a + 8, count(), z, ">u8")
+            if (self.chunks < 0).any():
+                raise ValueError("chunk offset over 63 bits")
         elif kind == b"stss":
-            self.sync = _u32(buf, a + 8, struct.unpack_from(">I", buf, a + 4)[0], z) - 1
-
-    def offsets(self) -> np.ndarray:
-        """Byte offset of each sample: its chunk's, plus the sizes before it in the chunk."""
-        n, k = len(self.sizes), len(self.chunks)
-        if not n:
-            return np.zeros(0, np.int64)
+            self.sync = _u32(buf, a + 8, count(), z) - 1
+
+    def before(self, k: np.ndarray) -> np.ndarray:
+        """Bytes of all samples before each of k."""
+        if self.same:
+            return k * self.same
+        return np.append(0, np.cumsum(self.sizes))[k]
+
+    @property
+    def bytes(self) -> int:
+        return self.same * self.samples if self.same else int(self.sizes.sum())
+
+    def chunk_firsts(self) -> np.ndarray:
+        """The first sample of each chunk; the chunks must hold all samples."""
+        k = len(self.chunks)
+        if not self.samples:
+            return np.zeros(k, np.int64)
         first = self.stsc[:, 0] - 1
         runs = np.diff(np.append(first, k))
         if not k or not len(first) or first[0] != 0 or (runs < 0).any():
             raise ValueError("sample-to-chunk table does not fit")
-        per = np.repeat(self.stsc[:, 1], runs)
-        chunk = np.repeat(np.arange(k), per)[:n]
-        if len(chunk) < n:
+        per = np.repeat(self.stsc[:, 1], runs)  # a number for each chunk of the file's table
+        if sum(int(p) * int(r) for p, r in zip(self.stsc[:, 1], runs, strict=True)) < self.samples:
             raise ValueError("more samples than the chunks hold")
-        ends = np.cumsum(self.sizes)
-        starts = ends - self.sizes
-        lead = np.zeros(k, np.int64)
-        where = np.concatenate([[0], np.cumsum(per)[:-1]])
-        live = where < n
-        lead[live] = starts[where[live]]
-        return self.chunks[chunk] + starts - lead[chunk]
-
-    def times(self) -> np.ndarray:
-        deltas = np.repeat(self.stts[:, 1], self.stts[:, 0])[: len(self.sizes)]
-        if len(deltas) < len(self.sizes):
+        if int(per.max(initial=0)) * k >> 62:
+            raise ValueError("sample-to-chunk table does not fit")
+        return np.cumsum(per) - per
+
+    def place(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offset, length) of samples k: the chunk's offset, plus the sizes before it in the chunk."""
+        first = self.chunk_firsts()
+        chunk = np.searchsorted(first, k, side="right") - 1
+        size = np.full(len(k), self.same) if self.same else self.sizes[k]
+        return self.chunks[chunk] + self.before(k) - self.before(first[chunk]), size
+
+    def times(self, k: np.ndarray) -> np.ndarray:
+        ends = [int(n) for n in self.stts[:, 0]]
+        if sum(ends) < self.samples:
             raise ValueError("time table is too short")
-        return np.cumsum(deltas) - deltas
+        if sum(int(n) * int(d) for n, d in self.stts) >> 63:
+            raise ValueError("times over 63 bits")
+        upto = np.cumsum(self.stts[:, 0])
+        run = np.searchsorted(upto, k, side="right")
+        start = np.cumsum(self.stts[:, 0] * self.stts[:, 1]) - self.stts[:, 0] * self.stts[:, 1]
+        return start[run] + (k - (upto - self.stts[:, 0])[run]) * self.stts[run, 1]
 
     def keyframes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(offset, length, time) of the sync samples; without a table of them every sample is one."""
-        at, t = self.offsets(), self.times()
-        k = np.arange(len(self.sizes)) if self.sync is None else self.sync[(self.sync >= 0) & (self.sync < len(self.sizes))]
-        return at[k], self.sizes[k], t[k]
+        k = np.arange(self.samples) if self.sync is None else self.sync[(self.sync >= 0) & (self.sync < self.samples)]
+        return *self.place(k), self.times(k)
+
+    def check(self, length: int) -> None:
+        """Whether the tables fit each other and a file of that length."""
+        if self.samples and self.bytes > length:
+            raise ValueError("samples of more bytes than the file")
+        if self.same == 0 and len(self.sizes) < self.samples:
+            raise ValueError("cut table")
+        if self.same and self.samples > length:  # each has a byte at least
+            raise ValueError("more samples than bytes")
+        self.chunk_firsts(), self.times(np.zeros(0, np.int64))
 
 
 def read_tracks(content: bytes) -> tuple[list[Track], str | None, str | None]:
@@ -139,15 +188,15 @@ def read_tracks(content: bytes) -> tuple[list[Track], str | None, str | None]:
     try:
         for kind, a, z in walk(buf, 0, len(buf)):
             if kind == b"ftyp":
-                brand = bytes(buf[a : a + 4]).decode("latin-1")
+                brand = bytes(buf[a : min(a + 4, z)]).decode("latin-1")
             elif kind == b"trak":
                 tracks.append(Track())
-            elif tracks:
+            elif tracks and z > a:
                 tracks[-1].take(kind, buf, a, z)
         if not len(buf):
             raise ValueError("empty file")
         for t in tracks:
-            t.offsets(), t.times()
+            t.check(len(buf))
     except (ValueError, struct.error, IndexError) as e:
         return tracks, brand, str(e)
     return tracks, brand, None
@@ -169,11 +218,9 @@ def describe_media(files: DataFrame, key: str, content: str = "content") -> Data
                 tracks, brand, error = read_tracks(c.as_py())
                 described = []
                 for t in tracks:
-                    try:
-                        frames = [dict(offset=int(o), length=int(n), time=int(x)) for o, n, x in zip(*t.keyframes(), strict=True)]
-                    except ValueError:
-                        frames = []
-                    described.append(dict(track_id=t.id, handler=t.handler, codec=t.codec, timescale=t.timescale, duration=t.duration, samples=len(t.sizes), bytes=int(t.sizes.sum()), keyframes=frames))
+                    # of a damaged file only the tables' plain numbers
+                    frames = [] if error else [dict(offset=int(o), length=int(n), time=int(x)) for o, n, x in zip(*t.keyframes(), strict=True)]
+                    described.append(dict(track_id=t.id, handler=t.handler, codec=t.codec, timescale=t.timescale, duration=t.duration, samples=t.samples, bytes=None if t.bytes >> 63 else t.bytes, keyframes=frames))
                 out.append((k, brand, described, error))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -239,10 +286,12 @@ def read_payload(content: bytes) -> tuple[bytes, Track]:
     if error:
         raise ValueError(error)
     t = tracks[0]
-    at = t.offsets()
-    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1] + t.sizes[:-1])) if len(at) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(at)) - 1
-    return b"".join(content[at[i] : at[j] + t.sizes[j]] for i, j in zip(cuts, ends, strict=True)), t
+    first = t.chunk_firsts()
+    last = np.minimum(np.append(first[1:], t.samples), t.samples)
+    size = t.before(last) - t.before(np.minimum(first, t.samples))  # of each chunk
+    cuts = np.flatnonzero(np.append(True, t.chunks[1:] != t.chunks[:-1] + size[:-1])) if len(size) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(size)) - 1
+    return b"".join(content[t.chunks[i] : t.chunks[j] + size[j]] for i, j in zip(cuts, ends, strict=True) if size[i : j + 1].any()), t
 
 
 # --- the query ----------------------------------------------------------------------------------------------------
@@ -275,7 +324,7 @@ def digest(files: DataFrame) -> DataFrame:
                 payload, t = read_payload(c)
                 at, size, when = t.keyframes()
                 seconds = t.duration / t.timescale
-                feature = f"{t.codec.strip()}/{t.timescale} {t.duration} ticks, {len(t.sizes)} samples, {len(at)} keyframes, first {at[0]}+{size[0]}, last {at[-1]}+{size[-1]} at {when[-1]}"
+                feature = f"{t.codec.strip()}/{t.timescale} {t.duration} ticks, {t.samples} samples, {len(at)} keyframes, first {at[0]}+{size[0]}, last {at[-1]}+{size[-1]} at {when[-1]}"
                 for col, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(c), hashlib.sha256(c).hexdigest(), feature, t.codec, seconds, at.tolist()), strict=True):
                     col.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
