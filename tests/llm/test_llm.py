@@ -98,6 +98,44 @@ def test_lm_base_scores_equal_brute_force(docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_scores_equal_brute_force(spark, small, docs, texts):
+    """Scores of the registered query, from counts in dictionaries and tuples of words."""
+    got = {r.doc_id: r.score for r in lmscore.query(spark, small).collect()}
+    toks = {i: [*WORD.findall(lower(t)), "</end>"] for i, t in texts.items()}
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i in texts}
+    full = {i: ["<s>", "<s>", *t] for i, t in toks.items()}
+
+    def gram(i, at, k):  # at the start of a text a context is the start alone
+        words = tuple(full[i][at + 3 - k : at + 3])
+        return words if at >= k - 1 else ("<s>", *words[k - 1 - at :])
+
+    count = {k: {w: Counter(gram(i, at, k) for i, t in toks.items() if fold[i] != 2 and (w == "all" or fold[i] != 3) for at in range(len(t))) for w in ("all", "kept")} for k in (1, 2, 3)}
+    starts = {"all": sum(f != 2 for f in fold.values()), "kept": sum(f not in (2, 3) for f in fold.values())}
+    n, v = sum(count[1]["all"].values()), len(count[1]["all"])
+
+    def estimate(i, at, w):
+        p = [1 / (v + 1), count[1][w][gram(i, at, 1)] / n]
+        for k in (2, 3):
+            context = count[k - 1][w][gram(i, at - 1, k - 1)] if at else starts[w]
+            p.append(count[k][w][gram(i, at, k)] / context if context else 0.0)
+        return p[::-1], min(math.ceil(math.log2(context + 1)), lmscore.BUCKETS - 1)
+
+    held = [estimate(i, at, "kept") for i, t in toks.items() if fold[i] == 3 for at in range(len(t))]
+    cells = Counter(lmscore.cells_of(np.array([p[:-1] for p, _ in held]), np.array([b for _, b in held])).tolist())
+    weights = lmscore.weights_of(cells, 3, v)
+    for i, t in toks.items():
+        want = sum(math.log10(float(weights[b] @ np.array(p))) for p, b in (estimate(i, at, "all") for at in range(len(t))))
+        assert got[i] == pytest.approx(want, rel=1e-9), i
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(0)
+    for top in (1, 200, 70_000, 1 << 40, (1 << 64) - 1):
+        for n in (0, 1, 5, 3000):
+            x = rng.integers(0, top, n, np.uint64, endpoint=True)
+            assert lmscore.unpacked(lmscore.packed(x)).tolist() == x.tolist()
+
+
 def test_lm_scores_are_chances(spark):
     """Scores of short texts are chances, an unseen word has the least, and learned weights sum to one."""
     train = [(i, t) for i, t in zip([i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2], ["a b a c", "a b b", "c a", "b a b"] * 5)]

@@ -54,13 +54,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def bucketed(df: DataFrame, label: str, key: str, dealt: bool = False) -> DataFrame:
     """`df` written once as a table bucketed by `key`: joins on it do not shuffle this side. dealt: many small rows,
-    which are shuffled to their buckets first, so that a bucket is one file and not one of each task."""
+    which are shuffled to their buckets first, so that a bucket is one file and not one of each task. The catalogue keeps
+    no entry of it: what is returned holds the files and their buckets."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     buckets = shuffle_partitions(spark) if dealt else 4 * shuffle_partitions(spark)  # large rows: few in a bucket
     df = df.repartition(buckets, key) if dealt else df
-    df.write.bucketBy(buckets, key).option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    path = new_path(spark, label)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    out._path = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:

@@ -5,17 +5,21 @@ Tokens are the words of a text (A-Z lower-cased) and one end. The model mixes ma
 learned by expectation-maximisation on held-out counts: one fold of the training documents is deleted from the counts,
 and its tokens are what the weights must explain. The final score uses the counts of all training documents.
 
-How it runs. A task turns a block of texts into a row: the hashes of the block's distinct words and each text's words as
-numbers into them. These rows are a table bucketed by block. From it, every block sends its distinct n-grams (64-bit
-hashes, counts in training and in the deleted fold) to shards by hash, packed in arrays; a shard adds up the counts of
-equal n-grams and sends every block the totals of its n-grams, in the block's own order. The answers are a table
-bucketed by block too, so both reading passes (counts of the held-out fold by cells for the weights, then the scores)
-join without a shuffle. No n-gram table is ever in one place; what one task holds is a block or a shard.
-
-Two words are taken for one if their 64-bit hashes agree, two longer n-grams if 56 bits do.
-
-Null texts are empty (one end token). Null ids are kept and train. Equal rows train as often as they occur. Without
-training tokens every estimate is the uniform one. An empty table gives an empty result; other columns are not read.
+How it runs. A task turns a block of texts (about BLOCK bytes) into a row: the hashes of the block's distinct words and
+each text's words as numbers into them. These rows are a table bucketed by block. From it, every block sends its distinct
+n-grams (hashes, counts in training and in the deleted fold) to shards by hash, packed in arrays; a shard adds up the
+counts of equal n-grams and sends every block the totals of its n-grams, in the block's own order. The answers are a
+table bucketed by block too, so both reading passes (counts of the held-out fold by cells for the weights, then the
+scores) join without a shuffle. No n-gram table is ever in one place; what one task holds is a block or a shard. Blocks
+are of one size and shards grow in number with the shuffle partitions; only shards that a block has n-grams of get a row,
+so there are never more rows than n-grams.
+
+Two words are taken for one if their 64-bit hashes agree. Longer n-grams have so many bits that one in a million of them
+meets another's hash whatever the corpus's size: 20 more than the number of tokens has.
+
+Null texts are empty (one end token). Null ids are kept and train. Equal rows train as often as they occur, and ties do
+not arise. A text is never cut: one of any length makes a block of its own. Without training tokens every estimate is the
+uniform one. An empty table gives an empty result; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,73 +29,97 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, bucketed, crc_mod, mix64, shuffle_partitions, table, text_bytes
+from .common import Words, blocks, bucketed, crc_mod, drop_table, materialise, mix64, shuffle_partitions, table, text_bytes
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 END = np.uint64(0x656E64)  # stands for the end of a text among word hashes
 START = np.uint64(0x7374617274)  # and for the start, as a context
 BUCKETS = 24
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 CELL = 2.0  # cells of the held-out counts: steps of 1/CELL in log2 of each estimate
 
 
+# --- arrays as bytes ----------------------------------------------------------------------------------------------
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, high ones first, compressed if they are many."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T.tobytes()
+    return bytes([width]) + planes if len(planes) < 64 else bytes([width | 128]) + zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    width, raw = b[0] & 127, b[1:]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw) if b[0] & 128 else raw, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 8 - width :] = planes.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 # --- blocks of word numbers ---------------------------------------------------------------------------------------
 
 
 def word_blocks(docs: DataFrame) -> DataFrame:
-    """One row for each block of texts: ids, folds and numbers of words of its texts, hashes of its distinct words,
-    and all words as numbers into them."""
+    """One row for each block of texts: ids, folds and numbers of words of its texts, hashes of its distinct words, and
+    all words as numbers into them (frequent words have low ones)."""
 
     def rows(batches):
         for block in blocks(batches, limit=BLOCK):
             words = Words(*text_bytes(block))
             found = words.array().dictionary_encode()
-            which = found.indices.to_numpy(zero_copy_only=False).astype(np.uint32) if len(found) else np.zeros(0, np.uint32)
+            which = found.indices.to_numpy(zero_copy_only=False) if len(found) else np.zeros(0, np.int32)
             digest = xxhash.xxh64_intdigest
             hashes = np.fromiter(map(digest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
-            row = {"block": uuid.uuid4().int & (1 << 63) - 1, "doc_ids": block.column("doc_id").to_pylist(), "folds": block.column("fold").to_pylist(), "sizes": np.diff(words.first).astype("<u4").tobytes(), "hashes": hashes.tobytes(), "words": which.tobytes()}
+            often = np.argsort(-np.bincount(which, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often))
+            row = {"block": uuid.uuid4().int & (1 << 63) - 1, "tokens": len(which) + block.num_rows, "doc_ids": block.column("doc_id").to_pylist(), "folds": block.column("fold").to_pylist(), "sizes": packed(np.diff(words.first)), "hashes": hashes[often].tobytes(), "words": packed(rank[which])}
             yield pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
-    return docs.select("doc_id", "fold", "text").mapInArrow(rows, "block long, doc_ids array<long>, folds array<int>, sizes binary, hashes binary, words binary")
+    return docs.select("doc_id", "fold", "text").mapInArrow(rows, "block long, tokens long, doc_ids array<long>, folds array<int>, sizes binary, hashes binary, words binary")
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())), ("sizes", pa.binary()), ("hashes", pa.binary()), ("words", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("folds", pa.list_(pa.int32())), ("sizes", pa.binary()), ("hashes", pa.binary()), ("words", pa.binary())])
 
 
 class Grams:
     """The n-grams of a block: for each order 1..order the distinct keys, and for each token the place of its n-gram.
 
-    Tokens are the words of each text and its end; the context at a text's start is START.
+    Tokens are the words of each text and its end; the context at a text's start is START. Keys of order 1 have 64 bits,
+    the others `bits`.
     """
 
-    def __init__(self, row: dict, order: int):
-        self.n = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+    def __init__(self, row: dict, order: int, bits: int):
+        self.n = unpacked(row["sizes"]).astype(np.int64)
         self.folds = np.array([-1 if f is None else f for f in row["folds"]], np.int64)
+        self.bits = [64] + [bits] * (order - 1)
         hashes = np.append(np.frombuffer(row["hashes"], np.uint64), END)
-        words = np.frombuffer(row["words"], np.uint32)
+        words = unpacked(row["words"])
         docs = len(self.n)
-        self.doc = np.repeat(np.arange(docs), self.n + 1)
-        token = np.full(len(words) + docs, len(hashes) - 1, np.int64)
+        self.doc = np.repeat(np.arange(docs, dtype=np.int32), self.n + 1)
+        token = np.full(len(words) + docs, len(hashes) - 1, np.int32)
         self.first = np.cumsum(self.n + 1) - (self.n + 1)
         token[np.arange(len(words)) + np.repeat(np.arange(docs), self.n)] = words
         fold = self.folds[self.doc]
         self.train, self.deleted = fold != HELD_OUT, fold == DELETED
         met = np.bincount(token, minlength=len(hashes)) > 0
-        number = np.cumsum(met) - 1
+        number = (np.cumsum(met) - 1).astype(np.int32)
         self.keys, self.place = [hashes[met]], [number[token]]
-        of = hashes[token]
-        context = of
+        context = of = hashes[token]
         for _ in range(2, order + 1):
             before = np.append(START, context[:-1])
             before[self.first] = START
-            context = mix64(before * np.uint64(0x9E3779B97F4A7C15) + of) & np.uint64(2**64 - 256)
-            by = np.argsort(context)
-            up = context[by]
+            context = mix64(before * np.uint64(0x9E3779B97F4A7C15) + of)
+            key = context >> np.uint64(64 - bits)
+            by = np.argsort(key)
+            up = key[by]
             new = np.append(True, up[1:] != up[:-1]) if len(up) else np.zeros(0, bool)
-            place = np.empty(len(by), np.int64)
+            place = np.empty(len(by), np.int32)
             place[by] = np.cumsum(new) - 1
             self.keys.append(up[new])
             self.place.append(place)
@@ -99,37 +127,25 @@ class Grams:
     def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the keys of order k in training, and in the deleted fold."""
         size = len(self.keys[k - 1])
-        return (np.bincount(self.place[k - 1], m, size).astype(np.uint32) for m in (self.train, self.deleted))
-
-
-# --- adding up over all blocks ------------------------------------------------------------------------------------
-
+        return tuple(np.bincount(self.place[k - 1], m, size).astype(np.uint32) for m in (self.train, self.deleted))
 
-def _planes(keys: np.ndarray) -> bytes:
-    """Byte planes, high ones first, so that the compressor finds the runs of sorted keys."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    def in_shards(self, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorting of the keys of order k, bounds of the shards in it). Shards are ranges of hashes, so that sorted keys
+        of one shard share their high bits."""
+        keys = self.keys[k - 1]
+        by = np.argsort(keys) if k == 1 else np.arange(len(keys))
+        shard = (keys[by] >> np.uint64(self.bits[k - 1] - 32)) * np.uint64(shards) >> np.uint64(32)
+        return by, np.searchsorted(shard.astype(np.int64), np.arange(shards + 1))
 
 
-def _keys(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+# --- adding up over all blocks ------------------------------------------------------------------------------------
 
 
 _SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("deleted", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("train", pa.binary()), ("deleted", pa.binary()), ("new", pa.int64()), ("tokens", pa.int64())])
 
 
-def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of hashes, so that sorted keys of one shard share their high bits."""
-    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-def _in_shards(keys: np.ndarray, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorting of the keys of order k, bounds of the shards in it)."""
-    by = np.argsort(keys) if k == 1 else np.arange(len(keys))
-    return by, np.searchsorted(_shards_of(keys[by], shards), np.arange(shards + 1))
-
-
-def total_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
+def total_counts(texts: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
     """(block, shard, train, deleted, new, tokens): totals of each block's n-grams of a shard, in the block's order.
     shard: order * shards + shard; new: distinct n-grams of the shard in training, told to one block only; tokens:
     their sum, likewise."""
@@ -138,19 +154,18 @@ def total_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                g = Grams(row, order)
+                g = Grams(row, order, bits)
                 for k in range(1, order + 1):
                     train, deleted = g.counts(k)
                     keys = g.keys[k - 1]
-                    by, cut = _in_shards(keys, k, shards)
-                    some = [s for s in range(shards) if cut[s] < cut[s + 1]]
+                    by, cut = g.in_shards(k, shards)
+                    some = np.flatnonzero(np.diff(cut)).tolist()
                     parts = [by[cut[s] : cut[s + 1]] for s in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([k * shards + s for s in some], pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([_planes(keys[p]) for p in parts], pa.binary()), pa.array([_narrow(train[p]) for p in parts], pa.binary()), pa.array([_narrow(deleted[p]) for p in parts], pa.binary())], schema=_SENT)
+                    yield pa.RecordBatch.from_arrays([pa.array([k * shards + s for s in some], pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *(pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (keys, train, deleted))], schema=_SENT)
 
     def added(parts: pa.Table) -> pa.Table:
-        keys = [_keys(b.as_py()) for b in parts.column("keys")]
-        train = [_wide(b.as_py()) for b in parts.column("train")]
-        deleted = [_wide(b.as_py()) for b in parts.column("deleted")]
+        keys, train, deleted = ([unpacked(b.as_py()) for b in parts.column(c)] for c in ("keys", "train", "deleted"))
+        size = np.array([len(k) for k in keys])
         every = np.concatenate(keys)
         by = np.argsort(every)
         up = every[by]
@@ -159,46 +174,27 @@ def total_counts(texts: DataFrame, order: int, shards: int) -> DataFrame:
         group[by] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(by))))
         t = np.add.reduceat(np.concatenate(train)[by], cut)
         d = np.add.reduceat(np.concatenate(deleted)[by], cut)
-        size = [len(k) for k in keys]
         ends = np.cumsum(size)
-        t, d = t[group], d[group]
-        split = lambda x: [_narrow(x[e - n : e]) for n, e in zip(size, ends, strict=True)]
-        news = np.zeros(len(size), np.int64)
-        news[0] = int((t[by[cut]] > 0).sum())
-        tokens = np.zeros(len(size), np.int64)
-        tokens[0] = int(t[by[cut]].sum())
+        split = lambda x: [packed(x[group[e - n : e]]) for n, e in zip(size, ends, strict=True)]
+        news, tokens = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        news[0], tokens[0] = int((t > 0).sum()), int(t.sum())
         return pa.Table.from_arrays([parts.column("block"), parts.column("shard"), pa.array(split(t), pa.binary()), pa.array(split(d), pa.binary()), pa.array(news), pa.array(tokens)], schema=_ANSWER)
 
     rows = texts.mapInArrow(sent, "shard int, block long, keys binary, train binary, deleted binary")
     return rows.groupBy("shard").applyInArrow(added, "block long, shard int, train binary, deleted binary, new long, tokens long")
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Counts as bytes: 1, 4 or 8 of each, told by the first byte."""
-    top = int(x.max(initial=0))
-    width = 1 if top < 256 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-
-
-def _wide(b: bytes) -> np.ndarray:
-    w = b[0]
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(w, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{w}").ravel().astype(np.int64)
-
-
 def _returned(row: dict, g: Grams, order: int, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order the total counts (training, deleted) of the block's keys."""
     out = []
     answers = {a["shard"]: a for a in row["answers"]}
     for k in range(1, order + 1):
-        keys = g.keys[k - 1]
-        by, cut = _in_shards(keys, k, shards)
+        by, cut = g.in_shards(k, shards)
         some = np.flatnonzero(np.diff(cut)).tolist()
         pair = []
         for what in ("train", "deleted"):
-            got = np.concatenate([_wide(answers[k * shards + s][what]) for s in some]) if some else np.zeros(0, np.int64)
-            total = np.empty(len(keys), np.int64)
-            total[by] = got
+            total = np.empty(len(by), np.int64)
+            total[by] = np.concatenate([unpacked(answers[k * shards + s][what]) for s in some]) if some else 0
             pair.append(total)
         out.append(tuple(pair))
     return out
@@ -238,12 +234,32 @@ def learn_weights(cells: np.ndarray, p: np.ndarray, bucket: np.ndarray, rounds:
     return weights
 
 
-def score(docs: DataFrame, order: int = 2, folds: int = FOLDS) -> DataFrame:
+def cells_of(p: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """One number for each row of estimates (the uniform one left out) and its bucket; estimates in steps of 1/CELL in log2."""
+    low = np.where(p > 0, np.round(CELL * np.log2(np.maximum(p, 1e-30))), -999).astype(np.int64)
+    key = bucket.astype(np.int64)
+    for k in range(p.shape[1]):
+        key = key * 1024 - low[:, k]  # 999: an estimate of zero
+    return key
+
+
+def weights_of(cells: dict[int, int], order: int, v: int) -> np.ndarray:
+    """Weights from the number of held-out tokens of each cell; even ones without any."""
+    if not cells:
+        return np.full((BUCKETS, order + 1), 1 / (order + 1))
+    key = np.array(sorted(cells))
+    low = np.column_stack([(key >> 10 * (order - 1 - k)) & 1023 for k in range(order)])
+    p = np.column_stack([np.where(low == 999, 0.0, 2.0 ** (-low / CELL)), np.full(len(key), 1 / (v + 1))])
+    return learn_weights(np.array([cells[k] for k in key.tolist()], float), p, key >> 10 * order)
+
+
+def score(docs: DataFrame, order: int = 3, folds: int = FOLDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     shards = 4 * shuffle_partitions(spark)
     texts = bucketed(word_blocks(docs.select("doc_id", crc_mod("doc_id", folds).alias("fold"), "text")), "lm_texts", "block")
-    answers = total_counts(texts, order, shards)
+    bits = min(64, max(40, int(texts.agg(F.sum("tokens")).first()[0] or 0).bit_length() + 20))
+    answers = total_counts(texts, order, bits, shards)
     answers = bucketed(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "train", "deleted", "new", "tokens")).alias("answers")), "lm_answers", "block")
     sums = answers.select(F.explode("answers").alias("a")).where(F.col("a.shard") < 2 * shards).agg(F.sum("a.new").alias("v"), F.sum("a.tokens").alias("n")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
@@ -256,28 +272,19 @@ def score(docs: DataFrame, order: int = 2, folds: int = FOLDS) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                g = Grams(row, order)
+                g = Grams(row, order, bits)
                 yield row, g, _returned(row, g, order, shards)
 
     def cells(batches):
         for _, g, totals in read(batches):
             p, bucket, _ = estimates(g, totals, (n, v), starts - deleted, True)
             live = g.deleted
-            low = np.where(p[live] > 0, np.round(CELL * np.log2(np.maximum(p[live], 1e-30))), -999).astype(np.int64)
-            key = bucket[live]
-            for k in range(order):
-                key = key * 1024 - low[:, k]  # 999: an estimate of zero
-            rows, many = np.unique(key, return_counts=True)
+            rows, many = np.unique(cells_of(p[live, :-1], bucket[live]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(many.astype(np.int64))], names=["cell", "n"])
 
+    # a row for each cell: at most BUCKETS times the steps of `order` estimates, whatever the corpus's size
     found = joined.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    if found:
-        key = np.array([r["cell"] for r in found])
-        low = np.column_stack([(key >> 10 * (order - 1 - k)) & 1023 for k in range(order)])
-        p = np.column_stack([np.where(low == 999, 0.0, 2.0 ** (-low / CELL)), np.full(len(key), 1 / (v + 1))])
-        weights = learn_weights(np.array([r["n"] for r in found], float), p, key >> 10 * order)
-    else:
-        weights = np.full((BUCKETS, order + 1), 1 / (order + 1))
+    weights = weights_of({r["cell"]: r["n"] for r in found}, order, v)
 
     def scored(batches):
         for row, g, totals in read(batches):
@@ -288,9 +295,11 @@ def score(docs: DataFrame, order: int = 2, folds: int = FOLDS) -> DataFrame:
             size = g.n + 1
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(g.folds == HELD_OUT), pa.array(size), pa.array(add((known > 0).astype(np.int64))), pa.array(np.full(len(size), n)), pa.array(add(base)), pa.array(add(logp))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = materialise(joined.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    drop_table(texts), drop_table(answers)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), order=3)
+    return score(table(spark, sf_dir, "documents"))
 
