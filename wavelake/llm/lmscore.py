@@ -6,13 +6,15 @@ learned by expectation-maximisation on held-out counts: one fold of the training
 and its tokens are what the weights must explain. The final score uses the counts of all training documents.
 
 How it runs. A task turns a block of texts (about BLOCK bytes) into a row: the hashes of the block's distinct words and
-each text's words as numbers into them. These rows are a table bucketed by block. From it, every block sends its distinct
-n-grams (hashes, counts in training and in the deleted fold) to shards by hash, packed in arrays; a shard adds up the
-counts of equal n-grams and sends every block the totals of its n-grams, in the block's own order. The answers are a
-table bucketed by block too, so both reading passes (counts of the held-out fold by cells for the weights, then the
-scores) join without a shuffle. No n-gram table is ever in one place; what one task holds is a block or a shard. Blocks
-are of one size and shards grow in number with the shuffle partitions; only shards that a block has n-grams of get a row,
-so there are never more rows than n-grams.
+each text's words as numbers into them. These rows are a table bucketed by block. Counts are then made order by order: a
+block sends its distinct n-grams (hashes, counts in training and in the deleted fold) to shards by hash, packed in arrays;
+a shard adds up the counts of equal n-grams and sends every block the totals of its n-grams, in the block's own order.
+These answers are tables bucketed by block too, so later rounds and both reading passes (counts of the held-out fold by
+cells for the weights, then the scores) join without a shuffle. If a shorter n-gram occurs in no other
+block, neither does any longer one around it: the block counts these itself, and only n-grams of which both shorter parts
+also occur elsewhere are sent. No n-gram table is ever in one place; what one task holds is a block or a
+shard. Blocks are of one size and shards grow in number with the shuffle partitions; only shards that a block has n-grams
+of get a row, so there are never more rows than n-grams.
 
 Two words are taken for one if their 64-bit hashes agree. Longer n-grams have so many bits that one in a million of them
 meets another's hash whatever the corpus's size: 20 more than the number of tokens has.
@@ -64,12 +66,12 @@ def unpacked(b: bytes) -> np.ndarray:
 # --- blocks of word numbers ---------------------------------------------------------------------------------------
 
 
-def word_blocks(docs: DataFrame) -> DataFrame:
+def word_blocks(docs: DataFrame, limit: int = BLOCK) -> DataFrame:
     """One row for each block of texts: ids, folds and numbers of words of its texts, hashes of its distinct words, and
     all words as numbers into them (frequent words have low ones)."""
 
     def rows(batches):
-        for block in blocks(batches, limit=BLOCK):
+        for block in blocks(batches, limit=limit):
             words = Words(*text_bytes(block))
             found = words.array().dictionary_encode()
             which = found.indices.to_numpy(zero_copy_only=False) if len(found) else np.zeros(0, np.int32)
@@ -129,39 +131,63 @@ class Grams:
         size = len(self.keys[k - 1])
         return tuple(np.bincount(self.place[k - 1], m, size).astype(np.uint32) for m in (self.train, self.deleted))
 
-    def in_shards(self, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """(sorting of the keys of order k, bounds of the shards in it). Shards are ranges of hashes, so that sorted keys
-        of one shard share their high bits."""
-        keys = self.keys[k - 1]
-        by = np.argsort(keys) if k == 1 else np.arange(len(keys))
+    def in_shards(self, k: int, open_: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the open keys of order k in sorted order, bounds of the shards in it). Shards are ranges of hashes, so that
+        sorted keys of one shard share their high bits."""
+        keys, by = self.keys[k - 1], np.flatnonzero(open_)
+        if k == 1:
+            by = by[np.argsort(keys[by])]
         shard = (keys[by] >> np.uint64(self.bits[k - 1] - 32)) * np.uint64(shards) >> np.uint64(32)
         return by, np.searchsorted(shard.astype(np.int64), np.arange(shards + 1))
 
+    def open_after(self, k: int, foreign: np.ndarray) -> np.ndarray:
+        """Whether each key of order k + 1 can occur elsewhere: both its parts of order k do (at a text's start, the one)."""
+        here = foreign[self.place[k - 1]]
+        before = np.append(True, here[:-1]) if len(here) else here
+        before[self.first] = True
+        out = np.zeros(len(self.keys[k]), bool)
+        out[self.place[k][here & before]] = True
+        return out
+
+    def totals(self, row: dict, shards: int, orders: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """(counts in training and the deleted fold over all blocks of the keys of orders 1..orders, whether each key of
+        the next order is to be sent), by the answers of the row."""
+        out, open_ = [], np.ones(len(self.keys[0]), bool)
+        for k in range(1, orders + 1):
+            answers = {a["shard"]: a for a in row[f"answers{k}"] or ()}
+            by, cut = self.in_shards(k, open_, shards)
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            total = [*(c.astype(np.int64) for c in self.counts(k)), np.zeros(len(open_), np.int64)]
+            for t, what in zip(total, ("train", "deleted", "foreign"), strict=True):
+                t[by] = np.concatenate([unpacked(answers[s][what]) for s in some]) if some else 0
+            out.append(tuple(total[:2]))
+            if k < len(self.keys):
+                open_ = self.open_after(k, total[2] > 0)
+        return out, open_
+
 
 # --- adding up over all blocks ------------------------------------------------------------------------------------
 
 
 _SENT = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("deleted", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("train", pa.binary()), ("deleted", pa.binary()), ("new", pa.int64()), ("tokens", pa.int64())])
+_ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("train", pa.binary()), ("deleted", pa.binary()), ("foreign", pa.binary()), ("new", pa.int64()), ("tokens", pa.int64())])
 
 
-def total_counts(texts: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
-    """(block, shard, train, deleted, new, tokens): totals of each block's n-grams of a shard, in the block's order.
-    shard: order * shards + shard; new: distinct n-grams of the shard in training, told to one block only; tokens:
-    their sum, likewise."""
+def total_counts(texts: DataFrame, k: int, bits: int, shards: int) -> DataFrame:
+    """(block, shard, train, deleted, foreign, new, tokens): totals of each block's open n-grams of order k of a shard, in
+    the block's order, and whether another block has them. texts: with the answers of lower orders. new: distinct n-grams of the shard in training, told to one
+    block only; tokens: their sum, likewise."""
 
     def sent(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                g = Grams(row, order, bits)
-                for k in range(1, order + 1):
-                    train, deleted = g.counts(k)
-                    keys = g.keys[k - 1]
-                    by, cut = g.in_shards(k, shards)
-                    some = np.flatnonzero(np.diff(cut)).tolist()
-                    parts = [by[cut[s] : cut[s + 1]] for s in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([k * shards + s for s in some], pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *(pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (keys, train, deleted))], schema=_SENT)
+                g = Grams(row, k, bits)
+                _, open_ = g.totals(row, shards, k - 1)
+                by, cut = g.in_shards(k, open_, shards)
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                parts = [by[cut[s] : cut[s + 1]] for s in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *(pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (g.keys[k - 1], *g.counts(k)))], schema=_SENT)
 
     def added(parts: pa.Table) -> pa.Table:
         keys, train, deleted = ([unpacked(b.as_py()) for b in parts.column(c)] for c in ("keys", "train", "deleted"))
@@ -171,33 +197,18 @@ def total_counts(texts: DataFrame, order: int, bits: int, shards: int) -> DataFr
         up = every[by]
         cut = np.flatnonzero(np.append(True, up[1:] != up[:-1]))
         group = np.empty(len(by), np.int64)
-        group[by] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(by))))
+        many = np.diff(np.append(cut, len(by)))  # blocks that have the n-gram
+        group[by] = np.repeat(np.arange(len(cut)), many)
         t = np.add.reduceat(np.concatenate(train)[by], cut)
         d = np.add.reduceat(np.concatenate(deleted)[by], cut)
         ends = np.cumsum(size)
         split = lambda x: [packed(x[group[e - n : e]]) for n, e in zip(size, ends, strict=True)]
         news, tokens = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         news[0], tokens[0] = int((t > 0).sum()), int(t.sum())
-        return pa.Table.from_arrays([parts.column("block"), parts.column("shard"), pa.array(split(t), pa.binary()), pa.array(split(d), pa.binary()), pa.array(news), pa.array(tokens)], schema=_ANSWER)
+        return pa.Table.from_arrays([parts.column("block"), parts.column("shard"), *(pa.array(split(c), pa.binary()) for c in (t, d, many > 1)), pa.array(news), pa.array(tokens)], schema=_ANSWER)
 
     rows = texts.mapInArrow(sent, "shard int, block long, keys binary, train binary, deleted binary")
-    return rows.groupBy("shard").applyInArrow(added, "block long, shard int, train binary, deleted binary, new long, tokens long")
-
-
-def _returned(row: dict, g: Grams, order: int, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the total counts (training, deleted) of the block's keys."""
-    out = []
-    answers = {a["shard"]: a for a in row["answers"]}
-    for k in range(1, order + 1):
-        by, cut = g.in_shards(k, shards)
-        some = np.flatnonzero(np.diff(cut)).tolist()
-        pair = []
-        for what in ("train", "deleted"):
-            total = np.empty(len(by), np.int64)
-            total[by] = np.concatenate([unpacked(answers[k * shards + s][what]) for s in some]) if some else 0
-            pair.append(total)
-        out.append(tuple(pair))
-    return out
+    return rows.groupBy("shard").applyInArrow(added, "block long, shard int, train binary, deleted binary, foreign binary, new long, tokens long")
 
 
 # --- the mix ------------------------------------------------------------------------------------------------------
@@ -253,27 +264,29 @@ def weights_of(cells: dict[int, int], order: int, v: int) -> np.ndarray:
     return learn_weights(np.array([cells[k] for k in key.tolist()], float), p, key >> 10 * order)
 
 
-def score(docs: DataFrame, order: int = 3, folds: int = FOLDS) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, folds: int = FOLDS, block_bytes: int = BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     shards = 4 * shuffle_partitions(spark)
-    texts = bucketed(word_blocks(docs.select("doc_id", crc_mod("doc_id", folds).alias("fold"), "text")), "lm_texts", "block")
+    texts = bucketed(word_blocks(docs.select("doc_id", crc_mod("doc_id", folds).alias("fold"), "text"), block_bytes), "lm_texts", "block")
     bits = min(64, max(40, int(texts.agg(F.sum("tokens")).first()[0] or 0).bit_length() + 20))
-    answers = total_counts(texts, order, bits, shards)
-    answers = bucketed(answers.groupBy("block").agg(F.collect_list(F.struct("shard", "train", "deleted", "new", "tokens")).alias("answers")), "lm_answers", "block")
-    sums = answers.select(F.explode("answers").alias("a")).where(F.col("a.shard") < 2 * shards).agg(F.sum("a.new").alias("v"), F.sum("a.tokens").alias("n")).first()
+    joined, made = texts, [texts]
+    for k in range(1, order + 1):
+        found = total_counts(joined, k, bits, shards).groupBy("block").agg(F.collect_list(F.struct("shard", "train", "deleted", "foreign", "new", "tokens")).alias(f"answers{k}"))
+        made.append(bucketed(found, f"lm_answers{k}", "block"))
+        joined = joined.join(made[-1].hint("merge"), "block", "left")
+    sums = made[1].select(F.explode("answers1").alias("a")).agg(F.sum("a.new").alias("v"), F.sum("a.tokens").alias("n")).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     marks = docs.select(crc_mod("doc_id", folds).alias("fold")).groupBy("fold").count().collect()
     starts = sum(r["count"] for r in marks if r["fold"] != HELD_OUT)
     deleted = sum(r["count"] for r in marks if r["fold"] == DELETED)
-    joined = texts.join(answers.hint("merge"), "block")
 
     def read(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 g = Grams(row, order, bits)
-                yield row, g, _returned(row, g, order, shards)
+                yield row, g, g.totals(row, shards, order)[0]
 
     def cells(batches):
         for _, g, totals in read(batches):
@@ -296,7 +309,8 @@ def score(docs: DataFrame, order: int = 3, folds: int = FOLDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(g.folds == HELD_OUT), pa.array(size), pa.array(add((known > 0).astype(np.int64))), pa.array(np.full(len(size), n)), pa.array(add(base)), pa.array(add(logp))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = materialise(joined.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
-    drop_table(texts), drop_table(answers)
+    for t in made:
+        drop_table(t)
     return out
 
 
