@@ -248,6 +248,31 @@ def test_near_copies_keep_one(spark, texts):
     assert all(r.doc_id == min(i for i in group if group[i] == group[r.doc_id]) for r in kept)
 
 
+def test_near_copies_are_found_at_any_length(spark):
+    """Recall of pairs of a Jaccard similarity of 0.8 or more, of 12 to 800 words, by three kinds of change."""
+    rng, rows, pairs = random.Random(1), [], []
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for n in (12, 20, 40, 80, 200, 800):
+        k = 0
+        while k < 60:
+            w, kind, part = new(n), rng.randrange(3), rng.uniform(0.01, 0.19)
+            m, at = max(1, int(n * part)), rng.randrange(n)
+            if kind == 0:
+                c = list(w)
+                for i in rng.sample(range(n), max(1, m // 6)):
+                    c[i] = "changed"
+            else:
+                c = w[:-m] if kind == 1 else w[:at] + new(m) + w[at:]
+            a, b = shingles(" ".join(w)), shingles(" ".join(c))
+            if len(a & b) >= 0.8 * len(a | b):
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(c))]
+                k += 1
+    group = {r.doc_id: r.group for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert len(set(group.values())) >= len(pairs)
+
+
 def test_keep_one_odd_rows(odd, none):
     got = simhash.keep_one(odd)
     assert got.columns == odd.columns

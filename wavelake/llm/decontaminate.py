@@ -444,6 +444,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without documents that contain a benchmark item; all columns stay."""
-    bad = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct(), "contaminated")
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._id) & (F.xxhash64(docs.text) == bad._tag), "left_anti")
+    """`docs` without documents that contain a benchmark item; all columns stay, whatever their names."""
+    bad = materialise(contaminated(docs, benchmark).select("doc_id", "tag").distinct(), "contaminated")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(bad, rows["row.doc_id"].eqNullSafe(bad.doc_id) & (F.xxhash64("row.text") == bad.tag), "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

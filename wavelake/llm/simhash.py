@@ -245,23 +245,22 @@ def _wide_marks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     return whole, fp
 
 
-KEY = "__row_key"
-
-
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` as a table bucketed by KEY, a 64-bit hash of id and text: later joins take texts from it without a shuffle."""
-    return bucketed(docs.withColumn(KEY, F.xxhash64("doc_id", "text")), "docs_by_key", KEY, dealt=True)
+    """(key, row): the rows of `docs`, whole, as a table bucketed by a 64-bit hash of id and text: later joins take texts
+    from it without a shuffle, and columns of any name are carried inside `row`."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return bucketed(docs.select(F.xxhash64("doc_id", "text").alias("key"), row.alias("row")), "docs_by_key", "key", dealt=True)
 
 
 def wide_marks(held: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, words long, wide binary) of each row of a table of keyed()."""
+    """(doc_id, key, words long, wide binary) of each row of keyed()."""
 
     def rows(batches):
         for block in blocks(batches, limit=8 << 20, most=8000):
             whole, fp = _wide_marks(*text_bytes(block), width)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("key").combine_chunks(), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "key", "words", "wide"])
 
-    return held.select("doc_id", F.col(KEY).alias("key"), "text").mapInArrow(rows, "doc_id long, key long, words long, wide binary")
+    return held.select(F.col("row.doc_id").alias("doc_id"), "key", F.col("row.text").alias("text")).mapInArrow(rows, "doc_id long, key long, words long, wide binary")
 
 
 _SENT = pa.schema([("shard", pa.int32()), ("base", pa.int64()), ("rows", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary())])
@@ -420,21 +419,27 @@ def rare_pairs(crowd: DataFrame, similar: float, sample: int = 200_000, most: in
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
-    """(doc_id, key, group) of each row: group is one for texts of the same words or linked by similar shingle sets."""
-    held = docs if KEY in docs.columns else keyed(docs.select("doc_id", "text"))
+    """(doc_id, key, group) of each row of `docs` (doc_id, text): group is one for texts of the same words or linked by
+    similar shingle sets. Null texts and texts without words are one group; a text of under `width` words is one shingle;
+    texts of any length are compared whole; rows that are equal have one key; an empty table gives an empty result."""
+    return _groups(keyed(docs.select("doc_id", "text")), width, similar)
+
+
+def _groups(held: DataFrame, width: int, similar: float) -> DataFrame:
+    """similar_groups() of a table of keyed()."""
     marked = materialise(wide_marks(held, width), "wide-marks")
     distinct = marked.groupBy("words").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("who"))
     distinct = materialise(distinct.select(F.monotonically_increasing_id().alias("id"), "words", "wide", "who.key"), "wide-distinct")
-    met = materialise(candidate_edges(distinct, 4 * shuffle_partitions(docs.sparkSession)), "wide-edges")
+    met = materialise(candidate_edges(distinct, 4 * shuffle_partitions(held.sparkSession)), "wide-edges")
     edges, crowd = met.where("src <> dst"), met.where("src = dst").select(F.col("src").alias("id"))
     a = distinct.select(F.col("id").alias("src"), F.col("wide").alias("a"))
     b = distinct.select(F.col("id").alias("dst"), F.col("wide").alias("b"))
     # a loose test on all bits first: beyond it lie similarities under 0.7 or so
     near = edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(_apart("a", "b") <= int(0.22 * 64 * TABLES)).select("src", "dst")
     near = materialise(near, "wide-near")
-    part = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).union(crowd).distinct().join(distinct.select("id", F.col("key").alias(KEY)).hint("merge"), "id")
+    part = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).union(crowd).distinct().join(distinct.select("id", "key").hint("merge"), "id")
     part = materialise(part, "wide-part")
-    sets = held.select(KEY, "text").join(part.hint("merge"), KEY).select("id", "text")
+    sets = held.select("key", F.col("row.text").alias("text")).join(part.hint("merge"), "key").select("id", "text")
     sets = materialise(_shingle_sets(sets, width).dropDuplicates(["id"]), "wide-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -464,12 +469,12 @@ def _apart(a: str, b: str):
 
 
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
-    """`docs` with one document of each group of similar_groups(): the one of the smallest id, and of its equal rows
-    one. All columns stay."""
+    """`docs` with one document of each group of similar_groups(): the one of the smallest id (null last), and of its
+    equal rows one. All columns stay, whatever their names."""
     held = keyed(docs)
-    groups = materialise(similar_groups(held, width, similar), "wide-groups")
+    groups = materialise(_groups(held, width, similar), "wide-groups")
     best = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("who"))
-    out = held.join(best.select(F.col("who.key").alias(KEY)).hint("merge"), KEY, "left_semi")
+    out = held.join(best.select("who.key").hint("merge"), "key", "left_semi")
     if not groups.groupBy("key").count().where("count > 1").isEmpty():  # equal rows have one key
-        out = out.dropDuplicates([KEY])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["key"])
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
