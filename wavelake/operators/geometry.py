@@ -93,3 +93,18 @@ def in_region(b: DataFrame, x0, y0, x1, y1, margin: int = 2) -> DataFrame:
 
     meets = (edge(x0, "x") - margin < F.col("bx1")) & (edge(x1, "x") + margin > F.col("bx0")) & (edge(y0, "y") - margin < F.col("by1")) & (edge(y1, "y") + margin > F.col("by0"))
     return b.where("bx1 > bx0 and by1 > by0").where(meets)
+
+
+def stitched(t: DataFrame, x0, y0, x1, y1) -> DataFrame:
+    """Tiles that meet a region, with the corner in the tile (sx, sy), the corner in the region (tx, ty) and the size of
+    what is copied."""
+    lo = {"x": F.greatest("ax0", x0), "y": F.greatest("ay0", y0)}
+    hi = {"x": F.least("ax1", x1), "y": F.least("ay1", y1)}
+    t = t.withColumns({"sx": lo["x"] - F.col("ax0"), "sy": lo["y"] - F.col("ay0"), "tx": lo["x"] - x0, "ty": lo["y"] - y0, "w": hi["x"] - lo["x"], "h": hi["y"] - lo["y"]})
+    return t.where("w > 0 and h > 0")
+
+
+def in_tile_range(t: DataFrame, x0, y0, x1, y1) -> DataFrame:
+    """Tiles of the columns and rows of the grid that a region meets."""
+    across = (F.col("p") >= div(x0 - F.col("tx0"), "tdx")) & (F.col("p") < ceil_div(x1 - F.col("tx0"), "tdx"))
+    return t.where(across & (F.col("q") >= div(y0 - F.col("ty0"), "tdy")) & (F.col("q") < ceil_div(y1 - F.col("ty0"), "tdy")))

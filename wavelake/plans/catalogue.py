@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +13,7 @@ from ..streaming import ingest
 from .fixtures import GEOM_SQL, PASSES_SQL, RASTER_SQL
 from .fixtures import geometry as geom
 from .fixtures import passes, pictures, pixels, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _samples(df: DataFrame, rows: str = "rows") -> DataFrame:
     """(image_id, compno, y, x, v) of planes held as rows."""
@@ -594,3 +579,6 @@ def option_strings(spark, sf_dir):
     s = g.select("image_id", F.concat(text, F.lit("@"), F.array_join(step, ":")).alias("raw"), F.concat(F.lit("[64,64],["), F.col("tdx"), F.lit(" , "), F.col("tdy"), F.lit("]")).alias("list"), F.concat(F.lit("1, "), F.col("prec") + F.lit(0.5)).alias("rates"))
     s = s.select("image_id", *options.raw_geometry(F.col("raw")), F.get(options.pairs(F.col("list")), F.lit(1)).alias("p"), F.get(options.numbers(F.col("rates")), F.lit(1)).alias("rate"))
     return s.select("image_id", "w", "h", "n", "depth", "signed", F.size("sampling").cast("long").alias("steps"), F.aggregate("sampling", F.lit(0).cast("long"), lambda a, x: a + x["dx"]).alias("across"), F.col("p.w").alias("pw"), F.col("p.h").alias("ph"), "rate")
+
+
+from . import parameters  # noqa: E402, F401  (registers its queries)
