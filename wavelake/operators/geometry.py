@@ -73,6 +73,15 @@ def code_blocks(p: DataFrame) -> DataFrame:
     return c.withColumns(out)
 
 
+def code_block_sums(p: DataFrame) -> DataFrame:
+    """Of each precinct that is not empty the number of its code-blocks, their area, and the sums of their left and upper
+    edges, in closed form: the blocks of a row begin at the precinct's edge, then at multiples of the block size."""
+    live = p.where("px1 > px0 and py1 > py0")
+    n = {a: ceil_shift(f"p{a}1", f"e{a}") - shift_right(f"p{a}0", f"e{a}") for a in "xy"}
+    edges = {a: F.col(f"p{a}0") + shift_left((n[a] - 1) * shift_right(f"p{a}0", f"e{a}") + div(n[a] * (n[a] - 1), F.lit(2)), f"e{a}") for a in "xy"}
+    return live.withColumns({"blocks": n["x"] * n["y"], "area": (F.col("px1") - F.col("px0")) * (F.col("py1") - F.col("py0")), "sum_x": edges["x"] * n["y"], "sum_y": edges["y"] * n["x"]})
+
+
 def component_header(geom: DataFrame) -> DataFrame:
     """Width, height and origin of each component after `reduce` levels are left out, in one tile grid."""
     c = _counted(geom, "compno", "numcomps")

@@ -83,9 +83,9 @@ cb AS (SELECT *, greatest(((px0 >> ex) + c % cw) << ex, px0) AS kx0, greatest(((
 SELECT image_id, tileno, compno, resno, bandno, count(*) AS blocks, CAST(sum((kx1 - kx0) * (ky1 - ky0)) AS BIGINT) AS area, CAST(sum(kx0 * 3 + ky0 * 5) AS BIGINT) AS corners
 FROM cb GROUP BY ALL""")
 def precinct_codeblock_grid(spark, sf_dir):
-    c = geometry.code_blocks(geometry.precincts(geometry.bands(_res(spark, sf_dir))))
-    area = (F.col("kx1") - F.col("kx0")) * (F.col("ky1") - F.col("ky0"))
-    return c.groupBy("image_id", "tileno", "compno", "resno", "bandno").agg(F.count("*").alias("blocks"), F.sum(area).alias("area"), F.sum(F.col("kx0") * 3 + F.col("ky0") * 5).alias("corners"))
+    p = geometry.precincts(geometry.bands(_res(spark, sf_dir)))
+    c = geometry.code_block_sums(p)
+    return c.groupBy("image_id", "tileno", "compno", "resno", "bandno").agg(F.sum("blocks").alias("blocks"), F.sum("area").alias("area"), F.sum(F.col("sum_x") * 3 + F.col("sum_y") * 5).alias("corners"))
 
 
 @query(f"""WITH {GEOM_SQL}, c AS (SELECT *, unnest(range(numcomps)) AS compno FROM geom),
@@ -308,13 +308,13 @@ def _lift_sql(src: str, out: str, axis: str, n: int) -> str:
     """CTEs that lift one axis of the low n x n corner by window functions."""
     other = "y" if axis == "x" else "x"
     w = f"WINDOW w AS (PARTITION BY image_id, compno, {other} ORDER BY {axis})"
-    return f"""{out}_d AS (SELECT image_id, compno, y, x, CASE WHEN {axis} % 2 = 1 THEN v - ((lag(v) OVER w + coalesce(lead(v) OVER w, lag(v) OVER w)) >> 1) ELSE v END AS d FROM {src} WHERE x < {n} AND y < {n} {w}),
-{out} AS (SELECT image_id, compno, {other}, CASE WHEN {axis} % 2 = 0 THEN {axis} // 2 ELSE {(n + 1) // 2} + {axis} // 2 END AS {axis},
+    return f"""{out}_d AS MATERIALIZED (SELECT image_id, compno, y, x, CASE WHEN {axis} % 2 = 1 THEN v - ((lag(v) OVER w + coalesce(lead(v) OVER w, lag(v) OVER w)) >> 1) ELSE v END AS d FROM {src} WHERE x < {n} AND y < {n} {w}),
+{out} AS MATERIALIZED (SELECT image_id, compno, {other}, CASE WHEN {axis} % 2 = 0 THEN {axis} // 2 ELSE {(n + 1) // 2} + {axis} // 2 END AS {axis},
   CASE WHEN {axis} % 2 = 0 THEN d + ((coalesce(lag(d) OVER w, lead(d) OVER w) + coalesce(lead(d) OVER w, lag(d) OVER w) + 2) >> 2) ELSE d END AS v FROM {out}_d {w}
   UNION ALL BY NAME SELECT image_id, compno, y, x, v FROM {src} WHERE NOT (x < {n} AND y < {n}))"""
 
 
-_RAW = f"WITH {RASTER_SQL}, l0 AS (SELECT image_id, compno, y, x, sv AS v FROM raster)"
+_RAW = f"WITH {RASTER_SQL}, l0 AS MATERIALIZED (SELECT image_id, compno, y, x, sv AS v FROM raster)"
 _LEVELS = _RAW + "".join(f", {_lift_sql(f'l{k}', f'c{k}', 'y', n)}, {_lift_sql(f'c{k}', f'l{k + 1}', 'x', n)}" for k, n in enumerate((8, 4, 2)))
 _OUT = "SELECT image_id, compno, y, x, v FROM "
 
@@ -581,4 +581,4 @@ def option_strings(spark, sf_dir):
     return s.select("image_id", "w", "h", "n", "depth", "signed", F.size("sampling").cast("long").alias("steps"), F.aggregate("sampling", F.lit(0).cast("long"), lambda a, x: a + x["dx"]).alias("across"), F.col("p.w").alias("pw"), F.col("p.h").alias("ph"), "rate")
 
 
-from . import parameters  # noqa: E402, F401  (registers its queries)
+from . import parameters, tiles  # noqa: E402, F401  (they register their queries)

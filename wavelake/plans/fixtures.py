@@ -41,7 +41,8 @@ def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + k % 3).alias("numcomps"), (1 + k % 2).alias("dx"), (1 + F.expr("k div 2") % 2).alias("dy"), (8 + k % 5).alias("prec"),
         (1 + s % 4).alias("numres"), (2 + k % 4).alias("cblkw"), (2 + s % 4).alias("cblkh"), (3 + s % 4).alias("pdx"), (3 + k % 4).alias("pdy"), (1 + s % 3).alias("nlayers"),
     )
-    return out.withColumn("reduce", F.col("image_id") % F.col("numres"))
+    # an image grows to thousands of rows: images are spread before that, whatever the number of input splits
+    return out.withColumn("reduce", F.col("image_id") % F.col("numres")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
 
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
