@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,9 @@ def truncate(x: Column) -> Column:
 
 def f32(x) -> Column:
     return F.lit(x).cast("float") if isinstance(x, (int, float)) else _c(x).cast("float")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column whose value later columns refer to and do not work out again: a large expression that is used
+    many times would else be copied into each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -471,8 +471,8 @@ def layer_distortion_running(spark, sf_dir):
 @query(f"WITH {GEOM_SQL} SELECT image_id, 'j2k' AS format, x0, y0, x1, y1, tdx, tdy, numcomps, prec, (x1 - tx0 + tdx - 1) // tdx AS tw, (y1 - ty0 + tdy - 1) // tdy AS th FROM geom")
 def header_info(spark, sf_dir):
     g = geom(spark, sf_dir)
-    s = g.select("image_id", headers.codestream_header(g).alias("content"))
-    s = s.withColumn("siz", F.filter(headers.segments(F.col("content")), lambda m: m["code"] == headers.SIZ)[0])
+    s = e.once(g.select("image_id", headers.codestream_header(g).alias("made")), "content", F.col("made"))
+    s = e.once(s, "siz", F.filter(headers.segments(F.col("content")), lambda m: m["code"] == headers.SIZ)[0])
     f = s.select("image_id", headers.sniff(F.col("content")).alias("format"), *headers.siz_fields(F.col("content"), F.col("siz")))
     return f.select("image_id", "format", "x0", "y0", "x1", "y1", "tdx", "tdy", "numcomps", "prec", e.ceil_div(F.col("x1") - F.col("tx0"), "tdx").alias("tw"), e.ceil_div(F.col("y1") - F.col("ty0"), "tdy").alias("th"))
 
@@ -481,7 +481,8 @@ def header_info(spark, sf_dir):
 SELECT image_id, CAST(m.nth AS BIGINT) AS nth, m.code AS code, CAST(m.len AS BIGINT) AS len FROM s""")
 def marker_segments(spark, sf_dir):
     g = geom(spark, sf_dir)
-    s = g.select("image_id", F.posexplode(headers.segments(headers.codestream_header(g))).alias("nth", "m"))
+    s = e.once(g.select("image_id", headers.codestream_header(g).alias("made")), "content", F.col("made"))
+    s = s.select("image_id", F.posexplode(headers.segments(F.col("content"))).alias("nth", "m"))
     return s.select("image_id", F.col("nth").cast("long").alias("nth"), "m.code", "m.len")
 
 
@@ -490,10 +491,10 @@ b AS (SELECT image_id, unnest([{{'o': 0, 'l': 12, 't': 'jP  '}}, {{'o': 12, 'l':
 SELECT image_id, CAST(b.o AS BIGINT) AS off, CAST(b.l AS BIGINT) AS len, b.t AS type FROM b""")
 def jp2_box_walk(spark, sf_dir):
     g = geom(spark, sf_dir)
-    s = g.select("image_id", headers.boxed_header(headers.codestream_header(g), F.col("prec")).alias("content"))
-    s = s.withColumn("top", headers.boxes(F.col("content"), F.lit(0), F.octet_length("content")))
+    s = e.once(g.select("image_id", headers.boxed_header(headers.codestream_header(g), F.col("prec")).alias("made")), "content", F.col("made"))
+    s = e.once(s, "top", headers.boxes(F.col("content"), F.lit(0), F.octet_length("content")))
     inner = F.filter("top", lambda b: b["type"] == "jp2h")[0]
-    s = s.withColumn("sub", headers.boxes(F.col("content"), inner["off"] + 8, inner["off"] + inner["len"]))
+    s = e.once(s, "sub", headers.boxes(F.col("content"), inner["off"] + 8, inner["off"] + inner["len"]))
     return s.select("image_id", F.explode(F.concat("top", "sub")).alias("b")).select("image_id", "b.off", "b.len", "b.type")
 
 
@@ -581,4 +582,4 @@ def option_strings(spark, sf_dir):
     return s.select("image_id", "w", "h", "n", "depth", "signed", F.size("sampling").cast("long").alias("steps"), F.aggregate("sampling", F.lit(0).cast("long"), lambda a, x: a + x["dx"]).alias("across"), F.col("p.w").alias("pw"), F.col("p.h").alias("ph"), "rate")
 
 
-from . import parameters, tiles  # noqa: E402, F401  (they register their queries)
+from . import files, parameters, tiles  # noqa: E402, F401  (they register their queries)
