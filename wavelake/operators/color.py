@@ -171,3 +171,17 @@ def lab_rgb(values: tuple[Column, Column, Column], prec: int = 8, ranges: tuple
         curve = F.when(v <= 0, F.lit(0.0)).when(v >= 1, F.lit(1.0)).when(v <= 0.0031308, v * 12.92).otherwise(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055)
         out.append(clamp(F.floor(curve * 65535.0 + 0.5), 0, 65535))
     return tuple(out)
+
+
+def upsample_from(luma: DataFrame, chroma: DataFrame, rows: int) -> DataFrame:
+    """As upsample(), for images whose origin (x0, y0, columns of `luma`) may be odd. Chroma begins at the first even
+    coordinate: what lies before it has none (0), but in the lower of two rows that share chroma the first column takes the
+    row's first. So have columns beyond the chroma plane's end."""
+    offx, offy = F.col("x0") % 2, (F.col("y0") % 2 if rows == 2 else F.lit(0))
+    down = F.col("y") - offy
+    lower = (down >= 0) & (down % 2 == 1) if rows == 2 else F.lit(False)
+    cx = F.when(F.col("x") >= offx, div(F.col("x") - offx, F.lit(2))).when(lower, F.lit(0).cast("long"))
+    cy = F.when(down >= 0, div(down, F.lit(rows)))
+    keyed = luma.withColumn("cx", cx).withColumn("cy", cy)
+    out = keyed.join(chroma, ["image_id", "cy", "cx"], "left")
+    return out.withColumn("cb", F.coalesce("cb", F.lit(0).cast("long"))).withColumn("cr", F.coalesce("cr", F.lit(0).cast("long"))).drop("cx", "cy")

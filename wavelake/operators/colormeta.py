@@ -56,3 +56,33 @@ def cinema_settings(fast: Column) -> dict[str, Column]:
     cap = F.when(fast, F.lit(651041)).otherwise(F.lit(1302083))
     samples = F.col("numcomps") * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * F.col("prec")
     return {"cap": cap.cast("long"), "numres": F.least(F.col("numres"), F.lit(6).cast("long")), "cblk": F.lit(5).cast("long"), "precinct": F.when(F.col("numres") == 1, F.lit(7)).otherwise(F.lit(8)).cast("long"), "rate": samples.cast("double") / (cap * 8).cast("double")}
+
+
+def component_map_check(maps: DataFrame) -> DataFrame:
+    """Of component maps (image_id, numcomps, channels, i, cmp, mtyp, pcol), a row for each channel: how many name a
+    component that is not there, how many map badly (a direct channel has column 0, a palette channel its own), how many
+    palette channels are left without a column, whether a map of one component is to be replaced by the plain one, and
+    whether the map can be used."""
+    direct, through = (F.col("mtyp") == 0) & (F.col("pcol") == 0), (F.col("mtyp") == 1) & (F.col("pcol") == F.col("i"))
+    m = maps.withColumn("fits", (direct | through) & (F.col("pcol") < F.col("channels")))
+    one = m.groupBy("image_id", "numcomps", "channels").agg(
+        F.sum((F.col("cmp") >= F.col("numcomps")).cast("long")).alias("bad_component"),
+        F.sum((~F.col("fits")).cast("long")).alias("bad_mapping"),
+        F.collect_set(F.when(F.col("fits"), F.col("pcol"))).alias("used"),
+        F.collect_set(F.when(F.col("mtyp") != 0, F.col("i"))).alias("palette"),
+    )
+    one = one.withColumn("unmapped", F.size(F.array_except("palette", "used")).cast("long"))
+    sane = (F.col("bad_component") == 0) & (F.col("bad_mapping") == 0) & (F.col("unmapped") == 0)
+    return one.select("image_id", "bad_component", "bad_mapping", "unmapped", (sane & (F.col("numcomps") == 1) & (F.size("used") < F.col("channels"))).alias("replaced"), sane.alias("usable"))
+
+
+def colour_pipeline(subset: Column, definitions: Column, palette: Column, mapped: Column, valid: Column) -> Column:
+    """What is done to the components of a decoded image, in order: nothing if only some components were asked for; else
+    the check, the palette if it has a component map, and the channel definitions."""
+    steps = F.concat(F.array(F.lit("check")), F.when(palette & mapped, F.array(F.lit("palette"))).otherwise(F.array().cast("array<string>")), F.when(definitions, F.array(F.lit("channels"))).otherwise(F.array().cast("array<string>")))
+    return F.when(subset, F.lit("")).when(~valid, F.lit("error")).otherwise(F.array_join(steps, "+"))
+
+
+def cinema4k_resolutions(numres: Column) -> Column:
+    """Resolutions that the 4K cinema profile allows: one to six levels, and none where there are fewer than two."""
+    return F.when(numres < 2, F.lit(1)).otherwise(F.least(numres, F.lit(7))).cast("long")
