@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources import headers
 
@@ -33,12 +34,22 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
 
 
 def run_once(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Everything that is there, through the stream: each batch's updates are written, the last of each key counts."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    write = lambda df, k: df.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/{k}")
+    """Everything that is there, through the stream: each batch's updates are written, the last of each key counts. A
+    stream without any input gives no rows. State and batches lie in the folder that the cluster shares."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = tempfile.mkdtemp(prefix="stream-")
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def write(df: DataFrame, k: int) -> None:
+        df.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/{k}")
+        done.append(f"{path}/out/{k}")
+
     q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    out = spark.read.parquet(f"{path}/out/*")
+    out = spark.read.parquet(*done) if done else spark.createDataFrame([], StructType([*stream.schema.fields, StructField("_batch", IntegerType())]))
     rest = [c for c in out.columns if c not in [*keys, "_batch"]]
     return out.groupBy(*keys).agg(*(F.max_by(c, "_batch").alias(c) for c in rest))
