@@ -1,4 +1,11 @@
-"""A corpus pipeline: each stage is one operator, reads its predecessor's documents, and is written before the next."""
+"""A corpus pipeline: each stage is one operator, reads its predecessor's documents, and is written before the next.
+
+All stages but the last keep the columns of `documents`, whatever else these hold and whatever they are called. A null or
+empty text is a document like others: it is not toxic unless the trained score says so of empty texts, all such documents
+are one group of near copies, they hold no benchmark item, and the mix, which takes words, takes none of them. Texts of
+any length are read whole. Of equal rows the near-copy stage keeps one, and of a group the smallest id (null last). Empty
+tables pass through every stage.
+"""
 
 from __future__ import annotations
 
