@@ -18,8 +18,9 @@ are found so at any length; only paraphrases and copies with words put in or mov
 Each slice of about SLICE_BYTES of benchmark text is one run of this, so what is sent to the executors is bounded
 whatever the benchmark's size.
 
-Null and empty texts, and items without words, match nothing. Null ids stay null ids; equal rows give equal findings.
-Empty tables give an empty result; other columns are not read.
+Null and empty texts, and items without words, match nothing. Null ids stay null ids; equal rows give equal findings, and
+of several places of an item in a document the one with most of it counts (the first of ties). A text of any length is
+searched whole, by one task. Empty tables give an empty result; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -268,7 +269,7 @@ def inverse_frequency(seqs: DataFrame, terms: int, common: float) -> np.ndarray:
     df = _summed(seqs, terms + 1, 1, add)[:, 0]
     n = df[-1]
     weight = np.log((1 + n) / (1 + df[:-1])).astype(np.float32)
-    return np.where(df[:-1] > max(common * n, 20), np.float32(0), weight)
+    return np.where(df[:-1] > common * n, np.float32(0), weight)
 
 
 def latent_space(seqs: DataFrame, weight: np.ndarray, rank: int = RANK, more: int = MORE, seed: int = 11) -> np.ndarray:
