@@ -15,7 +15,8 @@ small compressed frame. separator_scan() finds the end ids of each block with on
 documents that cross blocks with a prefix scan of the blocks' summaries.
 
 Null texts are empty documents with only the end id; null doc ids come first, and rows of equal doc_id follow each other
-in the order of their texts' hashes. An empty table gives files without rows. Further columns are not read.
+in the order of their texts' hashes. A text of any length is encoded whole, by one task. An empty table gives files
+without rows. Further columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ END = 2
 SEPARATOR = 0xFFFF  # no id of the vocabulary: a text that spells <|endoftext|> encodes to that token
 DICTIONARY_BYTES = 64 << 10
 FLAT_TOKENS = 1 << 16
+SAMPLE_TEXT = 32 << 10
 PACK_LEVEL = 9
 CACHED = 400_000
 
@@ -176,11 +178,14 @@ def in_order(docs: DataFrame, partitions: int) -> DataFrame:
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int = 1500) -> bytes:
-    """A dictionary for serialized ids of documents like `docs`; empty if there are too few."""
+    """A dictionary for serialized ids of documents like `docs`, from `sample` distinct texts of SAMPLE_TEXT bytes at most;
+    empty if there are too few."""
     rows = docs.select("text").where("text is not null")
     share = min(1.0, 2.0 * sample / max(1, rows.count()))  # twice as many by a threshold, so that few texts are sorted
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    few = hashed.where(F.col("_h") <= int(share * (1 << 30))).orderBy("_h", "text").limit(sample).select("text")
+    # of equal texts one, and long ones only as far as SAMPLE_TEXT bytes allow
+    some = hashed.where(F.col("_h") <= int(share * (1 << 30))).where(F.octet_length("text") <= SAMPLE_TEXT).dropDuplicates(["_h", "text"])
+    few = some.orderBy("_h", "text").limit(sample).select("text")
 
     def encoded(batches):
         for block in blocks(batches, limit=1 << 20):
