@@ -7,8 +7,9 @@ text). Decoding takes the codeword with the least loss, where each bit's logisti
 training; a prediction whose runner-up is closer than `margin` is flagged ambiguous.
 
 Null texts and texts without a letter are `und` with score 0. Null ids are kept and train; documents without a language
-never train. Without any training document all are `und`. Equal texts get equal predictions; an empty table gives an
-empty result; other columns are not read.
+never train. Without any training document all are `und`. Equal texts get equal predictions; of languages of equal loss
+the first by name is taken, and the prediction is ambiguous. A text of any length is read whole, by one task. An empty
+table gives an empty result; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
