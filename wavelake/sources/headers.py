@@ -93,7 +93,7 @@ def segments(content: Column) -> Column:
     start = F.struct(F.lit(2).cast("long").alias("at"), F.array().cast("array<struct<off:bigint,code:string,len:bigint>>").alias("found"))
     code = lambda s: F.hex(F.substring(content, (s["at"] + 1).cast("int"), F.lit(2)))
     size = lambda s: number(content, s["at"] + 2, 2)
-    live = lambda s: (F.length(code(s)) == 4) & (code(s) != SOT) & size(s).isNotNull() & (size(s) >= 2)
+    live = lambda s: (F.length(code(s)) == 4) & code(s).startswith("FF") & (code(s) != SOT) & size(s).isNotNull() & (size(s) >= 2)
 
     def step(s: Column, _: Column) -> Column:
         return F.when(live(s), F.struct((s["at"] + 2 + size(s)).alias("at"), F.concat(s["found"], F.array(F.struct(s["at"].alias("off"), code(s).alias("code"), size(s).alias("len")))).alias("found"))).otherwise(s)
