@@ -12,7 +12,7 @@ from ..sources import headers
 from ..streaming import ingest
 from .fixtures import GEOM_SQL, PASSES_SQL, RASTER_SQL
 from .fixtures import geometry as geom
-from .fixtures import passes, pictures, pixels, table
+from .fixtures import passes, pixels, planes, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _samples(df: DataFrame, rows: str = "rows") -> DataFrame:
@@ -23,9 +23,8 @@ def _samples(df: DataFrame, rows: str = "rows") -> DataFrame:
 
 
 def _whole(spark: SparkSession, sf_dir: str, signed: bool = True) -> DataFrame:
-    """(image_id, compno, rows) of the images that have all planes."""
-    p = pictures(spark, sf_dir, signed).select("image_id", F.posexplode("planes").alias("compno", "vals"))
-    return p.select("image_id", F.col("compno").cast("long").alias("compno"), wavelet.fold(F.col("vals")).alias("rows"))
+    """(image_id, compno, rows) of all planes."""
+    return planes(spark, sf_dir, signed).select("image_id", F.col("compno").cast("long").alias("compno"), wavelet.fold(F.col("vals")).alias("rows"))
 
 
 # --- integer arithmetic -------------------------------------------------------------------------------------------
@@ -285,7 +284,7 @@ def palette_expand(spark, sf_dir):
 
 @query(_PIX + "SELECT image_id, n, lo, hi FROM (SELECT image_id, compno, count(*) AS n, min(sv) AS lo, max(sv) AS hi FROM raster GROUP BY ALL) WHERE compno = 2")
 def component_subset(spark, sf_dir):
-    rows = pictures(spark, sf_dir, signed=True).select("image_id", F.col("planes")[2].alias("v"))
+    rows = planes(spark, sf_dir, signed=True).where("compno = 2").select("image_id", F.col("vals").alias("v"))
     return rows.select("image_id", F.size("v").cast("long").alias("n"), F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
 
 

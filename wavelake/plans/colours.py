@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as e
 from ..operators import color, colormeta
-from .fixtures import GEOM_SQL, RASTER_SQL, pixels, table
+from .fixtures import GEOM_SQL, RASTER_SQL, pixels, planes, table
 from .fixtures import geometry as geom
 from .registry import query
 
@@ -46,7 +46,8 @@ def sycc420_odd_origin(spark, sf_dir):
 
 @query(_PIX + "SELECT image_id, y, x, greatest(0, least(255, sv + 128)) AS r, greatest(0, least(255, sv + 128)) AS g, greatest(0, least(255, sv + 128)) AS b FROM raster WHERE compno = 0")
 def gray_rgb(spark, sf_dir):
-    return pixels(spark, sf_dir).select("image_id", "y", "x", *(F.col("c0").alias(n) for n in "rgb"))
+    p = planes(spark, sf_dir).where("compno = 0").select("image_id", F.posexplode("vals").alias("i", "v"))
+    return p.select("image_id", e.div("i", F.lit(8)).alias("y"), (F.col("i") % 8).cast("long").alias("x"), *(F.col("v").alias(n) for n in "rgb"))
 
 
 _RANGES, _OFFSETS = (90.0, 160.0, 180.0), (2.0, 120.0, 100.0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as e
 from ..operators import geometry, settings
 from ..sources import headers, markers, rasters
-from .fixtures import GEOM_SQL, RASTER_SQL, pictures, table
+from .fixtures import GEOM_SQL, RASTER_SQL, pictures, planes, table
 from .fixtures import geometry as geom
 from .registry import query
 
@@ -269,7 +269,7 @@ def _interleaved(spark, sf_dir) -> DataFrame:
     return p.select("image_id", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.transform("planes", lambda c: F.get(c, i)))).alias("s"))
 
 
-_READ = _PIX + "SELECT image_id, compno AS c, y, x, {v} AS v FROM raster"
+_READ = _PIX + "SELECT image_id, compno AS c, y, x, {v} AS v FROM raster SEMI JOIN pixels USING (image_id)"
 
 
 @query(_READ.format(v="greatest(0, least(255, sv + 128))"))
@@ -286,14 +286,14 @@ def plain_ppm_samples(spark, sf_dir):
     return f.select("image_id", F.explode(rasters.read_pixmap(F.col("content"))).alias("s")).select("image_id", "s.*")
 
 
-@query(_PIX + "SELECT image_id, 'P6' || chr(10) || '8 8' || chr(10) || '255' || chr(10) AS head, 11 + 192 AS size, string_agg(printf('%02X', v), '' ORDER BY y, x, compno) AS body FROM (SELECT *, greatest(0, least(255, sv + 128)) AS v FROM raster) GROUP BY 1")
+@query(_PIX + "SELECT image_id, 'P6' || chr(10) || '8 8' || chr(10) || '255' || chr(10) AS head, 11 + 192 AS size, string_agg(printf('%02X', v), '' ORDER BY y, x, compno) AS body FROM (SELECT *, greatest(0, least(255, sv + 128)) AS v FROM raster SEMI JOIN pixels USING (image_id)) GROUP BY 1")
 def ppm_bytes(spark, sf_dir):
     f = _interleaved(spark, sf_dir).select("image_id", rasters.pixmap(F.col("s"), F.lit(8), F.lit(8), F.lit(255), 3, False).alias("b"))
     return f.select("image_id", F.decode(F.substring("b", 1, 11), "ISO-8859-1").alias("head"), F.octet_length("b").alias("size"), F.hex(F.expr("substring(b, 12)")).alias("body"))
 
 
 def _planes(spark, sf_dir) -> DataFrame:
-    return pictures(spark, sf_dir, signed=True).select("image_id", F.posexplode("planes").alias("compno", "s")).withColumn("compno", F.col("compno").cast("long"))
+    return planes(spark, sf_dir, signed=True).select("image_id", F.col("compno").cast("long").alias("compno"), F.col("vals").alias("s"))
 
 
 @query(_PIX + "SELECT image_id, compno, y, x, CASE compno WHEN 0 THEN greatest(-128, least(127, sv)) WHEN 1 THEN greatest(0, least(65535, sv)) ELSE sv END AS v FROM raster")

@@ -11,7 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def planes(spark: SparkSession, sf_dir: str, signed: bool = False) -> DataFrame:
-    """(image_id, compno, vals array<long>): one 8 x 8 plane in each row of embeddings, three to an image."""
+    """(image_id, compno, vals array<long>): one 8 x 8 plane in each row of embeddings, three to an image; the last image
+    may have one or two."""
     e = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 3").alias("image_id"), (F.col("vec_id") % 3).alias("compno"), "embedding")
     level = lambda f: F.floor(f.cast("double") * 255).cast("long")
     vals = F.transform("embedding", level if signed else lambda f: F.greatest(F.lit(0).cast("long"), F.least(F.lit(255).cast("long"), level(f) + 128)))
@@ -19,7 +20,7 @@ def planes(spark: SparkSession, sf_dir: str, signed: bool = False) -> DataFrame:
 
 
 def pictures(spark: SparkSession, sf_dir: str, signed: bool = False) -> DataFrame:
-    """(image_id, planes array<array<long>>): the images that have all three planes."""
+    """(image_id, planes array<array<long>>): the images of three planes, for what needs three."""
     rows = planes(spark, sf_dir, signed).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("compno", "vals"))).alias("p"))
     return rows.where(F.size("p") == 3).select("image_id", F.transform("p", lambda p: p["vals"]).alias("planes"))
 
@@ -59,12 +60,11 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 RASTER_SQL = """raster AS (
   SELECT vec_id // 3 AS image_id, vec_id % 3 AS compno, (i - 1) // 8 AS y, (i - 1) % 8 AS x,
     CAST(floor(CAST(f AS DOUBLE) * 255) AS BIGINT) AS sv
-  FROM (SELECT vec_id, unnest(embedding) AS f, generate_subscripts(embedding, 1) AS i FROM embeddings)
-  WHERE vec_id // 3 IN (SELECT vec_id // 3 FROM embeddings GROUP BY 1 HAVING count(*) = 3)),
+  FROM (SELECT vec_id, unnest(embedding) AS f, generate_subscripts(embedding, 1) AS i FROM embeddings)),
 pixels AS (
   SELECT image_id, y, x, max(v) FILTER (compno = 0) AS c0, max(v) FILTER (compno = 1) AS c1, max(v) FILTER (compno = 2) AS c2,
     max(sv) FILTER (compno = 0) AS s0, max(sv) FILTER (compno = 1) AS s1, max(sv) FILTER (compno = 2) AS s2
-  FROM (SELECT *, greatest(0, least(255, sv + 128)) AS v FROM raster) GROUP BY 1, 2, 3)"""
+  FROM (SELECT *, greatest(0, least(255, sv + 128)) AS v FROM raster) GROUP BY 1, 2, 3 HAVING count(*) = 3)"""
 
 GEOM_SQL = """geom AS (
   SELECT p_partkey AS image_id, p_partkey % 7 AS x0, p_partkey % 5 AS y0, p_partkey % 7 + 8 + p_size * 5 AS x1,

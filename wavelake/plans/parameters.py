@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as e
 from ..operators import geometry, settings
-from .fixtures import GEOM_SQL, PASSES_SQL, RASTER_SQL, passes, pictures, pixels, planes, table
+from .fixtures import GEOM_SQL, PASSES_SQL, RASTER_SQL, passes, pixels, planes, table
 from .fixtures import geometry as geom
 from .registry import query
 
@@ -167,7 +167,7 @@ def components_missing(spark, sf_dir):
 SELECT image_id, compno, blky, blkx, top, CASE WHEN top = 0 THEN 0 ELSE greatest(length(bin(top)) - 6, 0) END::BIGINT AS numbps FROM m""")
 def block_planes(spark, sf_dir):
     """Bit-planes of each 4 x 4 code-block, from its largest magnitude."""
-    p = pictures(spark, sf_dir, signed=True).select("image_id", F.posexplode("planes").alias("compno", "vals"))
+    p = planes(spark, sf_dir, signed=True)
     v = p.select("image_id", F.col("compno").cast("long").alias("compno"), F.posexplode("vals").alias("i", "v"))
     m = v.groupBy("image_id", "compno", F.expr("cast(i div 32 as bigint)").alias("blky"), F.expr("cast((i % 8) div 4 as bigint)").alias("blkx")).agg(F.max(settings.abs32(F.col("v") * 64)).alias("top"))
     return m.withColumn("numbps", F.when(F.col("top") == 0, 0).otherwise(F.greatest(e.floor_log2("top") + 1 - 6, F.lit(0))).cast("long"))
