@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes and rows that a task holds at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 BLOCK_ROWS = 20_000
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -117,6 +120,16 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = to
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        held = []
+    release()
+
+
+def release() -> None:
+    """Gives free memory back to the system: a Python worker that waits for its next task, or for another operator's,
+    would else hold the most that it ever used."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def text_bytes(block: pa.Table, column: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -256,7 +256,7 @@ def wide_marks(held: DataFrame, width: int) -> DataFrame:
     """(doc_id, key, words long, wide binary) of each row of keyed()."""
 
     def rows(batches):
-        for block in blocks(batches, limit=8 << 20, most=8000):
+        for block in blocks(batches, limit=4 << 20, most=8000):
             whole, fp = _wide_marks(*text_bytes(block), width)
             yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("key").combine_chunks(), pa.array(whole.view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "key", "words", "wide"])
 

@@ -41,7 +41,7 @@ DICTIONARY_BYTES = 64 << 10
 FLAT_TOKENS = 1 << 16
 SAMPLE_TEXT = 32 << 10
 PACK_LEVEL = 9
-CACHED = 400_000
+CACHED = 120_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = 0, 1, 2, 3, 4
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -217,7 +217,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end: int = EN
         part = TaskContext.get().partitionId()
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(known.value) if known.value else None)
         start = 0
-        for k, block in enumerate(blocks(batches, limit=8 << 20)):
+        for k, block in enumerate(blocks(batches, limit=4 << 20)):
             ids, o = encoder(vocabulary).block(*text_bytes(block), end)
             width = 2 if int(ids.max(initial=0)) < 65536 else 4
             raw = ids.astype(f"<u{width}")
