@@ -311,7 +311,7 @@ def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFra
         src, dst = [], []
         for few in range(1, 8):  # small groups: all pairs at a distance of `few` in the sorted order
             a = np.arange(len(key) - few)
-            a = a[(key[a] == key[a + few]) & np.repeat(size <= 8, size)[: len(key) - few]]
+            a = a[(key[a] == key[a + few]) & np.repeat(size <= 8, size)[: max(0, len(key) - few)]]
             a = a[np.bitwise_count(check[a] ^ check[a + few]) <= most]
             src.append(ids[a + few]), dst.append(ids[a])
         for c, n in zip(cut[size > 8].tolist(), size[size > 8].tolist(), strict=True):
