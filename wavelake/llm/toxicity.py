@@ -113,8 +113,8 @@ def inputs(data: np.ndarray, offsets: np.ndarray) -> Inputs:
     left = begin[1:][of] - np.arange(len(marked))  # characters to the word's end
     four = np.zeros(len(marked), np.uint64)
     for k in range(4):
-        next_ = np.append(marked[k:], np.zeros(k, np.uint8))
-        four |= np.where(left > k, next_, 0).astype(np.uint64) << np.uint64(8 * k)
+        after = np.append(marked, np.zeros(4, np.uint8))[k : k + len(marked)]
+        four |= np.where(left > k, after, 0).astype(np.uint64) << np.uint64(8 * k)
     grams = (mix64(four) % np.uint64(GRAM_ROWS)).astype(np.int32)
     return Inputs(ids, words.first, rows, marked, grams, begin)
 
