@@ -86,3 +86,20 @@ def colour_pipeline(subset: Column, definitions: Column, palette: Column, mapped
 def cinema4k_resolutions(numres: Column) -> Column:
     """Resolutions that the 4K cinema profile allows: one to six levels, and none where there are fewer than two."""
     return F.when(numres < 2, F.lit(1)).otherwise(F.least(numres, F.lit(7))).cast("long")
+
+
+#: Largest width and height of the interoperable master format's size classes (fixed values).
+IMF_SIZES = {"2k": (2048, 1556), "4k": (4096, 3112), "8k": (8192, 6224)}
+
+
+def imf_size_class(w: Column, h: Column) -> Column:
+    """The smallest size class that an image fits, null if none."""
+    out = F.lit(None).cast("string")
+    for name, (a, b) in reversed(IMF_SIZES.items()):
+        out = F.when((w <= a) & (h <= b), F.lit(name)).otherwise(out)
+    return out
+
+
+def cinema_rules(components: Column, prec: Column, signed: Column, w: Column, h: Column, four: Column) -> dict[str, Column]:
+    """Checks of the 2K or (four) 4K cinema profile; compliant if all hold."""
+    return {"components": components == 3, "precision": (prec == 12) & ~signed, "size": (w <= F.when(four, 4096).otherwise(2048)) & (h <= F.when(four, 2160).otherwise(1080))}

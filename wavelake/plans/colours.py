@@ -85,3 +85,14 @@ def colour_step_order(spark, sf_dir):
     g = geom(spark, sf_dir)
     steps = colormeta.colour_pipeline(k % 5 == 0, F.col("numcomps") > 1, k % 2 == 0, k % 3 == 0, k % 7 != 0)
     return g.select("image_id", steps.alias("steps"), colormeta.cinema4k_resolutions(F.when(F.col("numres") < 2, F.col("numres")).otherwise(F.col("numres") + k % 6)).alias("cinema"))
+
+
+@query("""SELECT p_partkey AS k, CASE WHEN w <= 2048 AND h <= 1556 THEN '2k' WHEN w <= 4096 AND h <= 3112 THEN '4k' WHEN w <= 8192 AND h <= 6224 THEN '8k' ELSE 'none' END AS class,
+  n = 3 AS components, d = 12 AND p_partkey % 5 <> 0 AS precision, CASE WHEN p_partkey % 2 = 1 THEN w <= 4096 AND h <= 2160 ELSE w <= 2048 AND h <= 1080 END AS size
+FROM (SELECT p_partkey, (p_partkey * 797) % 9000 AS w, (p_partkey * 389) % 7000 AS h, 1 + p_partkey % 4 AS n, 10 + p_size % 4 AS d FROM part)""")
+def delivery_classes(spark, sf_dir):
+    k = F.col("p_partkey")
+    w, h = (k * 797) % 9000, (k * 389) % 7000
+    p = table(spark, sf_dir, "part")
+    rules = colormeta.cinema_rules(1 + k % 4, 10 + F.col("p_size") % 4, k % 5 == 0, w, h, k % 2 == 1)
+    return p.select(k.alias("k"), F.coalesce(colormeta.imf_size_class(w, h), F.lit("none")).alias("class"), *(c.alias(n) for n, c in rules.items()))

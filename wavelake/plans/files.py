@@ -344,3 +344,47 @@ def header_summary(spark, sf_dir):
     c = markers.cod(F.col("content"), _seg(headers.COD))
     h = h.select("image_id", *headers.siz_fields(F.col("content"), _seg(headers.SIZ)), c["numres"].alias("numres"), c["layers"].alias("layers"))
     return h.select("image_id", F.format_string("image %dx%d at %d,%d, %d components of %d bits, %d resolutions, %d layers", F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), "x0", "y0", "numcomps", "prec", "numres", "layers").alias("summary"))
+
+
+# --- transforms of several components -----------------------------------------------------------------------------
+
+
+def transform_headers(spark, sf_dir) -> DataFrame:
+    """Main headers with a matrix, offsets, the collection that joins them, its order and the components' bits."""
+    g = geom(spark, sf_dir)
+    n = F.col("numcomps")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), n * n - 1), lambda i: (_K * (i + 1)) % 100 - 50)
+    shifts = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: (_K + i) % 7 - 3)
+    group = [markers.cbd_bytes(F.col("prec"), _K % 2 == 1, n), markers.mct_bytes(1 + _K % 9, 1, cells), markers.mct_bytes(20 + _K % 9, 2, shifts), markers.mcc_bytes(3 + _K % 5, n, 1 + _K % 9, 20 + _K % 9, _K % 3 == 0), markers.mco_bytes(3 + _K % 5)]
+    plain = headers.codestream_header(g)
+    content = headers.joined(F.expr("unhex('FF4F')"), F.substring(plain, 3, 40 + 3 * n), *group, headers.raw(headers.SOT))
+    return e.once(e.once(g, "content", content), "found", headers.segments(F.col("content")))
+
+
+@query(f"""WITH {GEOM_SQL}, a AS (SELECT image_id, unnest([1, 2]) AS kind, numcomps AS n FROM geom)
+SELECT image_id, CASE kind WHEN 1 THEN 1 + image_id % 9 ELSE 20 + image_id % 9 END AS index, kind::BIGINT AS kind, 1 AS element,
+  CASE kind WHEN 1 THEN list_sum(list_transform(range(n * n), lambda i: (i + 1) * ((image_id * (i + 1)) % 100 - 50))) ELSE list_sum(list_transform(range(n), lambda i: (i + 1) * ((image_id + i) % 7 - 3))) END::BIGINT AS weighted FROM a""")
+def transform_arrays(spark, sf_dir):
+    """Matrices and offsets of the headers; weighted: the sum of place times value."""
+    h = transform_headers(spark, sf_dir).select("image_id", "content", F.explode(markers.of_code(F.col("found"), markers.MCT)).alias("s"))
+    m = markers.mct(F.col("content"), F.col("s"))
+    weighted = F.aggregate(F.transform(m["values"], lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return h.select("image_id", m["index"].alias("index"), m["kind"].alias("kind"), m["element"].alias("element"), weighted.alias("weighted"))
+
+
+@query(f"WITH {GEOM_SQL} SELECT image_id, 3 + image_id % 5 AS index, 1 AS collections, numcomps AS n, image_id % 3 = 0 AS reversible, 20 + image_id % 9 AS offsets, 1 + image_id % 9 AS matrix FROM geom")
+def transform_collections(spark, sf_dir):
+    """The collection that each header's order names, with the indices of its arrays."""
+    h = transform_headers(spark, sf_dir)
+    first = lambda code: F.get(markers.of_code(F.col("found"), code), F.lit(0))
+    h = e.once(e.once(h, "mcc", first(markers.MCC)), "mco", first(markers.MCO))
+    named = headers.number(F.col("content"), F.col("mco.off") + 5, 1)
+    m = markers.mcc(F.col("content"), F.col("mcc"))
+    return h.where(named == m["index"]).select("image_id", *(c.alias(n) for n, c in m.items()))
+
+
+@query(f"WITH {GEOM_SQL} SELECT image_id, compno, (prec + compno) * CASE WHEN image_id % 2 = 1 THEN -1 ELSE 1 END AS bits FROM (SELECT image_id, prec, unnest(range(numcomps)) AS compno FROM geom)")
+def component_bits(spark, sf_dir):
+    h = transform_headers(spark, sf_dir)
+    s = F.get(markers.of_code(F.col("found"), markers.CBD), F.lit(0))
+    return h.select("image_id", F.posexplode(markers.cbd(F.col("content"), s)).alias("compno", "bits")).withColumn("compno", F.col("compno").cast("long"))

@@ -162,3 +162,53 @@ def cmap(content: Column, b: Column) -> Column:
 
 def cdef(content: Column, b: Column) -> Column:
     return _list(content, b["off"] + 10, number(content, b["off"] + 8, 2), 6, lambda p: F.struct(number(content, p, 2).alias("cn"), number(content, p + 2, 2).alias("typ"), number(content, p + 4, 2).alias("asoc")))
+
+
+# --- transforms of several components -----------------------------------------------------------------------------
+
+#: Marker codes of the extended transforms, and bytes of their elements by type (fixed values of the format).
+MCT, MCC, MCO, CBD = "FF74", "FF75", "FF77", "FF78"
+ELEMENTS = (2, 4, 4, 8)
+
+
+def mct_bytes(index: Column, kind: int, values: Column) -> Column:
+    """An array of whole numbers in four bytes; kind: 1 a matrix, 2 offsets."""
+    digits = F.array_join(F.transform(values, lambda v: F.lpad(F.hex(F.pmod(long(v), F.lit(1 << 32))), 8, "0")), "")
+    return marker(MCT, raw("0000"), bytes_of(index + 256 * kind + 1024, 2), raw("0000"), F.unhex(digits))
+
+
+def mcc_bytes(index: Column, n: Column, matrix: Column, offsets: Column, reversible: Column) -> Column:
+    """One collection of components 0..n-1 that go through the matrix and offsets of these indices."""
+    names = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return marker(MCC, raw("0000"), one(index), raw("0000000101"), bytes_of(n, 2), names, bytes_of(n, 2), names, one(long(reversible)), one(offsets), one(matrix))
+
+
+def mco_bytes(index: Column) -> Column:
+    return marker(MCO, raw("01"), one(index))
+
+
+def cbd_bytes(bits: Column, signed: Column, n: Column) -> Column:
+    each = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda c: F.lpad(F.hex(long(bits + c - 1 + F.when(signed, 128).otherwise(0))), 2, "0")), "")
+    return marker(CBD, bytes_of(n, 2), F.unhex(each))
+
+
+def mct(content: Column, s: Column) -> dict[str, Column]:
+    at = s["off"] + 4
+    head = number(content, at + 2, 2)
+    size = F.element_at(F.array(*map(F.lit, ELEMENTS)), (shift_right(head, 10) % 4 + 1).cast("int"))
+    n = long((s["len"] - 8) / size)
+    signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
+    return {"index": head % 256, "kind": shift_right(head, 8) % 4, "element": shift_right(head, 10) % 4, "values": _list(content, at + 6, n, 4, lambda p: signed(number(content, p, 4)))}
+
+
+def mcc(content: Column, s: Column) -> dict[str, Column]:
+    at = s["off"] + 4
+    n = number(content, at + 8, 2)
+    tail = at + 10 + n + 2 + n
+    return {"index": number(content, at + 2, 1), "collections": number(content, at + 5, 2), "n": n, "reversible": number(content, tail, 1) == 1, "offsets": number(content, tail + 1, 1), "matrix": number(content, tail + 2, 1)}
+
+
+def cbd(content: Column, s: Column) -> Column:
+    """Bits of each component; signed ones below zero."""
+    at = s["off"] + 4
+    return _list(content, at + 2, number(content, at, 2), 1, lambda p: (number(content, p, 1) % 128 + 1) * F.when(number(content, p, 1) >= 128, -1).otherwise(1))
