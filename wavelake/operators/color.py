@@ -21,7 +21,8 @@ def rct_inverse(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column
 
 
 def ict(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Irreversible transform in single precision; the grouping of the sums is part of the definition."""
+    """Irreversible transform in single precision; the grouping of the sums and the coefficients are part of the definition
+    (fixed values)."""
     r, g, b = map(f32, (r, g, b))
     return (
         f32(0.299) * r + (f32(0.587) * g + f32(0.114) * b),
@@ -31,6 +32,7 @@ def ict(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def ict_inverse(y: Column, u: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Back, by the inverse's published coefficients (fixed values)."""
     return y + f32(1.402) * v, y - (f32(0.34413) * u + f32(0.71414) * v), y + f32(1.772) * u
 
 
@@ -104,7 +106,7 @@ def sample16(v: Column, prec: Column, signed: bool) -> Column:
 
 
 def sycc_rgb(y: Column, cb: Column, cr: Column, prec: int = 8) -> tuple[Column, Column, Column]:
-    """cb, cr: unsigned; products are truncated toward zero."""
+    """cb, cr: unsigned; products are truncated toward zero. Coefficients of the sYCC definition (fixed values)."""
     top, off = (1 << prec) - 1, 1 << prec - 1
     b, r = (cb - off).cast("double"), (cr - off).cast("double")
     return tuple(clamp(long(y) + d, 0, top) for d in (truncate(F.lit(1.402) * r), -truncate(F.lit(0.344) * b + F.lit(0.714) * r), truncate(F.lit(1.772) * b)))
@@ -118,6 +120,7 @@ def cmyk_rgb(c: Column, m: Column, y: Column, k: Column, prec: int = 8) -> tuple
 
 
 def eycc_rgb(y: Column, cb: Column, cr: Column, prec: int = 8) -> tuple[Column, Column, Column]:
+    """Coefficients of the e-sYCC definition (fixed values); samples are rounded half up."""
     top, off = (1 << prec) - 1, 1 << prec - 1
     y, cb, cr = f32(y), f32(cb - off), f32(cr - off)
     r = y - f32(0.0000368) * cb + f32(1.40199) * cr + f32(0.5)
@@ -153,7 +156,9 @@ WHITE = (0.9642, 1.0, 0.8249)
 
 
 def lab_rgb(values: tuple[Column, Column, Column], prec: int = 8, ranges: tuple | None = None, offsets: tuple | None = None) -> tuple[Column, Column, Column]:
-    """16-bit sRGB of L*a*b* samples; without ranges and offsets the defaults for the precision hold."""
+    """16-bit sRGB of L*a*b* samples; without ranges and offsets the defaults for the precision hold (fixed values: ranges
+    100, 170 and 200, offsets 0, a half, and a quarter and an eighth of the sample range). The curve back from L*a*b* is
+    that of CIE 15: cubes above 6/29, a line of the same slope below; sRGB's curve is that of IEC 61966-2-1."""
     ranges = ranges or (100.0, 170.0, 200.0)
     offsets = offsets or (0.0, 2.0 ** (prec - 1), 2.0 ** (prec - 2) + 2.0 ** (prec - 3))
     top = 2.0**prec - 1

@@ -52,7 +52,8 @@ def imf_rules(mainlevel: Column, sublevel: Column) -> dict[str, Column]:
 
 
 def cinema_settings(fast: Column) -> dict[str, Column]:
-    """What a 2K cinema profile makes of an image's settings: `fast` for 48 pictures a second."""
+    """What a 2K cinema profile makes of an image's settings: `fast` for 48 pictures a second. Bytes of a picture at 24 and
+    48 a second, block and precinct sizes are the profile's (fixed values)."""
     cap = F.when(fast, F.lit(651041)).otherwise(F.lit(1302083))
     samples = F.col("numcomps") * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) * F.col("prec")
     return {"cap": cap.cast("long"), "numres": F.least(F.col("numres"), F.lit(6).cast("long")), "cblk": F.lit(5).cast("long"), "precinct": F.when(F.col("numres") == 1, F.lit(7)).otherwise(F.lit(8)).cast("long"), "rate": samples.cast("double") / (cap * 8).cast("double")}
