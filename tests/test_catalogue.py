@@ -21,3 +21,13 @@ def test_entry_has_all(spark):
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 12
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

@@ -16,35 +16,38 @@ from .fixtures import GEOM_SQL, RASTER_SQL, pictures, planes, table
 from .fixtures import geometry as geom
 from .registry import query
 
-_K = F.col("image_id")
+
+
+def _k():
+    return F.col("image_id")
 
 
 def _style(extra=0) -> object:
-    return markers.style_bytes(F.col("numres") + extra, F.col("cblkw"), F.col("cblkh"), _K % 2 == 0, F.col("pdx"), F.col("pdy"))
+    return markers.style_bytes(F.col("numres") + extra, F.col("cblkw"), F.col("cblkh"), _k() % 2 == 0, F.col("pdx"), F.col("pdy"))
 
 
 def rich_headers(spark, sf_dir) -> DataFrame:
     """`g` and a main header with every kind of segment: styles, quantisation, regions, progression changes, comments."""
     g = geom(spark, sf_dir)
     bands = 3 * F.col("numres") - 2
-    step = F.transform(F.sequence(F.lit(0).cast("long"), bands - 1), lambda b: F.lpad(F.hex((F.col("prec") + b % 3) * 2048 + (_K * 7 + b) % 2048), 4, "0"))
+    step = F.transform(F.sequence(F.lit(0).cast("long"), bands - 1), lambda b: F.lpad(F.hex((F.col("prec") + b % 3) * 2048 + (_k() * 7 + b) % 2048), 4, "0"))
     size = F.transform(F.sequence(F.lit(0).cast("long"), bands - 1), lambda b: F.lpad(F.hex((F.col("prec") + b % 3) * 8), 2, "0"))
     flat = lambda a: F.unhex(F.array_join(a, ""))
-    kind = _K % 3  # none, derived, expounded
+    kind = _k() % 3  # none, derived, expounded
     qcd = headers.marker(headers.QCD, markers.one(kind + 64), F.when(kind == 0, flat(size)).when(kind == 1, flat(F.slice(step, 1, 1))).otherwise(flat(step)))
-    cod = headers.marker(headers.COD, headers.raw("01"), markers.one(_K % 5), headers.bytes_of(F.col("nlayers"), 2), headers.raw("01"), _style())
+    cod = headers.marker(headers.COD, headers.raw("01"), markers.one(_k() % 5), headers.bytes_of(F.col("nlayers"), 2), headers.raw("01"), _style())
     coc = headers.marker(markers.COC, headers.raw("01"), headers.raw("01"), _style(1))
     qcc = headers.marker(markers.QCC, headers.raw("02"), headers.raw("20"), flat(size))
-    rgn = headers.marker(markers.RGN, markers.one(F.col("numcomps") - 1), headers.raw("00"), markers.one(_K % 12))
+    rgn = headers.marker(markers.RGN, markers.one(F.col("numcomps") - 1), headers.raw("00"), markers.one(_k() % 12))
     change = lambda k: headers.joined(markers.one(e.long(k)), markers.one(k % 2), headers.bytes_of(1 + k, 2), markers.one(k + 2), headers.raw("03"), markers.one(k % 5))
-    poc = headers.marker(markers.POC, change(_K % 4), change(_K % 3 + 4))
-    note = headers.marker(markers.COM, headers.raw("0001"), F.repeat(F.lit("x"), (_K % 90).cast("int")).cast("binary"))
+    poc = headers.marker(markers.POC, change(_k() % 4), change(_k() % 3 + 4))
+    note = headers.marker(markers.COM, headers.raw("0001"), F.repeat(F.lit("x"), (_k() % 90).cast("int")).cast("binary"))
     some = lambda c, v: F.when(c, v).otherwise(headers.raw(""))
     plain = headers.codestream_header(g)
     siz = F.substring(plain, 3, 40 + 3 * F.col("numcomps"))
     # a third of the images have so many comments that their header takes the long walk
-    many = F.unhex(F.repeat(F.hex(headers.marker(markers.COM, headers.raw("0001"))), F.when(_K % 3 == 0, 70).otherwise(1)))
-    content = headers.joined(headers.raw(headers.SOC), siz, cod, note, many, some(F.col("numcomps") > 1, coc), qcd, some(F.col("numcomps") > 2, qcc), rgn, some(_K % 2 == 1, poc), headers.raw(headers.SOT))
+    many = F.unhex(F.repeat(F.hex(headers.marker(markers.COM, headers.raw("0001"))), F.when(_k() % 3 == 0, 70).otherwise(1)))
+    content = headers.joined(headers.raw(headers.SOC), siz, cod, note, many, some(F.col("numcomps") > 1, coc), qcd, some(F.col("numcomps") > 2, qcc), rgn, some(_k() % 2 == 1, poc), headers.raw(headers.SOT))
     return e.once(e.once(g, "content", content), "found", headers.segments(F.col("content")))
 
 
@@ -119,19 +122,19 @@ def rich_boxes(spark, sf_dir) -> DataFrame:
     """A boxed file with a palette, component map and channel definitions; some lack the header box or its first box."""
     g = geom(spark, sf_dir)
     codes = list(settings.COLOUR_SPACES)
-    enum = F.element_at(F.array(*map(F.lit, [*codes, 99])), (_K % 6 + 1).cast("int"))
+    enum = F.element_at(F.array(*map(F.lit, [*codes, 99])), (_k() % 6 + 1).cast("int"))
     flat = lambda a: F.unhex(F.array_join(a, ""))
     seq = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     hexed = lambda v, n: F.lpad(F.hex(e.long(v)), 2 * n, "0")
-    ihdr = headers.box("ihdr", headers.bytes_of(F.col("y1") - F.col("y0"), 4), headers.bytes_of(F.col("x1") - F.col("x0"), 4), headers.bytes_of(F.col("numcomps"), 2), headers.raw("FF0700"), markers.one(_K % 2))
+    ihdr = headers.box("ihdr", headers.bytes_of(F.col("y1") - F.col("y0"), 4), headers.bytes_of(F.col("x1") - F.col("x0"), 4), headers.bytes_of(F.col("numcomps"), 2), headers.raw("FF0700"), markers.one(_k() % 2))
     bpcc = headers.box("bpcc", flat(F.transform(seq(F.col("numcomps")), lambda c: hexed(F.col("prec") - 1 + c + F.when(c == 1, 128).otherwise(0), 1))))
-    colr = F.when(_K % 7 == 0, headers.box("colr", headers.raw("020305"), F.repeat(F.lit("p"), (_K % 40).cast("int")).cast("binary"))).otherwise(headers.box("colr", headers.raw("010000"), headers.bytes_of(enum, 4)))
-    entries = 1 + _K % 5
-    pclr = headers.box("pclr", headers.bytes_of(entries, 2), headers.raw("02070B"), flat(F.transform(seq(entries), lambda i: F.concat(hexed((_K + i) % 256, 1), hexed((_K * 3 + i) % 4096, 2)))))
+    colr = F.when(_k() % 7 == 0, headers.box("colr", headers.raw("020305"), F.repeat(F.lit("p"), (_k() % 40).cast("int")).cast("binary"))).otherwise(headers.box("colr", headers.raw("010000"), headers.bytes_of(enum, 4)))
+    entries = 1 + _k() % 5
+    pclr = headers.box("pclr", headers.bytes_of(entries, 2), headers.raw("02070B"), flat(F.transform(seq(entries), lambda i: F.concat(hexed((_k() + i) % 256, 1), hexed((_k() * 3 + i) % 4096, 2)))))
     cmap = headers.box("cmap", flat(F.transform(seq(F.col("numcomps")), lambda c: F.concat(hexed(0 * c, 2), hexed(c % 2, 1), hexed(c, 1)))))
-    cdef = headers.box("cdef", headers.bytes_of(F.col("numcomps"), 2), flat(F.transform(seq(F.col("numcomps")), lambda c: F.concat(hexed(c, 2), hexed(F.when(c == 2, 1).otherwise(0), 2), hexed((c + _K) % F.col("numcomps") + 1, 2)))))
-    inner = [F.when(_K % 13 == 5, headers.raw("")).otherwise(ihdr), bpcc, colr, pclr, cmap, cdef]
-    top = [headers.raw(headers.SIGNATURE), headers.box("ftyp", F.lit("jp2 ").cast("binary"), headers.raw("00000001"), F.lit("jp2 jpx ").cast("binary")), F.when(_K % 11 == 3, headers.raw("")).otherwise(headers.box("jp2h", *inner)), headers.box("jp2c", headers.codestream_header(g))]
+    cdef = headers.box("cdef", headers.bytes_of(F.col("numcomps"), 2), flat(F.transform(seq(F.col("numcomps")), lambda c: F.concat(hexed(c, 2), hexed(F.when(c == 2, 1).otherwise(0), 2), hexed((c + _k()) % F.col("numcomps") + 1, 2)))))
+    inner = [F.when(_k() % 13 == 5, headers.raw("")).otherwise(ihdr), bpcc, colr, pclr, cmap, cdef]
+    top = [headers.raw(headers.SIGNATURE), headers.box("ftyp", F.lit("jp2 ").cast("binary"), headers.raw("00000001"), F.lit("jp2 jpx ").cast("binary")), F.when(_k() % 11 == 3, headers.raw("")).otherwise(headers.box("jp2h", *inner)), headers.box("jp2c", headers.codestream_header(g))]
     b = e.once(g, "content", headers.joined(*top))
     b = e.once(e.once(b, "top", headers.boxes(F.col("content"), F.lit(0), F.octet_length("content"))), "head", markers.of_type(F.col("top"), "jp2h"))
     return e.once(b, "sub", F.when(F.col("head").isNotNull(), headers.boxes(F.col("content"), F.col("head.off") + 8, F.col("head.off") + F.col("head.len"))))
@@ -200,9 +203,9 @@ p AS (SELECT *, 1 + (image_id + tileno + part) % 5 AS n, CASE WHEN image_id % 5
 def part_streams(spark, sf_dir) -> DataFrame:
     """(image_id, content): codestreams of up to six tiles in one to three parts each; in a fifth of the images the number
     of parts is told one too small."""
-    t = geometry.tiles(geom(spark, sf_dir)).where("tileno < 6").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _K % 3)))
-    data = F.unhex(F.repeat(F.lpad(F.hex(F.col("tileno") * 16 + F.col("part")), 2, "0"), (1 + (_K + F.col("tileno") + F.col("part")) % 5).cast("int")))
-    t = t.withColumn("piece", markers.tile_part(F.col("tileno"), F.col("part"), 1 + _K % 3 - F.when(_K % 5 == 0, 1).otherwise(0), data))
+    t = geometry.tiles(geom(spark, sf_dir)).where("tileno < 6").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _k() % 3)))
+    data = F.unhex(F.repeat(F.lpad(F.hex(F.col("tileno") * 16 + F.col("part")), 2, "0"), (1 + (_k() + F.col("tileno") + F.col("part")) % 5).cast("int")))
+    t = t.withColumn("piece", markers.tile_part(F.col("tileno"), F.col("part"), 1 + _k() % 3 - F.when(_k() % 5 == 0, 1).otherwise(0), data))
     # all first parts come before all second ones
     joined = t.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("part", "tileno", "piece"))).alias("p"))
     body = F.aggregate("p", F.unhex(F.lit("")), lambda a, p: F.concat(a, p["piece"]))
@@ -353,9 +356,9 @@ def transform_headers(spark, sf_dir) -> DataFrame:
     """Main headers with a matrix, offsets, the collection that joins them, its order and the components' bits."""
     g = geom(spark, sf_dir)
     n = F.col("numcomps")
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), n * n - 1), lambda i: (_K * (i + 1)) % 100 - 50)
-    shifts = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: (_K + i) % 7 - 3)
-    group = [markers.cbd_bytes(F.col("prec"), _K % 2 == 1, n), markers.mct_bytes(1 + _K % 9, 1, cells), markers.mct_bytes(20 + _K % 9, 2, shifts), markers.mcc_bytes(3 + _K % 5, n, 1 + _K % 9, 20 + _K % 9, _K % 3 == 0), markers.mco_bytes(3 + _K % 5)]
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), n * n - 1), lambda i: (_k() * (i + 1)) % 100 - 50)
+    shifts = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: (_k() + i) % 7 - 3)
+    group = [markers.cbd_bytes(F.col("prec"), _k() % 2 == 1, n), markers.mct_bytes(1 + _k() % 9, 1, cells), markers.mct_bytes(20 + _k() % 9, 2, shifts), markers.mcc_bytes(3 + _k() % 5, n, 1 + _k() % 9, 20 + _k() % 9, _k() % 3 == 0), markers.mco_bytes(3 + _k() % 5)]
     plain = headers.codestream_header(g)
     content = headers.joined(F.expr("unhex('FF4F')"), F.substring(plain, 3, 40 + 3 * n), *group, headers.raw(headers.SOT))
     return e.once(e.once(g, "content", content), "found", headers.segments(F.col("content")))
