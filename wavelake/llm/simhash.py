@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, bucketed, connected_components, materialise, mix64, shuffle_partitions, table, text_bytes
+from .common import Words, blocks, bucketed, connected_components, materialise, mix64, table, text_bytes
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -263,7 +263,8 @@ def wide_marks(held: DataFrame, width: int) -> DataFrame:
     return held.select(F.col("row.doc_id").alias("doc_id"), "key", F.col("row.text").alias("text")).mapInArrow(rows, "doc_id long, key long, words long, wide binary")
 
 
-_SENT = pa.schema([("shard", pa.int32()), ("base", pa.int64()), ("rows", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary())])
+CHUNK, SHARD = 1 << 14, 1 << 12  # fingerprints that a task sends at once, and for each shard
+_SENT = pa.schema([("shard", pa.int32()), ("rows", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary())])
 
 
 def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFrame:
@@ -272,37 +273,28 @@ def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFra
     its pairs; each id in it comes as a row of src = dst, for rare_pairs()."""
 
     def sent(batches):
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            fp = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, TABLES)
-            # ids of one file only: their high bits tell the task that gave them, offsets have 32 bits
-            cuts = np.union1d(np.arange(0, len(ids), 4096), np.flatnonzero(ids[1:] >> 33 != ids[:-1] >> 33) + 1).tolist()
-            for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-                part = fp[lo:hi]
-                base = int(ids[lo:hi].min())
-                local = (ids[lo:hi] - base).astype(np.uint64)
-                if int(local.max()) >> 32:
-                    raise ValueError("ids of one task lie over 32 bits apart")
-                for t in range(TABLES):
-                    seg = [(part[:, t] >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS[:2]]
-                    (i, ni), (j, nj) = map(nearby_indices, seg)
-                    live = (np.arange(6) < ni[:, None])[:, :, None] & (np.arange(6) < nj[:, None])[:, None, :]
-                    key = ((t << 12 | i)[:, :, None] << 12 | j[:, None, :])[live].astype(np.uint64)
-                    row = np.broadcast_to(local[:, None, None], live.shape)[live]
-                    check = np.broadcast_to(part[:, (t + 1) % TABLES, None, None], live.shape)[live]
-                    at = (mix64(key >> np.uint64(12)) % np.uint64(shards)).astype(np.int64)  # keys of one first index meet in a shard, which tells equal edges once
-                    by = np.lexsort((key, at))
-                    at, key, row, check = at[by], key[by], row[by], check[by]
-                    cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
-                    end = np.append(cut[1:], len(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), pa.array(np.full(len(cut), base)), *(pa.array([x[a:z].astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes() for a, z in zip(cut, end, strict=True)], pa.binary()) for x, w in ((row, 4), (key, 4), (check, 8)))], schema=_SENT)
+        for block in blocks(batches, "wide", most=CHUNK):
+            ids = block.column("id").to_numpy()
+            part = np.frombuffer(text_bytes(block, "wide")[0].tobytes(), np.uint64).reshape(-1, TABLES)
+            for t in range(TABLES):
+                seg = [(part[:, t] >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS[:2]]
+                (i, ni), (j, nj) = map(nearby_indices, seg)
+                live = (np.arange(6) < ni[:, None])[:, :, None] & (np.arange(6) < nj[:, None])[:, None, :]
+                key = ((t << 12 | i)[:, :, None] << 12 | j[:, None, :])[live].astype(np.uint64)
+                row = np.broadcast_to(ids[:, None, None], live.shape)[live]
+                check = np.broadcast_to(part[:, (t + 1) % TABLES, None, None], live.shape)[live]
+                at = (mix64(key >> np.uint64(12)) % np.uint64(shards)).astype(np.int64)  # keys of one first index meet in a shard, which tells equal edges once
+                by = np.lexsort((key, at))
+                at, key, row, check = at[by], key[by], row[by], check[by]
+                cut = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+                end = np.append(cut[1:], len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(at[cut].astype(np.int32)), *(pa.array([x[a:z].astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes() for a, z in zip(cut, end, strict=True)], pa.binary()) for x, w in ((row, 8), (key, 4), (check, 8)))], schema=_SENT)
 
     def whole(column, w: int) -> list[np.ndarray]:
         return [np.ascontiguousarray(np.frombuffer(b.as_py(), np.uint8).reshape(w, -1).T).view(f"<u{w}").ravel() for b in column]
 
     def met(parts: pa.Table) -> pa.Table:
-        row = whole(parts.column("rows"), 4)
-        ids = np.concatenate([r.astype(np.int64) + b for r, b in zip(row, parts.column("base").to_pylist(), strict=True)])
+        ids = np.concatenate(whole(parts.column("rows"), 8)).astype(np.int64)
         key, check = np.concatenate(whole(parts.column("keys"), 4)), np.concatenate(whole(parts.column("checks"), 8))
         by = np.lexsort((ids, key))
         key, ids, check = key[by], ids[by], check[by]
@@ -332,7 +324,7 @@ def candidate_edges(distinct: DataFrame, shards: int, most: int = 20) -> DataFra
         pair = np.unique(np.stack([np.maximum(src, dst), np.minimum(src, dst)], 1), axis=0) if len(src) else np.zeros((0, 2), np.int64)
         return pa.table({"src": pair[:, 0], "dst": pair[:, 1]})
 
-    packed = distinct.select("id", "wide").mapInArrow(sent, "shard int, base long, rows binary, keys binary, checks binary")
+    packed = distinct.select("id", "wide").mapInArrow(sent, "shard int, rows binary, keys binary, checks binary")
     return packed.groupBy("shard").applyInArrow(met, "src long, dst long").distinct()
 
 
@@ -430,7 +422,10 @@ def _groups(held: DataFrame, width: int, similar: float) -> DataFrame:
     marked = materialise(wide_marks(held, width), "wide-marks")
     distinct = marked.groupBy("words").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("who"))
     distinct = materialise(distinct.select(F.monotonically_increasing_id().alias("id"), "words", "wide", "who.key"), "wide-distinct")
-    met = materialise(candidate_edges(distinct, 4 * shuffle_partitions(held.sparkSession)), "wide-edges")
+    # shards and tasks by the number of fingerprints and not of partitions, so that what tasks send are few large rows
+    n = distinct.count()
+    tasks = max(held.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK))
+    met = materialise(candidate_edges(distinct.coalesce(tasks), max(1, -(-n // SHARD))), "wide-edges")
     edges, crowd = met.where("src <> dst"), met.where("src = dst").select(F.col("src").alias("id"))
     a = distinct.select(F.col("id").alias("src"), F.col("wide").alias("a"))
     b = distinct.select(F.col("id").alias("dst"), F.col("wide").alias("b"))
