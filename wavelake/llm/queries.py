@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lmscore, media, mixing, simhash, tokens, toxicity, url_filter
+from . import decontaminate, divergence, langid, lmscore, media, mixing, simhash, tokens, toxicity, url_filter
 
 QUERIES = {
     "op1_lm_scores": lmscore.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_separator_scan": tokens.query_separator_scan,
     "op10_mixing": mixing.query,
+    "op11_source_divergence": divergence.query,
 }
 
-ORACLES = {"op3_url_filter": url_filter.oracle()}
+ORACLES = {"op3_url_filter": url_filter.oracle(), "op11_source_divergence": divergence.oracle()}
