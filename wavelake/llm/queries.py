@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, langid, lmscore, media, mixing, simhash, tokens, toxicity, url_filter, veccodes
+from . import decontaminate, divergence, flatgraph, langid, lmscore, media, mixing, simhash, tokens, toxicity, url_filter, veccodes
 
 QUERIES = {
     "op1_lm_scores": lmscore.query,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_separator_scan": tokens.query_separator_scan,
     "op10_mixing": mixing.query,
     "op11_source_divergence": divergence.query,
+    "op12_embedding_near_dedup": flatgraph.query,
     "op13_vector_codes": veccodes.query,
 }
 
-ORACLES = {"op3_url_filter": url_filter.oracle(), "op11_source_divergence": divergence.oracle(), "op13_vector_codes": veccodes.oracle()}
+ORACLES = {"op3_url_filter": url_filter.oracle(), "op11_source_divergence": divergence.oracle(), "op12_embedding_near_dedup": flatgraph.oracle(), "op13_vector_codes": veccodes.oracle()}
