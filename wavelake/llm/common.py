@@ -31,6 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL and schemas read it, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of `docs`, whatever their names, as one struct; fields_of() takes them out again."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns))
+
+
+def fields_of(names: list[str], row: str = "row") -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a new local one is set only where none is (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

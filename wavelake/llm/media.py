@@ -7,7 +7,7 @@ as the constant-size samples of one track. Both run as Arrow batches over the ro
 Null content gives null columns; an empty, cut, damaged or hostile file gives a row with `error` set and what was read
 before the damage, without keyframes. Boxes of size 0 reach to the end, size 1 has 64 bits; unknown boxes are skipped,
 and boxes that nest over DEPTH deep are an error. Counts are checked against the length of the file before anything is
-made of them. Movie fragments and edit lists are not read. Rows are independent, so repeats and ties give equal rows; a
+made of them, and keyframes are given in runs, so that a row stays smaller than its file. Movie fragments and edit lists are not read. Rows are independent, so repeats and ties give equal rows; a
 file (or text) of any length is one row, held whole by one task; an empty table gives an empty result; further columns of
 the input are not read, so their names cannot clash.
 """
@@ -18,14 +18,16 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import blocks, materialise, table, text_bytes
+from .common import blocks, materialise, quoted, table, text_bytes
 
 SAMPLE = 64
 SAMPLES_A_CHUNK = 256
@@ -37,7 +39,9 @@ DEPTH = 32
 #: Boxes that hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
 
-TRACKS = "array<struct<track_id:long,handler:string,codec:string,timescale:long,duration:long,samples:long,bytes:long,keyframes:array<struct<offset:long,length:long,time:long>>>>"
+TRACKS = "array<struct<track_id:long,handler:string,codec:string,timescale:long,duration:long,samples:long,bytes:long,keyframes:array<struct<offset:long,length:long,time:long,count:long,step:long,ticks:long>>>>"
+#: Samples that are placed at once.
+LOT = 1 << 18
 
 
 # --- reading ------------------------------------------------------------------------------------------------------
@@ -122,11 +126,13 @@ class Track:
         elif kind == b"stss":
             self.sync = _u32(buf, a + 8, count(), z) - 1
 
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.append(0, np.cumsum(self.sizes))
+
     def before(self, k: np.ndarray) -> np.ndarray:
         """Bytes of all samples before each of k."""
-        if self.same:
-            return k * self.same
-        return np.append(0, np.cumsum(self.sizes))[k]
+        return k * self.same if self.same else self.ends[k]
 
     @property
     def bytes(self) -> int:
@@ -148,9 +154,13 @@ class Track:
             raise ValueError("sample-to-chunk table does not fit")
         return np.cumsum(per) - per
 
+    @cached_property
+    def firsts(self) -> np.ndarray:
+        return self.chunk_firsts()
+
     def place(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offset, length) of samples k: the chunk's offset, plus the sizes before it in the chunk."""
-        first = self.chunk_firsts()
+        first = self.firsts
         chunk = np.searchsorted(first, k, side="right") - 1
         size = np.full(len(k), self.same) if self.same else self.sizes[k]
         return self.chunks[chunk] + self.before(k) - self.before(first[chunk]), size
@@ -166,10 +176,25 @@ class Track:
         start = np.cumsum(self.stts[:, 0] * self.stts[:, 1]) - self.stts[:, 0] * self.stts[:, 1]
         return start[run] + (k - (upto - self.stts[:, 0])[run]) * self.stts[run, 1]
 
-    def keyframes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(offset, length, time) of the sync samples; without a table of them every sample is one."""
-        k = np.arange(self.samples) if self.sync is None else self.sync[(self.sync >= 0) & (self.sync < self.samples)]
-        return *self.place(k), self.times(k)
+    def keyframes(self) -> np.ndarray:
+        """The sync samples as rows (offset, length, time, count, step, ticks): runs of `count` samples of one length, whose
+        offsets and times go up by `step` and `ticks`. Without a table of them every sample is one, and a track of constant
+        samples is a run for each chunk that does not follow the one before."""
+        sync = None if self.sync is None else self.sync[(self.sync >= 0) & (self.sync < self.samples)]
+        total = self.samples if sync is None else len(sync)
+        out = [np.zeros((0, 6), np.int64)]
+        for lot in range(0, total, LOT):
+            k = np.arange(lot, min(lot + LOT, total)) if sync is None else sync[lot : lot + LOT]
+            out.append(_runs(*self.place(k), self.times(k)))
+        r = np.concatenate(out)
+        if len(r) > 1:  # runs that were cut between lots
+            a, z = r[:-1], r[1:]
+            on = (a[:, 1] == z[:, 1]) & (a[:, 4:] == z[:, 4:]).all(1) & (a[:, 0] + a[:, 3] * a[:, 4] == z[:, 0]) & (a[:, 2] + a[:, 3] * a[:, 5] == z[:, 2])
+            cut = np.flatnonzero(np.append(True, ~on))
+            count = np.add.reduceat(r[:, 3], cut)
+            r = r[cut]
+            r[:, 3] = count
+        return r
 
     def check(self, length: int) -> None:
         """Whether the tables fit each other and a file of that length."""
@@ -182,6 +207,24 @@ class Track:
         self.chunk_firsts(), self.times(np.zeros(0, np.int64))
 
 
+def _runs(offset: np.ndarray, length: np.ndarray, time: np.ndarray) -> np.ndarray:
+    """Rows (offset, length, time, count, step, ticks) of samples in their order."""
+    n = len(offset)
+    step, ticks = np.diff(offset), np.diff(time)
+    other = np.append(True, length[1:] != length[:-1])  # starts a run
+    turn = np.zeros(n, bool)
+    turn[2:] = (step[1:] != step[:-1]) | (ticks[1:] != ticks[:-1])
+    # the first step of a run is free: of turns side by side every other one starts a run
+    side = other | turn & ~np.append(False, (other | turn)[:-1])
+    at = np.arange(n)
+    nth = at - np.maximum.accumulate(np.where(side, at, 0))
+    cut = np.flatnonzero(other | turn & (nth % 2 == 0))
+    count = np.diff(np.append(cut, n))
+    of = np.where(count > 1, cut, 0)[: len(cut)]
+    by = (lambda d: np.where(count > 1, np.append(d, 0)[of], 0))
+    return np.stack([offset[cut], length[cut], time[cut], count, by(step), by(ticks)], 1)
+
+
 def read_tracks(content: bytes) -> tuple[list[Track], str | None, str | None]:
     """(tracks, brand, error) of a file."""
     buf, tracks, brand = memoryview(content), [], None
@@ -203,28 +246,34 @@ def read_tracks(content: bytes) -> tuple[list[Track], str | None, str | None]:
 
 
 def describe_media(files: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """(key, brand, tracks, error) for each row of `files`; tracks as in TRACKS, with every keyframe's byte range."""
+    """(key, brand, tracks, error) for each row of `files`; tracks as in TRACKS, with every keyframe's byte range, in runs."""
     kind = dict(files.dtypes)[key]
-    schema = f"`{key}` {kind}, brand string, tracks {TRACKS}, error string"
+    schema = f"key {kind}, brand string, tracks {TRACKS}, error string"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    track = arrow.field("tracks").type.value_type
+    frame = track.field("keyframes").type.value_type
 
     def rows(batches):
-        for block in blocks(batches, content):
-            out = []
-            for k, c in zip(block.column(key).to_pylist(), block.column(content), strict=True):
-                if not c.is_valid:
-                    out.append((k, None, None, None))
-                    continue
-                tracks, brand, error = read_tracks(c.as_py())
-                described = []
+        for block in blocks(batches, "content"):
+            brands, errors, plain = [], [], []
+            frames, known, many = [np.zeros((0, 6), np.int64)], [], []
+            for c in block.column("content"):
+                tracks, brand, error = read_tracks(c.as_py()) if c.is_valid else ([], None, None)
+                brands.append(brand), errors.append(error), many.append(len(tracks) if c.is_valid else None)
                 for t in tracks:
                     # of a damaged file only the tables' plain numbers
-                    frames = [] if error else [dict(offset=int(o), length=int(n), time=int(x)) for o, n, x in zip(*t.keyframes(), strict=True)]
-                    described.append(dict(track_id=t.id, handler=t.handler, codec=t.codec, timescale=t.timescale, duration=t.duration, samples=t.samples, bytes=None if t.bytes >> 63 else t.bytes, keyframes=frames))
-                out.append((k, brand, described, error))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                    frames.append(frames[0] if error else t.keyframes())
+                    known.append(len(frames[-1]))
+                    plain.append((t.id, t.handler, t.codec, t.timescale, t.duration, t.samples, None if t.bytes >> 63 else t.bytes))
+            runs = pa.StructArray.from_arrays([pa.array(c) for c in np.concatenate(frames).T], fields=list(frame))
+            fields = [pa.array([p[i] for p in plain], track.field(i).type) for i in range(7)]
+            fields.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(known)).astype(np.int32)), runs, type=track.field("keyframes").type))
+            at = np.append(0, np.cumsum([m or 0 for m in many])).astype(np.int32)
+            at = pa.array(at, mask=np.append([m is None for m in many], False))
+            tracks = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(fields, fields=list(track)), type=arrow.field("tracks").type)
+            yield pa.RecordBatch.from_arrays([block.column("key").combine_chunks().cast(arrow.field(0).type), pa.array(brands, pa.string()), tracks, pa.array(errors, pa.string())], schema=arrow)
 
-    return files.select(key, content).mapInArrow(rows, schema)
+    return files.select(F.col(quoted(key)).alias("key"), F.col(quoted(content)).alias("content")).mapInArrow(rows, schema).withColumnRenamed("key", key)
 
 
 # --- writing ------------------------------------------------------------------------------------------------------
@@ -314,7 +363,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def digest(files: DataFrame) -> DataFrame:
     """Reads stored files back: hashes of payload and file, and a summary of the track's tables."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframe_offsets array<long>"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset:long,length:long,time:long,count:long,step:long,ticks:long>>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def rows(batches):
         for block in blocks(batches, "content"):
@@ -322,13 +372,14 @@ def digest(files: DataFrame) -> DataFrame:
             for c in block.column("content"):
                 c = c.as_py()
                 payload, t = read_payload(c)
-                at, size, when = t.keyframes()
+                runs = t.keyframes()
+                (at, size, *_), (to, last, when, n, step, ticks) = runs[0].tolist(), runs[-1].tolist()
                 seconds = t.duration / t.timescale
-                feature = f"{t.codec.strip()}/{t.timescale} {t.duration} ticks, {t.samples} samples, {len(at)} keyframes, first {at[0]}+{size[0]}, last {at[-1]}+{size[-1]} at {when[-1]}"
-                for col, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(c), hashlib.sha256(c).hexdigest(), feature, t.codec, seconds, at.tolist()), strict=True):
+                feature = f"{t.codec.strip()}/{t.timescale} {t.duration} ticks, {t.samples} samples, {runs[:, 3].sum()} keyframes, first {at}+{size}, last {to + (n - 1) * step}+{last} at {when + (n - 1) * ticks}"
+                for col, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(c), hashlib.sha256(c).hexdigest(), feature, t.codec, seconds, runs.tolist()), strict=True):
                     col.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("n_bytes").combine_chunks(), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
+            found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in out[-1]])).astype(np.int32)), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in np.array([x for r in out[-1] for x in r], np.int64).reshape(-1, 6).T], fields=list(arrow.field("keyframes").type.value_type)))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").combine_chunks(), block.column("n_bytes").combine_chunks(), *(pa.array(c, f.type) for c, f in zip(out[:-1], list(arrow)[2:], strict=False)), found.cast(arrow.field("keyframes").type)], schema=arrow)
 
     return files.mapInArrow(rows, schema)
 
