@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, materialise, shuffle_partitions, table, text_bytes
+from .common import Words, blocks, fields_of, materialise, shuffle_partitions, table, text_bytes, whole_rows
 
 HALF = 16
 RANK, MORE = 96, 16
@@ -363,10 +363,10 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
     blind = [i for i in range(len(items.words)) if len(items.words[i]) and not (size[of == i] > 0).any()]
     q = q / np.maximum(size, 1e-9)[:, None]
     plain = np.append(weight, np.float32(0))
-    share = np.zeros((len(windows), len(plain)), np.float16)  # weight of each term in a window, as a part of the whole
-    for row, w in zip(share, windows, strict=True):
-        w = np.unique(w)
-        row[w] = plain[w] / max(float(plain[w].sum()), 1e-9)
+    own = [np.unique(w) for w in windows]
+    # weight of each term in a window, as a part of the whole: sorted keys of windows and terms
+    cells = np.concatenate([i * len(plain) + w.astype(np.int64) for i, w in enumerate(own)])
+    share = cells, np.concatenate([plain[w] / max(float(plain[w].sum()), 1e-9) for w in own]).astype(np.float32)
     known = docs.sparkSession.sparkContext.broadcast((items.words, of, q, vectors, weight, blind, share, items.runs(limits.lcs)))  # of one slice
 
     def rows(batches):
@@ -381,6 +381,13 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
             x[pair] += half[pair + 1]
             norm = np.sqrt((x * x).sum(1))
             live = np.flatnonzero(norm > 1e-6)
+
+            def shares(window: np.ndarray, terms: np.ndarray) -> np.ndarray:
+                cells, part = share
+                key = window[:, None].astype(np.int64) * (len(weight) + 1) + terms
+                at = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
+                return np.where((cells[at] == key) & (terms >= 0), part[at], 0).sum(1, dtype=np.float32)
+
             best: dict[tuple[int, int], tuple] = {}
 
             def check(h: int, i: int, c: float):
@@ -391,7 +398,7 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
                 if hit and part > best.get((d, i), (-1.0,))[0]:
                     best[d, i] = (part, max(c, best.get((d, i), (0, 0.0))[1]), answered, at)
 
-            step = 4096
+            step = max(64, min(4096, (1 << 23) // max(1, len(q))))  # passages and windows compared at once
             for lo in range(0, len(live), step):
                 h = live[lo : lo + step]
                 c = (x[h] / norm[h, None]) @ q.T
@@ -401,7 +408,7 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
                     near = np.where(pos < first[p.doc[h] + 1][:, None], seq[np.minimum(pos, len(seq) - 1)], -1)
                     near = np.sort(near, axis=1)
                     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1  # each term once
-                    part = np.concatenate([share[b[i : i + 50_000, None], near[a[i : i + 50_000]]].sum(1, dtype=np.float32) for i in range(0, len(a), 50_000)])
+                    part = np.concatenate([shares(b[i : i + 50_000], near[a[i : i + 50_000]]) for i in range(0, len(a), 50_000)])
                     a, b = a[part >= limits.overlap], b[part >= limits.overlap]
                 if len(a):
                     # each candidate item once for a passage
@@ -426,16 +433,17 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """(doc_id, tag, item_id, cosine, lcs, answer_found, at) of each document and benchmark item that it contains."""
     spark = docs.sparkSession
-    schema = "doc_id long, tag long, item_id long, cosine double, lcs double, answer_found boolean, at long"
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
+    kind = dict(benchmark.dtypes)["item_id"]
+    schema = f"doc_id long, tag long, item_id {kind}, cosine double, lcs double, answer_found boolean, at long"
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = -(-total // SLICE_BYTES)
     out = spark.createDataFrame([], schema)
     for s in range(slices):
-        part = Items.of(sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == s).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        part = Items.of(sorted(((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == s).collect()), key=lambda r: (r[0] is None, 0 if r[0] is None else r[0], r[1])))
         if not len(part.terms):
             continue
-        ids = spark.createDataFrame(list(enumerate(part.ids)), "item int, item_id long")
+        ids = spark.createDataFrame(list(enumerate(part.ids)), f"item int, item_id {kind}")
         out = out.unionByName(find(docs, part, limits).join(ids, "item").select("doc_id", "tag", "item_id", "cosine", "lcs", "answer_found", "at"))
     return out
 
@@ -447,6 +455,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without documents that contain a benchmark item; all columns stay, whatever their names."""
     bad = materialise(contaminated(docs, benchmark).select("doc_id", "tag").distinct(), "contaminated")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(whole_rows(docs).alias("row"))
     kept = rows.join(bad, rows["row.doc_id"].eqNullSafe(bad.doc_id) & (F.xxhash64("row.text") == bad.tag), "left_anti")
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return kept.select(*fields_of(docs.columns))
