@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import materialise, mix64, shuffle_partitions, table
+from .common import fields_of, materialise, mix64, shuffle_partitions, table, whole_rows
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -192,7 +192,7 @@ def mixed_documents(docs: DataFrame, seed: int = 20240) -> DataFrame:
     """The mix as documents with the columns of `docs`: for each pass a document's words in the blocks that the mix
     takes at least so often; a whole text is kept as it is. n_chars, if there, is that of the new text."""
     known, pieces = mix(docs, seed)
-    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("id", F.col("row.doc_id")).withColumn("key", F.xxhash64("row.text", "row.source"))
+    tagged = docs.select(whole_rows(docs).alias("row")).withColumn("id", F.col("row.doc_id")).withColumn("key", F.xxhash64("row.text", "row.source"))
     if known.groupBy("doc_id", "tag0").count().where("count > 1").isEmpty():
         tagged = tagged.withColumn("tag", F.xxhash64("key", F.lit(1)))
     else:  # only equal rows need numbers, and only these cost a shuffle of the texts
@@ -206,7 +206,7 @@ def mixed_documents(docs: DataFrame, seed: int = 20240) -> DataFrame:
     out = joined.withColumn("row", F.col("row").withField("text", F.coalesce(part, "row.text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return out.select(*fields_of(docs.columns))
 
 
 def _cut(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:

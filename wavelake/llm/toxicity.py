@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Words, blocks, held_out, mix64, table, text_bytes
+from .common import Words, blocks, fields_of, held_out, mix64, table, text_bytes, whole_rows
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED = 12, 8
@@ -462,13 +463,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the documents that are predicted toxic; all columns stay."""
+    """`docs` without the documents that are predicted toxic; all columns stay, whatever
+    their names."""
     scorer = train(docs, labels.where(~held_out("doc_id", 4)))
     known = docs.sparkSession.sparkContext.broadcast(scorer)
-    names, kinds = docs.columns, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes)
+    rows_ = docs.select(whole_rows(docs).alias("row"), F.col("text"))
 
     def rows(batches):
         for block in blocks(batches, limit=BLOCK):
-            yield from block.filter(pa.array(known.value.scores(*text_bytes(block)) < THRESHOLD)).combine_chunks().to_batches()
+            yield from block.filter(pa.array(known.value.scores(*text_bytes(block)) < THRESHOLD)).select(["row"]).combine_chunks().to_batches()
 
-    return docs.select(*names).mapInArrow(rows, kinds)
+    kept = rows_.mapInArrow(rows, StructType([rows_.schema["row"]]))
+    return kept.select(*fields_of(docs.columns))
