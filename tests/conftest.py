@@ -43,3 +43,10 @@ def rows_of(pdf) -> list[str]:
     pdf = pdf[sorted(pdf.columns)]
     plain = lambda v: v.item() if hasattr(v, "item") and not hasattr(v, "__len__") else v
     return sorted(str(tuple(plain(v) for v in r)) for r in pdf.itertuples(index=False))
+
+
+def plain_rows(names: list[str], rows) -> list[str]:
+    """Collected rows as sorted text, columns by name: nulls and whole numbers stay what they are."""
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    plain = lambda v: bytes(v) if isinstance(v, bytearray) else v
+    return sorted(repr(tuple(plain(r[i]) for i in order)) for r in rows)

@@ -51,3 +51,36 @@ def test_pixmaps_of_every_kind(spark):
     got = [r.s for r in spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id long, c binary").orderBy("id").select(rasters.read_pixmap(F.col("c")).alias("s")).collect()]
     assert [(s.c, s.y, s.x, s.v) for s in got[0]] == [(c, y, 0, 3 * y + c + 1) for y in range(2) for c in range(3)]
     assert [s.v for s in got[1]] == [1, 2, 3, 4, 5, 6] and [s.v for s in got[2]] == [7, 60000] and [s.v for s in got[3]] == [8, 7] and got[4] is None
+
+
+def test_ten_thousand_tile_parts_in_a_large_file(spark):
+    """Walks cost their elements: 10,000 parts in 100 MB, as an array and by a lateral join."""
+    import time
+
+    from wavelake.sources import walks
+
+    data = bytes(10_000)
+    part = lambda i: b"\xff\x90\x00\x0a" + struct.pack(">HIBB", i % 5000, 14 + len(data), i // 5000, 2) + b"\xff\x93" + data
+    df = _one(spark, b"\xff\x4f\xff\x64\x00\x04ab" + b"".join(map(part, range(10_000))))
+    began = time.time()
+    rows = df.lateralJoin(walks.TilePartRows(F.col("c").outer())).select("id", "off", "tileno", "part", "len").collect()
+    assert [(r.off, r.tileno, r.part, r.len) for r in rows] == [(8 + i * 10_014, i % 5000, i // 5000, 10_014) for i in range(10_000)]
+    assert df.select(F.size(headers.tile_parts(F.col("c"))).alias("n")).first().n == 10_000
+    assert time.time() - began < 30
+
+
+def test_table_functions_and_arrays_agree(spark):
+    from wavelake.sources import walks
+
+    segments = b"".join(b"\xff\x64" + struct.pack(">H", 4) + b"ab" for _ in range(5))
+    df = spark.createDataFrame([(1, b"\xff\x4f" + segments + b"\xff\x90"), (2, None), (3, b"")], "id long, c binary")
+    assert df.lateralJoin(walks.SegmentRows(F.col("c").outer())).groupBy("id").count().collect() == [(1, 5)]
+    boxes = struct.pack(">I4s", 11, b"abcd") + b"xyz" + struct.pack(">I4sQ", 1, b"wide", 1 << 63)
+    got = _one(spark, boxes).lateralJoin(walks.BoxRows(F.col("c").outer(), F.lit(0), F.octet_length("c").outer())).select("off", "len", "type").collect()
+    assert [tuple(r) for r in got] == [(0, 11, "abcd")]
+
+
+def test_tile_numbers_of_two_bytes(spark):
+    p = lambda n: F.array(*(F.struct(F.lit(i).cast("long").alias("tileno"), F.lit(20).cast("long").alias("len")) for i in n))
+    r = spark.range(1).select(F.hex(markers.tlm(p([1, 255]))).alias("a"), F.hex(markers.tlm(p([1, 256]))).alias("b")).first()
+    assert r.a == "FF55000E00500100000014FF00000014" and r.b == "FF55001000600001000000140100" + "00000014"

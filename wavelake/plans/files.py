@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as e
 from ..operators import geometry, settings
-from ..sources import headers, markers, rasters
+from ..sources import headers, markers, rasters, walks
 from .fixtures import GEOM_SQL, RASTER_SQL, pictures, planes, table
 from .fixtures import geometry as geom
 from .registry import query
@@ -196,15 +196,15 @@ def cdef_fields(spark, sf_dir):
 
 # --- tile-parts ---------------------------------------------------------------------------------------------------
 
-_PARTS_SQL = f"""{GEOM_SQL}, t AS (SELECT image_id, tileno, unnest(range(1 + image_id % 3)) AS part, 1 + image_id % 3 AS parts FROM tiles WHERE tileno < 6),
+_PARTS_SQL = f"""{GEOM_SQL}, t AS (SELECT image_id, tileno, unnest(range(1 + image_id % 3)) AS part, 1 + image_id % 3 AS parts FROM tiles),
 p AS (SELECT *, 1 + (image_id + tileno + part) % 5 AS n, CASE WHEN image_id % 5 = 0 THEN parts - 1 ELSE parts END AS told FROM t)"""
 
 
 def part_streams(spark, sf_dir) -> DataFrame:
-    """(image_id, content): codestreams of up to six tiles in one to three parts each; in a fifth of the images the number
+    """(image_id, content): codestreams of all tiles in one to three parts each; in a fifth of the images the number
     of parts is told one too small."""
-    t = geometry.tiles(geom(spark, sf_dir)).where("tileno < 6").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _k() % 3)))
-    data = F.unhex(F.repeat(F.lpad(F.hex(F.col("tileno") * 16 + F.col("part")), 2, "0"), (1 + (_k() + F.col("tileno") + F.col("part")) % 5).cast("int")))
+    t = geometry.tiles(geom(spark, sf_dir)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _k() % 3)))
+    data = F.unhex(F.repeat(F.lpad(F.hex((F.col("tileno") * 16 + F.col("part")) % 256), 2, "0"), (1 + (_k() + F.col("tileno") + F.col("part")) % 5).cast("int")))
     t = t.withColumn("piece", markers.tile_part(F.col("tileno"), F.col("part"), 1 + _k() % 3 - F.when(_k() % 5 == 0, 1).otherwise(0), data))
     # all first parts come before all second ones
     joined = t.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("part", "tileno", "piece"))).alias("p"))
@@ -214,26 +214,28 @@ def part_streams(spark, sf_dir) -> DataFrame:
     return e.once(out, "content", F.concat(F.expr("substring(h, 1, octet_length(h) - 2)"), body, headers.raw(markers.EOC))).select("image_id", "content")
 
 
+def _parts(files: DataFrame) -> DataFrame:
+    """`files` without their content, and a row for each tile-part."""
+    return files.lateralJoin(walks.TilePartRows(F.col("content").outer())).drop("content")
+
+
 @query(f"WITH {_PARTS_SQL} SELECT image_id, tileno, part, told AS parts, n + 14 AS len FROM p")
 def tile_part_scan(spark, sf_dir):
-    s = part_streams(spark, sf_dir).select("image_id", F.explode(headers.tile_parts(F.col("content"))).alias("p"))
-    return s.select("image_id", "p.tileno", "p.part", "p.parts", "p.len")
+    return _parts(part_streams(spark, sf_dir)).select("image_id", "tileno", "part", "parts", "len")
 
 
-@query(f"WITH {_PARTS_SQL} SELECT image_id, tileno, string_agg(repeat(printf('%02X', tileno * 16 + part), n), '' ORDER BY part) AS data, count(*) AS parts FROM p GROUP BY ALL")
+@query(f"WITH {_PARTS_SQL} SELECT image_id, tileno, string_agg(repeat(printf('%02X', (tileno * 16 + part) % 256), n), '' ORDER BY part) AS data, count(*) AS parts FROM p GROUP BY ALL")
 def tile_part_data(spark, sf_dir):
     """The bytes of each tile from all its parts in order."""
-    s = part_streams(spark, sf_dir).select("image_id", "content", F.explode(headers.tile_parts(F.col("content"))).alias("p"))
-    data = F.substring("content", (F.col("p.off") + 15).cast("int"), (F.col("p.len") - 14).cast("int"))
-    rows = s.select("image_id", "p.tileno", "p.part", F.hex(data).alias("data")).groupBy("image_id", "tileno").agg(F.sort_array(F.collect_list(F.struct("part", "data"))).alias("d"))
+    s = part_streams(spark, sf_dir).lateralJoin(walks.TilePartData(F.col("content").outer()))
+    rows = s.select("image_id", "tileno", "part", F.hex("data").alias("data")).groupBy("image_id", "tileno").agg(F.sort_array(F.collect_list(F.struct("part", "data"))).alias("d"))
     return rows.select("image_id", "tileno", F.array_join(F.transform("d", lambda d: d["data"]), "").alias("data"), F.size("d").cast("long").alias("parts"))
 
 
 @query(f"WITH {_PARTS_SQL} SELECT image_id, tileno, max(told) AS told, CASE WHEN max(part) = max(told) THEN max(told) + 1 ELSE max(told) END AS parts FROM p GROUP BY ALL")
 def tile_part_repair(spark, sf_dir):
     """Numbers of tile-parts, one up where a part's own number reaches the number that is told."""
-    s = part_streams(spark, sf_dir).select("image_id", F.explode(headers.tile_parts(F.col("content"))).alias("p"))
-    t = s.groupBy("image_id", "p.tileno").agg(F.max("p.parts").alias("told"), F.max("p.part").alias("top"))
+    t = _parts(part_streams(spark, sf_dir)).groupBy("image_id", "tileno").agg(F.max("parts").alias("told"), F.max("part").alias("top"))
     return t.select("image_id", "tileno", "told", F.when(F.col("top") == F.col("told"), F.col("told") + 1).otherwise(F.col("told")).alias("parts"))
 
 
@@ -243,8 +245,8 @@ SELECT image_id, tileno, part, ends > size AS corrupted FROM c WHERE ends - n -
 def truncated_parts(spark, sf_dir):
     """Codestreams cut short: parts whose bytes are not all there, as a relaxed reader marks them."""
     s = e.once(part_streams(spark, sf_dir), "cut", F.expr("substring(content, 1, octet_length(content) - int((image_id % 9) * 4))")).select("image_id", F.col("cut").alias("content"))
-    p = s.select("image_id", F.octet_length("content").alias("size"), F.explode(headers.tile_parts(F.col("content"))).alias("p")).where("p.parts is not null and p.len is not null")
-    return p.select("image_id", "p.tileno", "p.part", (F.col("p.off") + F.col("p.len") > F.col("size")).alias("corrupted"))
+    p = _parts(s.withColumn("size", F.octet_length("content"))).where("parts is not null and len is not null")
+    return p.select("image_id", "tileno", "part", (F.col("off") + F.col("len") > F.col("size")).alias("corrupted"))
 
 
 @query(f"WITH {_PARTS_SQL} SELECT image_id, 'FF55' || printf('%04X', 4 + 5 * count(*)) || '0050' || string_agg(printf('%02X', tileno) || printf('%08X', n + 14), '' ORDER BY part, tileno) AS tlm FROM p GROUP BY 1")

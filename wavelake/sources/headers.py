@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import long, shift_right
+from .walks import SIGNATURE, SOC, SOT, boxes, segments, tile_parts  # noqa: F401
 
-#: Signature of boxed files, markers and box types (fixed values of the formats).
-SIGNATURE = "0000000C6A5020200D0A870A"
-SOC, SIZ, COD, QCD, SOT = "FF4F", "FF51", "FF52", "FF5C", "FF90"
+#: Markers (fixed values of the format).
+SIZ, COD, QCD = "FF51", "FF52", "FF5C"
 
 
 # --- bytes --------------------------------------------------------------------------------------------------------
@@ -76,68 +76,6 @@ def sniff(content: Column) -> Column:
     return F.when((h == SIGNATURE) | (h.substr(9, 8) == "6A502020"), "jp2").when(h.startswith(SOC), "j2k").otherwise("unknown")
 
 
-FEW = 64  # elements that a walk looks for before it counts on as many as the content can hold
-
-
-def _walk(content: Column, start: Column, step, live) -> Column:
-    """A fold of `step` over a state until it is no longer live. Each element has four bytes at least, so the content's
-    length bounds the steps; most contents have few, and only others pay for the long way."""
-    few = F.aggregate(F.sequence(F.lit(1), F.lit(FEW)), start, step)
-    state = lambda s: F.when(live(s), F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(content))), s, step)).otherwise(s)
-    return F.transform(F.array(few), state)[0]["found"]
-
-
-def segments(content: Column) -> Column:
-    """array<struct<off, code, len>> of the marker segments of a main header, up to the first SOT: an ordered fold, as
-    each segment's length tells where the next one is."""
-    start = F.struct(F.lit(2).cast("long").alias("at"), F.array().cast("array<struct<off:bigint,code:string,len:bigint>>").alias("found"))
-    code = lambda s: F.hex(F.substring(content, (s["at"] + 1).cast("int"), F.lit(2)))
-    size = lambda s: number(content, s["at"] + 2, 2)
-    live = lambda s: (F.length(code(s)) == 4) & code(s).startswith("FF") & (code(s) != SOT) & size(s).isNotNull() & (size(s) >= 2)
-
-    def step(s: Column, _: Column) -> Column:
-        return F.when(live(s), F.struct((s["at"] + 2 + size(s)).alias("at"), F.concat(s["found"], F.array(F.struct(s["at"].alias("off"), code(s).alias("code"), size(s).alias("len")))).alias("found"))).otherwise(s)
-
-    return _walk(content, start, step, live)
-
-
-def boxes(content: Column, at: Column, end: Column) -> Column:
-    """array<struct<off, len, type>> of the boxes between two offsets; length 0 reaches to the end, 1 has 64 bits. A box
-    that does not fit ends the walk."""
-    start = F.struct(long(at).alias("at"), F.array().cast("array<struct<off:bigint,len:bigint,type:string>>").alias("found"))
-
-    def size(s: Column) -> Column:
-        short = number(content, s["at"], 4)
-        return F.when(short == 0, long(end) - s["at"]).when(short == 1, number(content, s["at"] + 8, 8)).otherwise(short)
-
-    kind = lambda s: F.decode(F.substring(content, (s["at"] + 5).cast("int"), F.lit(4)), "ISO-8859-1")
-    live = lambda s: (s["at"] + 8 <= long(end)) & (size(s) >= 8) & (s["at"] + size(s) <= long(end))
-
-    def step(s: Column, _: Column) -> Column:
-        return F.when(live(s), F.struct((s["at"] + size(s)).alias("at"), F.concat(s["found"], F.array(F.struct(s["at"].alias("off"), size(s).alias("len"), kind(s).alias("type")))).alias("found"))).otherwise(s)
-
-    return _walk(content, start, step, live)
-
-
-def tile_parts(content: Column) -> Column:
-    """array<struct<off, tileno, part, parts, len>> of the tile-parts of a codestream, from the first SOT to its end. A
-    part of length 0 reaches to the end of the codestream."""
-    head = segments(content)
-    first = F.when(F.size(head) > 0, F.element_at(head, -1)["off"] + F.element_at(head, -1)["len"] + 2).otherwise(F.lit(2)).cast("long")
-    start = F.struct(first.alias("at"), F.array().cast("array<struct<off:bigint,tileno:bigint,part:bigint,parts:bigint,len:bigint>>").alias("found"))
-    live = lambda s: (F.hex(F.substring(content, (s["at"] + 1).cast("int"), F.lit(2))) == SOT) & (size(s) >= 14)
-
-    def size(s: Column) -> Column:
-        told = number(content, s["at"] + 6, 4)
-        return F.when(told == 0, F.octet_length(content) - s["at"]).otherwise(told)
-
-    def step(s: Column, _: Column) -> Column:
-        part = F.struct(s["at"].alias("off"), number(content, s["at"] + 4, 2).alias("tileno"), number(content, s["at"] + 10, 1).alias("part"), number(content, s["at"] + 11, 1).alias("parts"), long(size(s)).alias("len"))
-        return F.when(live(s), F.struct((s["at"] + size(s)).cast("long").alias("at"), F.concat(s["found"], F.array(part)).alias("found"))).otherwise(s)
-
-    return _walk(content, start, step, live)
-
-
 def siz_fields(content: Column, seg: Column) -> list[Column]:
     """Geometry fields of a SIZ segment."""
     at = seg["off"] + 6

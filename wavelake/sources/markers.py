@@ -106,9 +106,11 @@ def style_bytes(numres: Column, cblkw: Column, cblkh: Column, reversible: Column
 
 
 def tlm(parts: Column) -> Column:
-    """Lengths of tile-parts array<struct<tileno, len>>: numbers of one byte, lengths of four."""
-    rows = F.array_join(F.transform(parts, lambda p: F.concat(F.lpad(F.hex(p["tileno"]), 2, "0"), F.lpad(F.hex(p["len"]), 8, "0"))), "")
-    return marker(TLM, raw("00"), raw("50"), F.unhex(rows))
+    """Lengths of tile-parts array<struct<tileno, len>>: numbers of one byte, or of two where a tile has a higher one,
+    lengths of four."""
+    wide = F.exists(parts, lambda p: p["tileno"] > 255)
+    rows = F.array_join(F.transform(parts, lambda p: F.concat(F.lpad(F.hex(p["tileno"]), F.when(wide, 4).otherwise(2), F.lit("0")), F.lpad(F.hex(p["len"]), 8, "0"))), "")
+    return marker(TLM, raw("00"), F.when(wide, raw("60")).otherwise(raw("50")), F.unhex(rows))  # how wide (fixed values)
 
 
 def varint(v: Column) -> Column:
