@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources import headers
+from ..sources.raster_source import scratch
 
 
 def image_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,12 +34,7 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
 def run_once(spark: SparkSession, stream: DataFrame, keys: list[str]) -> DataFrame:
     """Everything that is there, through the stream: each batch's updates are written, the last of each key counts. A
     stream without any input gives no rows. State and batches lie in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        base = tempfile.mkdtemp(prefix="stream-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     done: list[str] = []
 
     def write(df: DataFrame, k: int) -> None:
