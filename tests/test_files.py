@@ -84,3 +84,24 @@ def test_tile_numbers_of_two_bytes(spark):
     p = lambda n: F.array(*(F.struct(F.lit(i).cast("long").alias("tileno"), F.lit(20).cast("long").alias("len")) for i in n))
     r = spark.range(1).select(F.hex(markers.tlm(p([1, 255]))).alias("a"), F.hex(markers.tlm(p([1, 256]))).alias("b")).first()
     assert r.a == "FF55000E00500100000014FF00000014" and r.b == "FF55001000600001000000140100" + "00000014"
+
+
+def test_collections_of_any_width(spark):
+    from wavelake.sources import transforms
+
+    rows = [([0, 300], [300, 0], 7, 9, True), ([5], [6], 1, 0, False)]
+    df = spark.createDataFrame([(1, [dict(zip(("inputs", "outputs", "matrix", "offsets", "reversible"), r, strict=True)) for r in rows])], "id long, r array<struct<inputs:array<bigint>,outputs:array<bigint>,matrix:bigint,offsets:bigint,reversible:boolean>>")
+    made = df.select(F.concat(headers.raw("FF4F"), transforms.collections(F.lit(3), F.col("r")), headers.raw("FF90")).alias("c")).first().c
+    read = lambda c: _one(spark, bytes(c)).select(transforms.collections_of(F.col("c"), F.get(headers.segments(F.col("c")), F.lit(0))).alias("g")).first().g
+    assert [tuple(g) for g in read(made)] == rows
+    assert read(made[:20]) is None and read(b"\xff\x4f\xff\x75\x00\x09\0\0\1\0\1\0\0\xff\x90") is None
+
+
+def test_elements_at_their_limits(spark):
+    from wavelake.sources import transforms
+
+    values = {0: [-32768.0, 32767.0], 1: [-(2.0**31), 2.0**31 - 1], 2: [1.401298464324817e-45, -3.4028234663852886e38], 3: [5e-324, 1.7976931348623157e308, float("-inf")]}
+    for element, v in values.items():
+        df = spark.createDataFrame([(v,)], "v array<double>").select(F.concat(headers.raw("FF4F"), transforms.record(F.lit(2), 1, F.lit(element), F.col("v")), headers.raw("FF90")).alias("c"))
+        got = df.select(transforms.record_of(F.col("c"), F.get(headers.segments(F.col("c")), F.lit(0))).alias("m")).first().m
+        assert (got["index"], got["kind"], got["element"], got["values"]) == (2, 1, element, v)

@@ -48,6 +48,23 @@ def matrix_transform(values: list[Column], matrix: list[list[float]]) -> list[Co
     return out
 
 
+def matrix_product(values: Column, matrix: Column, fixed: bool) -> Column:
+    """array of the product of a square matrix array<double>, row by row, with array values, both of each row of data.
+
+    fixed: in 13-bit fixed point over whole values, each coefficient cut and each product rounded on its own; else in
+    32-bit floating point. Sums run in the order of the components."""
+    n = F.size(values)
+    cell = lambda j, k: F.get(matrix, j * n + k)
+    if fixed:
+        each = lambda m, v: fix_mul((m.cast("float") * F.lit(8192).cast("float")).cast("long"), v)
+        zero, plus = F.lit(0).cast("long"), lambda a, x: a + x
+    else:
+        each = lambda m, v: m.cast("float") * v.cast("float")
+        zero, plus = F.lit(0).cast("float"), lambda a, x: (a + x).cast("float")
+    row = lambda j: F.aggregate(F.transform(values, lambda v, k: each(cell(j, k), v)), zero, plus)
+    return F.transform(F.sequence(F.lit(0), n - 1), row)
+
+
 # --- samples ------------------------------------------------------------------------------------------------------
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as e
-from ..operators import geometry, settings
-from ..sources import headers, markers, rasters, walks
+from ..operators import color, geometry, settings
+from ..sources import headers, markers, rasters, transforms, walks
 from .fixtures import GEOM_SQL, RASTER_SQL, pictures, planes, table
 from .fixtures import geometry as geom
 from .registry import query
@@ -372,9 +372,68 @@ SELECT image_id, CASE kind WHEN 1 THEN 1 + image_id % 9 ELSE 20 + image_id % 9 E
 def transform_arrays(spark, sf_dir):
     """Matrices and offsets of the headers; weighted: the sum of place times value."""
     h = transform_headers(spark, sf_dir).select("image_id", "content", F.explode(markers.of_code(F.col("found"), markers.MCT)).alias("s"))
-    m = markers.mct(F.col("content"), F.col("s"))
-    weighted = F.aggregate(F.transform(m["values"], lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
-    return h.select("image_id", m["index"].alias("index"), m["kind"].alias("kind"), m["element"].alias("element"), weighted.alias("weighted"))
+    h = e.once(h, "m", transforms.record_of(F.col("content"), F.col("s")))
+    weighted = F.aggregate(F.transform("m.values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return h.select("image_id", "m.index", "m.kind", "m.element", weighted.cast("long").alias("weighted"))
+
+
+_ELEMENT = """CASE element WHEN 0 THEN ((image_id * (i + 1)) % 60000 - 30000)::DOUBLE WHEN 1 THEN ((image_id * (i + 1) * 7919) % 4000000 - 2000000)::DOUBLE
+  WHEN 2 THEN CAST((((image_id * (i + 1)) % 4001 - 2000) / 7.0) AS FLOAT)::DOUBLE ELSE ((image_id * (i + 1)) % 4001 - 2000) / 7.0 END"""
+
+
+@query(f"""WITH {GEOM_SQL}, a AS (SELECT image_id, numcomps AS n, unnest(range(4)) AS element FROM geom), v AS (SELECT *, unnest(range(n * n)) AS i FROM a)
+SELECT image_id, 1 + element AS index, 1::BIGINT AS kind, element, i AS nth, {_ELEMENT} AS value FROM v""")
+def transform_elements(spark, sf_dir):
+    """Matrices of all four element types, written as records and read back."""
+    g, n = geom(spark, sf_dir), F.col("numcomps")
+    cell = lambda i, f: f(_k() * (i + 1))
+    seventh = lambda x: (x % 4001 - 2000).cast("double") / 7.0
+    values = (lambda x: (x % 60000 - 30000).cast("double"), lambda x: ((x * 7919) % 4000000 - 2000000).cast("double"), lambda x: seventh(x).cast("float").cast("double"), seventh)
+    cells = lambda f: F.transform(F.sequence(F.lit(0).cast("long"), n * n - 1), lambda i: cell(i, f))
+    content = headers.joined(headers.raw(headers.SOC), *(transforms.record(F.lit(k + 1), transforms.MATRIX, F.lit(k), cells(f)) for k, f in enumerate(values)), headers.raw(headers.SOT))
+    h = e.once(g.select("image_id", content.alias("made")), "content", F.col("made"))
+    h = h.select("image_id", "content", F.explode(headers.segments(F.col("content"))).alias("s"))
+    h = h.select("image_id", transforms.record_of(F.col("content"), F.col("s")).alias("m"))
+    return h.select("image_id", "m.index", "m.kind", "m.element", F.posexplode("m.values").alias("nth", "value")).withColumn("nth", F.col("nth").cast("long"))
+
+
+_MATRIX = "((image_id * ({i} + 1)) % 17 - 8)"  # eighths
+
+
+def _product_sql(fixed: bool) -> str:
+    cell = lambda i, v: f"CAST(floor(({_MATRIX.format(i=i)} * 1024 * {v} + 4096) / 8192.0) AS BIGINT)" if fixed else f"CAST(CAST({_MATRIX.format(i=i)} AS FLOAT) / 8 * {v} AS FLOAT)"
+    two = ", ".join(f"{cell(2 * j, 'c2')} + {cell(2 * j + 1, 'c0')} AS o{n}" for j, n in ((0, 0), (1, 2)))
+    return f"WITH {RASTER_SQL}, o AS (SELECT image_id, y, x, {two}, {cell(4, 'c1')} AS o1 FROM pixels) SELECT image_id, comp, y, x, CASE comp WHEN 0 THEN o0 WHEN 1 THEN o1 ELSE o2 END AS v FROM (SELECT *, unnest(range(3)) AS comp FROM o)"
+
+
+def _products(spark, sf_dir, fixed: bool) -> DataFrame:
+    """Samples through the matrices that their header's collections name: components 2 and 0 give 0 and 2, 1 gives 1."""
+    p = pictures(spark, sf_dir)
+    eighth = lambda i: ((_k() * (i + 1)) % 17 - 8).cast("double") / 8
+    cells = lambda *at: F.array(*(eighth(F.lit(i)) for i in at))
+    row = lambda ins, outs, m: F.struct(F.array(*(F.lit(c).cast("long") for c in ins)).alias("inputs"), F.array(*(F.lit(c).cast("long") for c in outs)).alias("outputs"), F.lit(m).cast("long").alias("matrix"), F.lit(0).cast("long").alias("offsets"), F.lit(True).alias("reversible"))
+    content = headers.joined(headers.raw(headers.SOC), transforms.record(F.lit(5), transforms.MATRIX, F.lit(2), cells(0, 1, 2, 3)), transforms.record(F.lit(6), transforms.MATRIX, F.lit(3), cells(4)), transforms.collections(F.lit(1), F.array(row((2, 0), (0, 2), 5), row((1,), (1,), 6))), headers.raw(headers.SOT))
+    h = e.once(p.select("image_id", content.alias("made")), "content", F.col("made"))
+    h = e.once(h, "found", headers.segments(F.col("content")))
+    records = h.select("image_id", "content", F.explode(markers.of_code(F.col("found"), markers.MCT)).alias("s")).select("image_id", transforms.record_of(F.col("content"), F.col("s")).alias("m")).select("image_id", F.col("m.index").alias("matrix"), "m.values")
+    groups = h.select("image_id", F.explode(transforms.collections_of(F.col("content"), F.get(markers.of_code(F.col("found"), markers.MCC), F.lit(0)))).alias("g")).select("image_id", "g.inputs", "g.outputs", "g.matrix")
+    rows = groups.join(records, ["image_id", "matrix"]).join(p, "image_id")
+    chosen = F.transform("inputs", lambda c: F.get("planes", c.cast("int")))
+    rows = rows.select("image_id", "outputs", "values", chosen.alias("chosen")).withColumn("i", F.explode(F.sequence(F.lit(0), F.size(F.get("chosen", F.lit(0))) - 1)))
+    rows = rows.withColumn("v", F.transform("chosen", lambda c: F.get(c, F.col("i"))))
+    out = color.matrix_product(F.col("v"), F.col("values"), fixed)
+    rows = rows.select("image_id", F.col("i").cast("long").alias("i"), F.explode(F.arrays_zip(F.col("outputs").alias("comp"), out.alias("v"))).alias("o"))
+    return rows.select("image_id", "o.comp", e.div("i", F.lit(8)).alias("y"), (F.col("i") % 8).alias("x"), "o.v")
+
+
+@query(_product_sql(True))
+def transform_product_fixed(spark, sf_dir):
+    return _products(spark, sf_dir, True)
+
+
+@query(_product_sql(False))
+def transform_product_float(spark, sf_dir):
+    return _products(spark, sf_dir, False)
 
 
 @query(f"WITH {GEOM_SQL} SELECT image_id, 3 + image_id % 5 AS index, 1 AS collections, numcomps AS n, image_id % 3 = 0 AS reversible, 20 + image_id % 9 AS offsets, 1 + image_id % 9 AS matrix FROM geom")

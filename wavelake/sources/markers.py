@@ -194,15 +194,6 @@ def cbd_bytes(bits: Column, signed: Column, n: Column) -> Column:
     return marker(CBD, bytes_of(n, 2), F.unhex(each))
 
 
-def mct(content: Column, s: Column) -> dict[str, Column]:
-    at = s["off"] + 4
-    head = number(content, at + 2, 2)
-    size = F.element_at(F.array(*map(F.lit, ELEMENTS)), (shift_right(head, 10) % 4 + 1).cast("int"))
-    n = long((s["len"] - 8) / size)
-    signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
-    return {"index": head % 256, "kind": shift_right(head, 8) % 4, "element": shift_right(head, 10) % 4, "values": _list(content, at + 6, n, 4, lambda p: signed(number(content, p, 4)))}
-
-
 def mcc(content: Column, s: Column) -> dict[str, Column]:
     at = s["off"] + 4
     n = number(content, at + 8, 2)
