@@ -105,3 +105,13 @@ def test_elements_at_their_limits(spark):
         df = spark.createDataFrame([(v,)], "v array<double>").select(F.concat(headers.raw("FF4F"), transforms.record(F.lit(2), 1, F.lit(element), F.col("v")), headers.raw("FF90")).alias("c"))
         got = df.select(transforms.record_of(F.col("c"), F.get(headers.segments(F.col("c")), F.lit(0))).alias("m")).first().m
         assert (got["index"], got["kind"], got["element"], got["values"]) == (2, 1, element, v)
+
+
+def test_rasters_without_samples(spark):
+    files = [b"P5 0 3 255\n", b"P5 2 2 255\nabc", b"P2 2 1 9 1", b"PG ML + 8 0 0\n", b"PG ML + 8 2 2\nabc", b""]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id long, c binary")
+    eight, no = F.lit(8).cast("long"), F.lit(False)
+    got = df.select(rasters.read_pixmap(F.col("c")).alias("a"), rasters.read_pgx(F.col("c")).alias("b"), headers.read_graymap(F.col("c")).alias("g")).collect()
+    assert [(r.a, r.b, r.g) for r in got] == [(None, None, None)] * len(files)
+    r = _one(spark, b"").select(rasters.read_raw_samples(F.col("c"), eight, eight, no, False).alias("a"), headers.read_raw(F.col("c"), 8, 8, False).alias("b")).first()
+    assert r.a is None and r.b is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ceil_div, div, shift_left, shift_right
@@ -61,3 +61,32 @@ def changed(p: DataFrame, changes=CHANGES) -> DataFrame:
     once = Window.partitionBy("image_id", "tileno", "compno", "resno", "precno", "layno").orderBy("pino", "key")
     rows = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1")
     return rows.withColumn("seq", (F.row_number().over(Window.partitionBy("image_id", "tileno").orderBy("pino", "key")) - 1).cast("long"))
+
+
+#: What a letter of a tile-part division means in an order: the columns whose change begins a part.
+DIVISIONS = {"L": "layno", "R": "resno", "C": "compno"}
+
+
+def tile_part_runs(p: DataFrame, order: str, division: str, header: int = 14) -> DataFrame:
+    """(image_id, tileno, part, first, packets, bytes, off) of the tile-parts that packets `p` (seq, length and more), in
+    `order`, are divided into: a new one where a column of the order changes, up to and with the one that `division` names.
+    `header` bytes begin each part; off: where it lies in its tile. A tile's packets are a window, its parts are few."""
+    key = ORDERS[order][: ORDERS[order].index(DIVISIONS[division]) + 1]
+    tile = Window.partitionBy("image_id", "tileno").orderBy("seq")
+    prefix = F.struct(*key)
+    p = p.withColumn("new", F.coalesce((prefix != F.lag(prefix).over(tile)).cast("long"), F.lit(0).cast("long")))
+    p = p.withColumn("part", F.sum("new").over(tile.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = p.groupBy("image_id", "tileno", "part").agg(F.min("seq").alias("first"), F.count("*").alias("packets"), (F.sum("length") + header).alias("bytes"))
+    before = Window.partitionBy("image_id", "tileno").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumn("off", F.coalesce(F.sum("bytes").over(before), F.lit(0).cast("long")))
+
+
+def within_budgets(p: DataFrame, stream: Column, component: Column) -> DataFrame:
+    """`p` (seq, length and more) with total and comp_total, the bytes up to each packet in its tile and in its component
+    there, and fits: whether this packet and all before it keep to both budgets."""
+    tile = Window.partitionBy("image_id", "tileno").orderBy("seq")
+    comp = Window.partitionBy("image_id", "tileno", "compno").orderBy("seq")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    p = p.withColumns({"total": F.sum("length").over(tile.rowsBetween(*upto)), "comp_total": F.sum("length").over(comp.rowsBetween(*upto))})
+    over = ((F.col("total") > stream) | (F.col("comp_total") > component)).cast("int")
+    return p.withColumn("fits", F.max(over).over(tile.rowsBetween(*upto)) == 0)

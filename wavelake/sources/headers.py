@@ -98,10 +98,11 @@ def read_graymap(content: Column) -> Column:
     text = F.decode(content, "ISO-8859-1")
     pattern = r"(?s)^P5(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s"
     head = F.length(F.regexp_extract(text, pattern, 0))
-    w, h, top = (F.regexp_extract(text, pattern, i).cast("long") for i in (1, 2, 3))
+    w, h, top = (F.regexp_extract(text, pattern, i).try_cast("long") for i in (1, 2, 3))
     size = F.when(top > 255, F.lit(2)).otherwise(F.lit(1))
     value = lambda i: F.conv(F.hex(F.substring(content, (head + i * size + 1).cast("int"), size)), 16, 10).cast("long")
-    return F.transform(F.sequence(F.lit(0).cast("long"), w * h - 1), lambda i: F.struct(((i - i % w) / w).cast("long").alias("y"), (i % w).alias("x"), value(i).alias("v")))
+    held = (w > 0) & (h > 0) & (F.octet_length(content) >= head + w * h * size)  # else null
+    return F.when(held, F.transform(F.sequence(F.lit(0).cast("long"), w * h - 1), lambda i: F.struct(((i - i % w) / w).cast("long").alias("y"), (i % w).alias("x"), value(i).alias("v"))))
 
 
 def raw_plane(rows: Column, prec: int) -> Column:
@@ -119,4 +120,4 @@ def read_raw(content: Column, w: int, prec: int, signed: bool) -> Column:
         v = number(content, i * 2, 1) + 256 * number(content, i * 2 + 1, 1)
         return F.when(v >= 1 << prec - 1, v - (1 << prec)).otherwise(v) if signed else v
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.struct(((i - i % w) / w).cast("long").alias("y"), (i % w).alias("x"), value(i).alias("v")))
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.struct(((i - i % w) / w).cast("long").alias("y"), (i % w).alias("x"), value(i).alias("v"))))

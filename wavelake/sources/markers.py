@@ -155,7 +155,7 @@ def pclr(content: Column, b: Column) -> Column:
         p = at + 3 + cols + entry * width + before(c)
         return F.struct(entry.alias("entry"), c.alias("col"), F.when(F.get(size, c.cast("int")) == 2, number(content, p, 2)).otherwise(number(content, p, 1)).alias("value"))
 
-    return F.transform(F.sequence(F.lit(0).cast("long"), n * cols - 1), cell)
+    return F.when(n * cols > 0, F.transform(F.sequence(F.lit(0).cast("long"), n * cols - 1), cell))
 
 
 def cmap(content: Column, b: Column) -> Column:

@@ -1,6 +1,7 @@
 """Portable maps, PGX and raw planes as binary columns, written and read by column expressions.
 
-A reader gives array<struct<c, y, x, v>> of all samples: component, row, column, value.
+A reader gives array<struct<c, y, x, v>> of all samples: component, row, column, value; null for content that is cut, has no
+samples or is of another kind. These are for small images as columns; raster_source reads files line by line.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ def _digits(v: Column, size: Column) -> Column:
 
 
 def _placed(n: Column, w: Column, comps: Column, value) -> Column:
-    """Samples of interleaved values: value(i) of the i-th."""
+    """Samples of interleaved values: value(i) of the i-th; null without any."""
     pixel = lambda i: long((i - i % comps) / comps)
-    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct((i % comps).alias("c"), long((pixel(i) - pixel(i) % w) / w).alias("y"), (pixel(i) % w).alias("x"), value(i).alias("v")))
+    return F.when((n > 0) & (w > 0), F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct((i % comps).alias("c"), long((pixel(i) - pixel(i) % w) / w).alias("y"), (pixel(i) % w).alias("x"), value(i).alias("v"))))
 
 
 def pixmap(samples: Column, w: Column, h: Column, top: Column, comps: int, plain: bool) -> Column:
@@ -42,13 +43,15 @@ def read_pixmap(content: Column) -> Column:
     pattern = rf"(?s)\AP([2356]){_SPACE}(\d+){_SPACE}(\d+){_SPACE}(\d+)\s"
     head = F.length(F.regexp_extract(text, pattern, 0))
     kind = F.regexp_extract(text, pattern, 1)
-    w, h, top = (F.regexp_extract(text, pattern, i).cast("long") for i in (2, 3, 4))
+    w, h, top = (F.regexp_extract(text, pattern, i).try_cast("long") for i in (2, 3, 4))
     comps = F.when(kind.isin("3", "6"), F.lit(3)).otherwise(F.lit(1)).cast("long")
     size = F.when(top > 255, F.lit(2)).otherwise(F.lit(1)).cast("long")
     words = F.regexp_extract_all(F.substring(text, head + 1, F.length(text)), F.lit(r"(\d+)"), F.lit(1))
     binary = lambda i: F.conv(F.hex(F.substring(content, (head + i * size + 1).cast("int"), size.cast("int"))), 16, 10).cast("long")
     n = w * h * comps
-    return F.when(kind.isin("2", "3"), _placed(n, w, comps, lambda i: F.get(words, i.cast("int")).cast("long"))).when(kind != "", _placed(n, w, comps, binary))
+    plain = kind.isin("2", "3")
+    held = F.when(plain, F.size(words) >= n).otherwise(F.octet_length(content) >= head + n * size)
+    return F.when(plain & held, _placed(n, w, comps, lambda i: F.get(words, i.cast("int")).cast("long"))).when((kind != "") & held, _placed(n, w, comps, binary))
 
 
 def pgx(samples: Column, w: Column, h: Column, prec: Column, signed: Column) -> Column:
@@ -64,7 +67,7 @@ def read_pgx(content: Column) -> Column:
     pattern = r"(?s)\APG\s+(ML|LM)\s+([+-]?)\s*(\d+)\s+(\d+)\s+(\d+)\s*?\n"
     head = F.length(F.regexp_extract(text, pattern, 0))
     low_first, signed = F.regexp_extract(text, pattern, 1) == "LM", F.regexp_extract(text, pattern, 2) == "-"
-    prec, w, h = (F.regexp_extract(text, pattern, i).cast("long") for i in (3, 4, 5))
+    prec, w, h = (F.regexp_extract(text, pattern, i).try_cast("long") for i in (3, 4, 5))
     size = F.when(prec <= 8, F.lit(1)).when(prec <= 16, F.lit(2)).otherwise(F.lit(4)).cast("long")
 
     def value(i: Column) -> Column:
@@ -73,7 +76,7 @@ def read_pgx(content: Column) -> Column:
         v = F.conv(F.when(low_first, turned).otherwise(digits), 16, 10).cast("long")
         return F.when(signed & (v >= shift_left(F.lit(1), size * 8 - 1)), v - shift_left(F.lit(1), size * 8)).otherwise(v)
 
-    return F.when(head > 0, _placed(w * h, w, F.lit(1).cast("long"), value))
+    return F.when((head > 0) & (F.octet_length(content) >= head + w * h * size), _placed(w * h, w, F.lit(1).cast("long"), value))
 
 
 def raw_samples(samples: Column, prec: Column, low_first: bool) -> Column:
