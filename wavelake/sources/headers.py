@@ -18,7 +18,7 @@ SIZ, COD, QCD = "FF51", "FF52", "FF5C"
 # --- bytes --------------------------------------------------------------------------------------------------------
 
 
-def number(content: Column, at: Column | int, size: int) -> Column:
+def number(content: Column, at: Column | int, size: int | Column) -> Column:
     """The unsigned number of `size` bytes at 0-based offset `at`."""
     return F.conv(F.hex(F.substring(content, F.lit(at) + 1 if isinstance(at, int) else (at + 1).cast("int"), F.lit(size))), 16, 10).cast("long")
 

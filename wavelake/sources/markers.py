@@ -1,6 +1,7 @@
 """Fields of marker segments and boxes as binary column expressions, and the segments written from columns.
 
-Offsets are 0-based; a segment is the struct of headers.segments() or headers.boxes(). Component numbers take one byte.
+Offsets are 0-based; a segment is the struct of headers.segments() or headers.boxes(). Component numbers take one byte, or as many as a reader is
+told (checks.component_bytes()).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def of_type(boxes: Column, kind: str) -> Column:
     return F.get(F.filter(boxes, lambda b: b["type"] == kind), F.lit(0))
 
 
-def _list(content: Column, at: Column, n: Column, size: int, make) -> Column:
+def _list(content: Column, at: Column, n: Column, size: int | Column, make) -> Column:
     """make(offset) of each of n records of `size` bytes."""
     return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: make(at + i * size))).otherwise(F.array())
 
@@ -55,9 +56,15 @@ def cod(content: Column, s: Column) -> dict[str, Column]:
     return {"progression": number(content, at + 1, 1), "layers": number(content, at + 2, 2), "mct": number(content, at + 4, 1), **coding_style(content, at + 5, flags % 2 == 1)}
 
 
-def coc(content: Column, s: Column) -> dict[str, Column]:
+def coc(content: Column, s: Column, wide: Column | int = 1) -> dict[str, Column]:
+    """A component's style; wide: bytes of its number, here and below."""
     at = s["off"] + 4
-    return {"compno": number(content, at, 1), **coding_style(content, at + 2, number(content, at + 1, 1) % 2 == 1)}
+    return {"compno": number(content, at, wide), **coding_style(content, at + wide + 1, number(content, at + wide, 1) % 2 == 1)}
+
+
+def qcc(content: Column, s: Column, wide: Column | int = 1) -> dict[str, Column]:
+    at = s["off"] + 4
+    return {"compno": number(content, at, wide), **quantisation(content, at + wide, s["len"] - 2 - wide)}
 
 
 def quantisation(content: Column, at: Column, size: Column) -> dict[str, Column]:
@@ -82,15 +89,17 @@ def shown(steps: Column) -> Column:
     return F.array_join(F.transform(steps, lambda s: F.concat(s["e"].cast("string"), F.lit(":"), s["m"].cast("string"))), ",")
 
 
-def rgn(content: Column, s: Column) -> Column:
-    return F.struct(number(content, s["off"] + 4, 1).alias("compno"), number(content, s["off"] + 6, 1).alias("shift"))
+def rgn(content: Column, s: Column, wide: Column | int = 1) -> Column:
+    at = s["off"] + 4
+    return F.struct(number(content, at, wide).alias("compno"), number(content, at + wide + 1, 1).alias("shift"))
 
 
-def poc(content: Column, s: Column) -> Column:
+def poc(content: Column, s: Column, wide: Column | int = 1) -> Column:
     """array of progression changes of a segment."""
-    n = long((s["len"] - 2) / 7)
-    field = lambda p, k, size: number(content, p + k, size)
-    return _list(content, s["off"] + 4, n, 7, lambda p: F.struct(field(p, 0, 1).alias("r0"), field(p, 1, 1).alias("c0"), field(p, 2, 2).alias("l1"), field(p, 4, 1).alias("r1"), field(p, 5, 1).alias("c1"), field(p, 6, 1).alias("progression")))
+    size = 5 + 2 * wide
+    n = long((s["len"] - 2 - (s["len"] - 2) % size) / size)
+    field = lambda p, k, bytes_: number(content, p + k, bytes_)
+    return _list(content, s["off"] + 4, n, size, lambda p: F.struct(field(p, 0, 1).alias("r0"), field(p, 1, wide).alias("c0"), field(p, 1 + wide, 2).alias("l1"), field(p, 3 + wide, 1).alias("r1"), field(p, 4 + wide, wide).alias("c1"), field(p, 4 + 2 * wide, 1).alias("progression")))
 
 
 # --- writing ------------------------------------------------------------------------------------------------------
