@@ -36,3 +36,24 @@ def test_graymaps_with_comments_and_two_bytes(spark):
     got = {(r.id, r.y, r.x): r.v for r in df.select("id", "s.*").collect()}
     assert [got[1, y, x] for y in range(2) for x in range(3)] == [0, 1, 2, 253, 254, 255]
     assert (got[2, 0, 0], got[2, 1, 0]) == (258, 65000)
+
+
+def test_tiles_with_state_and_timers(spark, tmp_path):
+    """Complete ones once, however often their parts come; ones that lack a part when their time is over, and no state."""
+    from datetime import datetime, timedelta
+
+    from wavelake.streaming import parts
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    files = [
+        [("a", 0, 1, 2, 5, at(0)), ("a", 1, 0, 3, 7, at(0)), ("b", 5, 0, 1, 9, at(1))],
+        [("a", 0, 0, 2, 6, at(2)), ("a", 0, 0, 2, 6, at(2)), ("b", 5, 0, 1, 9, at(3))],
+        [("c", 0, 0, 1, 1, at(500))],
+        [("c", 1, 0, 1, 1, at(1000))],
+    ]
+    schema = "image_id string, tileno long, part long, parts long, length long, ts timestamp"
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = ingest.run_once(spark, parts.completed(stream, patience_ms=60_000), ["image_id", "tileno", "complete"]).collect()
+    assert sorted((r.image_id, r.tileno, r.parts, r.have, r.bytes, r.complete) for r in got) == [("a", 0, 2, 2, 11, True), ("a", 1, 3, 1, 7, False), ("b", 5, 1, 1, 9, True), ("c", 0, 1, 1, 1, True), ("c", 1, 1, 1, 1, True)]

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as e
+from ..operators import modes
 from ..sources import checks, headers, markers
-from .fixtures import GEOM_SQL
+from ..streaming import ingest, parts
+from . import files
+from .fixtures import GEOM_SQL, table
 from .fixtures import geometry as geom
 from .registry import query
 
@@ -83,3 +86,40 @@ def component_fields(spark, sf_dir):
     """Precision, signedness and sub-sampling of every component of a size segment."""
     h = wide_headers(spark, sf_dir)
     return h.select("image_id", F.explode(checks.components(F.col("content"), F.get("found", F.lit(0)))).alias("c")).select("image_id", "c.*")
+
+
+# --- modes --------------------------------------------------------------------------------------------------------
+
+_CUT = f"""WITH {files._PARTS_SQL}, l AS (SELECT image_id, tileno, part, told, n, 40 + 3 * numcomps + 14 + 3 + 3 * numres - 2 + 4 + sum(n + 14) OVER (PARTITION BY image_id ORDER BY part, tileno) AS ends FROM p JOIN (SELECT image_id, numcomps, numres FROM geom) USING (image_id)),
+c AS (SELECT *, max(ends) OVER (PARTITION BY image_id) + 2 - (image_id % 9) * 4 AS size FROM l), u AS (SELECT image_id, tileno, part, ends > size AS corrupted FROM c WHERE ends - n - 14 + 12 <= size)"""
+
+
+def _with_errors(spark, sf_dir) -> DataFrame:
+    return files.truncated_parts(spark, sf_dir).withColumn("error", F.when(F.col("corrupted"), F.concat(F.lit("part "), F.col("part"), F.lit(" is cut"))))
+
+
+@query(f"{_CUT} SELECT image_id, tileno, part, 'part ' || part || ' is cut' AS error FROM u WHERE corrupted QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY tileno, part) = 1")
+def first_part_errors(spark, sf_dir):
+    """The error of the lowest tile and part of each codestream that is cut."""
+    return modes.first_errors(_with_errors(spark, sf_dir), ["image_id"], ["tileno", "part"])
+
+
+@query(f"{_CUT} SELECT image_id, tileno, part FROM u WHERE image_id NOT IN (SELECT image_id FROM u WHERE corrupted)")
+def strict_parts(spark, sf_dir):
+    """Tile-parts as a strict reader gives them."""
+    kept = modes.strict(_with_errors(spark, sf_dir), ["image_id"], "corrupted")
+    return modes.in_mode(kept, modes.FAILFAST, ["image_id", "tileno", "part"]).select("image_id", "tileno", "part")
+
+
+_PARTS_OF = "l_linenumber - 1 < 1 + l_orderkey % 4"
+
+
+@query(f"""SELECT image_id, parts, have, bytes FROM (SELECT l_orderkey AS image_id, 1 + l_orderkey % 4 AS parts, count(*) AS have, sum(length)::BIGINT AS bytes FROM (SELECT l_orderkey, l_linenumber, CAST(max(l_quantity) AS BIGINT) AS length FROM lineitem WHERE {_PARTS_OF} GROUP BY ALL) GROUP BY ALL) WHERE have = parts""")
+def streamed_tiles(spark, sf_dir):
+    """Tiles that a stream of parts completes, with state for each tile: lines of an order are its parts."""
+    source = table(spark, sf_dir, "lineitem")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/lineitem.parque[t]").where(_PARTS_OF)
+    # of lines of one number the largest counts: equal parts are one before they stream
+    rows = stream.select(F.col("l_orderkey").alias("image_id"), F.lit(0).cast("long").alias("tileno"), (F.col("l_linenumber") - 1).alias("part"), (1 + F.col("l_orderkey") % 4).alias("parts"), F.col("l_quantity").cast("long").alias("length"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    done = ingest.run_once(spark, parts.completed(rows), ["image_id", "complete"])
+    return done.where("complete").select("image_id", "parts", "have", "bytes")
