@@ -581,4 +581,4 @@ def option_strings(spark, sf_dir):
     return s.select("image_id", "w", "h", "n", "depth", "signed", F.size("sampling").cast("long").alias("steps"), F.aggregate("sampling", F.lit(0).cast("long"), lambda a, x: a + x["dx"]).alias("across"), F.col("p.w").alias("pw"), F.col("p.h").alias("ph"), "rate")
 
 
-from . import checks, colours, files, layout, parameters, rasterfiles, tiles  # noqa: E402, F401  (they register their queries)
+from . import checks, colours, files, layout, output, parameters, rasterfiles, tiles  # noqa: E402, F401  (they register their queries)
