@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wavelake.llm import decontaminate, langid, simhash
+from wavelake.llm import decontaminate, langid, media, simhash, tokens
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -81,7 +81,7 @@ def test_language_predictions(spark, small):
     names, codes, w, b, weight = model
     got = {r.doc_id: r for r in langid.query(spark, small).collect()}
     mul = lambda v: (v * 2654435761 & 0xFFFFFFFF) >> 21
-    for i, r in list(rows.items())[:60]:
+    for i, r in rows.items():
         raw = (r.text or "").encode()
         plain = [32, *(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in raw), 32]
         padded = [*plain, 32, 32]
@@ -148,3 +148,54 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/some")
     assert out.count() == d.count() and out.agg(F.min("n_tokens")).first()[0] >= 1
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_media_of_all_documents(spark, small):
+    """Every column of op5 from the texts and, for the stored form, from the bytes that its own columns point to."""
+    import hashlib
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    stored = {r.doc_id: bytes(r.content) for r in media.store_texts(docs).collect()}
+    got = {r.doc_id: r for r in media.query(spark, small).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        r, content, raw = got[i], stored[i], (text or "").encode()
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(content), hashlib.sha256(content).hexdigest())
+        frames = [(k.offset + j * k.step, k.length) for k in r.keyframes for j in range(k["count"])]
+        start = content.index(b"mdat") + 4
+        assert content[start:] == padded and frames == [(start + 64 * s, 64) for s in range(0, len(padded) // 64, media.KEYFRAME_EVERY)]
+        assert r.feature.startswith(f"raw/{media.TIMESCALE} {len(padded)} ticks, {len(padded) // 64} samples, {len(frames)} keyframes, first {start}+64") and r.duration_s == len(padded) / media.TIMESCALE
+
+
+def test_token_ids_of_all_documents(spark, small):
+    """Every column of op6 by the tokenizers library, document after document."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    start, want = 0, {}
+    for r in sorted(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()):
+        ids = [*encoder.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want[r.doc_id] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens.query_token_files(spark, small).collect()} == want
+
+
+def test_no_false_findings(spark):
+    """Documents of sf0.01 in which op7 finds an item: the item's words, or most of them in their order, are there."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    split = lambda t: decontaminate.plain_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).array().to_pylist()
+    item = {r.item_id: split(r.text) for r in bench.collect()}
+    text = {r.doc_id: split(r.text or "") for r in docs.collect()}
+    limits = decontaminate.Limits()
+    found = decontaminate.query(spark, sf).collect()
+    assert len(found) > 20
+    for r in found:
+        name = {w: k for k, w in enumerate(dict.fromkeys(item[r.item_id]))}
+        a, b = (np.array([name.get(w, -1) for w in words]) for words in (item[r.item_id], text[r.doc_id]))
+        share = decontaminate.lcs_length(a, b) / len(a)
+        assert share >= limits.lcs or r.answer_found and share >= limits.paraphrase

@@ -267,9 +267,9 @@ CHUNK, SHARD = 1 << 14, 1 << 12  # fingerprints that a task sends at once, and f
 _SENT = pa.schema([("shard", pa.int32()), ("rows", pa.binary()), ("keys", pa.binary()), ("checks", pa.binary())])
 
 
-def _thinned(pair: np.ndarray, dense: int = 4) -> np.ndarray:
-    """Edges (src, dst; src = dst marks a node) with those of dense groups, which have over `dense` for each of their nodes,
-    replaced by a search tree from the group's smallest node and a mark for each node: rare_pairs() finds all pairs of
+def _thinned(pair: np.ndarray, dense: float = 1.5, small: int = 8) -> np.ndarray:
+    """Edges (src, dst; src = dst marks a node) with those of dense groups, which have over `small` nodes and over `dense`
+    edges for each of them, replaced by a search tree from the group's smallest node and a mark for each node: rare_pairs() finds all pairs of
     these. Near copies of one text meet under many keys; sent once for each they would join many times."""
     name, ends = np.unique(pair, return_inverse=True)
     a, b = ends.reshape(-1, 2).T
@@ -280,7 +280,7 @@ def _thinned(pair: np.ndarray, dense: int = 4) -> np.ndarray:
         while (root[root] != root).any():
             root = root[root]
     nodes, edges = np.bincount(root, minlength=len(name)), np.bincount(root[a], minlength=len(name))
-    crowd = (edges > dense * nodes)[root]
+    crowd = ((nodes > small) & (edges > dense * nodes))[root]
     if not crowd.any():
         return pair
     up, far = np.full(len(name), -1), np.flatnonzero(crowd & (root == np.arange(len(name))))
