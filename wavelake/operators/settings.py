@@ -126,18 +126,28 @@ def invert(matrix: list[list[float]]) -> list[list[float]] | None:
     return both[:, n:].tolist()
 
 
+#: Least bytes of a first layer; how far a layer lies above the one before, and what it gets if it does not; bytes of the
+#: end marker, and of a further tile-part's header (fixed values).
+FIRST, APART, ABOVE, END, PART = 30.0, 10.0, 20.0, 2.0, 14.0
+
+
 def layer_budgets(tiles: DataFrame, layers: int, header: int) -> DataFrame:
-    """(image_id, tileno, layno, bytes) of tiles (image_id, tileno, w, h, numcomps, prec, rates array<double>): what each
-    layer may take. A rate of r asks for 1/r of the samples' bytes; the main header is shared out, and each budget lies
-    at least 20 above the one before. An ordered fold over the layers, as each depends on the one before."""
+    """(image_id, tileno, layno, bytes) of tiles (image_id, tileno, w, h, numcomps, prec, rates array<double>, and where they
+    are: dx, dy, the first component's sub-sampling, and parts, the tile's tile-parts): what each layer may take. A rate of
+    r asks for 1/r of the samples' bytes, less its share of the headers of the tile-parts after the first; the main header
+    is shared out, and each budget lies ABOVE the one before if it is not APART from it. An ordered fold over the layers,
+    as each depends on the one before."""
     share = F.lit(float(header)) / F.col("tiles")
-    asked = F.transform("rates", lambda r: F.when(r > 0, F.col("numcomps") * F.col("prec") * F.col("w") * F.col("h") / (r * 8.0)).otherwise(F.lit(0.0)))
+    has = lambda name, default: F.col(name) if name in tiles.columns else F.lit(default)
+    empty = 8.0 * has("dx", 1) * has("dy", 1)
+    strides = (has("parts", 1) - 1) * PART / layers
+    asked = F.transform("rates", lambda r: F.when(r > 0, F.col("numcomps") * F.col("prec") * F.col("w") * F.col("h") / (r * empty) - strides).otherwise(F.lit(0.0)))
 
     def step(acc: Column, x: Column) -> Column:
         k, v = F.size(acc), x["v"]
         last = F.when(k > 0, F.element_at(acc, -1)).otherwise(F.lit(0.0))
-        less = v - share - F.when((k == layers - 1) & (k > 0), F.lit(2.0)).otherwise(F.lit(0.0))
-        least = F.when(k == 0, F.greatest(less, F.lit(30.0))).when(less < last + 10.0, last + 20.0).otherwise(less)
+        less = v - share - F.when((k == layers - 1) & (k > 0), F.lit(END)).otherwise(F.lit(0.0))
+        least = F.when(k == 0, F.greatest(less, F.lit(FIRST))).when(less < last + APART, last + ABOVE).otherwise(less)
         return F.concat(acc, F.array(F.when(v > 0, least).otherwise(v)))
 
     budgets = F.aggregate(F.transform(asked, lambda v: F.struct(v.alias("v"))), F.array().cast("array<double>"), step)

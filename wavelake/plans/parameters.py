@@ -133,14 +133,28 @@ def matrix_inverse(spark, sf_dir):
     return p.select("image_id", "y", "x", *((F.round(r, 2) + F.lit(0.0)).alias(n) for r, n in zip(rows, "abc", strict=True)))
 
 
-@query(f"""WITH {GEOM_SQL}, w AS (SELECT image_id, tileno, layno, (ax1 - ax0) * (ay1 - ay0) * numcomps * prec AS bits, 100.0::DOUBLE / count(*) OVER (PARTITION BY image_id) AS share, [20.0 + image_id % 10, 10.0, (image_id % 3) * 2.5] AS rates, unnest(range(3)) AS layno FROM tiles),
-a AS (SELECT *, CASE WHEN rates[layno + 1] > 0 THEN bits / (CAST(rates[layno + 1] AS DOUBLE) * 8.0) ELSE 0.0 END AS asked FROM (SELECT image_id, tileno, layno, bits, share, rates FROM w)),
+def _budgets_sql(empty: str, strides: str) -> str:
+    return f"""WITH {GEOM_SQL}, w AS (SELECT image_id, tileno, (ax1 - ax0) * (ay1 - ay0) * numcomps * prec AS bits, {empty} AS empty_, {strides} AS strides, 100.0::DOUBLE / count(*) OVER (PARTITION BY image_id) AS share, [20.0 + image_id % 10, 10.0, (image_id % 3) * 2.5] AS rates, unnest(range(3)) AS layno FROM tiles),
+a AS (SELECT *, CASE WHEN rates[layno + 1] > 0 THEN bits / (CAST(rates[layno + 1] AS DOUBLE) * empty_) - strides ELSE 0.0 END AS asked FROM w),
 p AS (SELECT image_id, tileno, share, max(asked) FILTER (layno = 0) AS a0, max(asked) FILTER (layno = 1) AS a1, max(asked) FILTER (layno = 2) AS a2 FROM a GROUP BY ALL),
-f AS (SELECT *, greatest(a0 - share, 30.0) AS b0 FROM p), g AS (SELECT *, CASE WHEN a1 - share < b0 + 10 THEN b0 + 20 ELSE a1 - share END AS b1 FROM f),
+f AS (SELECT *, CASE WHEN a0 > 0 THEN greatest(a0 - share, 30.0) ELSE a0 END AS b0 FROM p), g AS (SELECT *, CASE WHEN a1 <= 0 THEN a1 WHEN a1 - share < b0 + 10 THEN b0 + 20 ELSE a1 - share END AS b1 FROM f),
 h AS (SELECT *, CASE WHEN a2 <= 0 THEN a2 WHEN a2 - share - 2 < b1 + 10 THEN b1 + 20 ELSE a2 - share - 2 END AS b2 FROM g)
-SELECT image_id, tileno, unnest([0, 1, 2])::BIGINT AS layno, round(unnest([b0, b1, b2])::DOUBLE, 6) AS bytes FROM h""".replace("image_id, tileno, layno, (ax1", "image_id, tileno, (ax1"))
+SELECT image_id, tileno, unnest([0, 1, 2])::BIGINT AS layno, round(unnest([b0, b1, b2])::DOUBLE, 6) AS bytes FROM h"""
+
+
+def _rated(spark, sf_dir, *more) -> DataFrame:
+    return geometry.tiles(geom(spark, sf_dir)).select("image_id", "tileno", (F.col("ax1") - F.col("ax0")).alias("w"), (F.col("ay1") - F.col("ay0")).alias("h"), "numcomps", "prec", F.array((20.0 + F.col("image_id") % 10).cast("double"), F.lit(10.0), ((F.col("image_id") % 3) * 2.5).cast("double")).alias("rates"), *more)
+
+
+@query(_budgets_sql("8.0::DOUBLE", "0.0::DOUBLE"))
 def layer_budgets(spark, sf_dir):
-    t = geometry.tiles(geom(spark, sf_dir)).select("image_id", "tileno", (F.col("ax1") - F.col("ax0")).alias("w"), (F.col("ay1") - F.col("ay0")).alias("h"), "numcomps", "prec", F.array((20.0 + F.col("image_id") % 10).cast("double"), F.lit(10.0), ((F.col("image_id") % 3) * 2.5).cast("double")).alias("rates"))
+    return settings.layer_budgets(_rated(spark, sf_dir), 3, 100).withColumn("bytes", F.round("bytes", 6))
+
+
+@query(_budgets_sql("8.0::DOUBLE * dx * dy", "(image_id % 4) * 14.0::DOUBLE / 3"))
+def layer_budgets_of_parts(spark, sf_dir):
+    """Budgets of sub-sampled images whose tiles are divided into one to four tile-parts."""
+    t = _rated(spark, sf_dir, "dx", "dy", (1 + F.col("image_id") % 4).alias("parts"))
     return settings.layer_budgets(t, 3, 100).withColumn("bytes", F.round("bytes", 6))
 
 
