@@ -61,3 +61,13 @@ def test_standard_pixels_of_any_depth(spark):
 def test_pass_lengths(spark):
     df = spark.createDataFrame([([3, 7, 7, 9], [255, 1, 1, 255])], "e array<bigint>, b array<bigint>")
     assert df.select(output.pass_lengths(F.col("e"), F.col("b")).alias("l")).first().l == [2, 5, 0, 1]
+
+
+def test_runs_of_a_hot_key(spark):
+    rows = [(0 if i % 10 else 1, i, bytes([i % 251])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, o long, d binary").repartition(5)
+    got = output.merged_runs(df, ["k"], "o", "d", 64).orderBy("k", "run").collect()
+    for key in (0, 1):
+        mine = [r for r in got if r.k == key]
+        assert b"".join(bytes(r.data) for r in mine) == b"".join(d for k, _, d in rows if k == key)
+        assert [r.off for r in mine] == [sum(len(x.data) for x in mine[:i]) for i in range(len(mine))] and len(mine) == 47

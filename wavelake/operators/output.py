@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import shift_left
@@ -84,6 +84,17 @@ def ordered_sum(rows: DataFrame, keys: list[str], value: str, ordinal: str, widt
     return part.groupBy(*keys).agg(F.collect_list("s").alias("s")).select(*keys, in_turn(F.col("s")).alias("total"))
 
 
+def merged_runs(parts: DataFrame, keys: list[str], ordinal: str, data: str, width: int = 4096) -> DataFrame:
+    """(keys, run, parts, off, data): strings or bytes of `parts` laid together in the order of their ordinals, a row for each
+    `width` ordinals, with its place in the whole. No row and no task holds all of a hot key; laid end to end the runs are
+    its whole."""
+    run = parts.groupBy(*keys, F.floor(F.col(ordinal) / width).alias("run")).agg(F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(data).alias("d")))).alias("p"))
+    run = run.select(*keys, "run", "parts", F.aggregate("p", F.lit("").cast(dict(parts.dtypes)[data]), lambda a, p: F.concat(a, p["d"])).alias("data"))
+    before = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    off = F.coalesce(F.sum(F.octet_length("data").cast("long")).over(before), F.lit(0).cast("long"))
+    return run.select(*keys, "run", "parts", off.alias("off"), "data")
+
+
 def pass_lengths(ends: Column, last_bytes: Column) -> Column:
     """Lengths of coding passes from their ends: an end steps back where the byte before it is FF, and a length runs from the
     end before it, as that one is after its step."""

@@ -123,3 +123,10 @@ def pass_lengths(spark, sf_dir):
     p = p.select("cblk", F.transform("p", lambda r, i: F.aggregate(F.slice(q, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, v: a + v)).alias("ends"), F.transform("p", lambda r: F.when(r["l_partkey"] % 3 == 0, 255).otherwise(0)).alias("last"))
     p = p.select("cblk", F.posexplode(output.pass_lengths(F.col("ends"), F.col("last"))).alias("passno", "len"))
     return p.withColumn("passno", F.col("passno").cast("long"))
+
+
+@query("""WITH r AS (SELECT user_id AS tile, event_id // 512 AS run, count(*) AS parts, string_agg(event_type, '' ORDER BY event_id) AS data FROM events GROUP BY ALL)
+SELECT tile, run, parts, coalesce(sum(length(data)) OVER (PARTITION BY tile ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, data FROM r""")
+def tile_part_runs_merged(spark, sf_dir):
+    """Parts of a tile laid together in runs with their places, whatever the tile's number of parts."""
+    return output.merged_runs(table(spark, sf_dir, "events").withColumnRenamed("user_id", "tile"), ["tile"], "event_id", "event_type", 512)
