@@ -791,8 +791,8 @@ def test_mixed_documents_hold_the_taken_words(spark, docs, odd, none):
 # --- all ----------------------------------------------------------------------------------------------------------
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, small, docs):

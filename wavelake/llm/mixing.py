@@ -18,21 +18,18 @@ of any length is one row, and spans as many blocks as it fills. An empty table g
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import fields_of, materialise, mix64, shuffle_partitions, table, whole_rows
+from .common import Words, fields_of, materialise, mix64, shuffle_partitions, table, whole_rows
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
-WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
 def word_count(text: Column) -> Column:
@@ -221,8 +218,9 @@ def _cut(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
                 runs[-1][1] = j
             else:
                 runs.append([i, j])
-        spans = [m.span() for m in WORD.finditer(t)]
-        out.append("\n".join(t[spans[i][0] : spans[j - 1][1]] for i, j in runs))
+        raw = t.encode()
+        words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=False)  # numbers, no object for each word
+        out.append(b"\n".join(raw[words.starts[i] : words.ends[j - 1]] for i, j in runs).decode())
     return pd.Series(out, dtype=object)
 
 
