@@ -26,31 +26,39 @@ class TileParts(StatefulProcessor):
         self.told = handle.getValueState("told", StructType([StructField("parts", LongType()), StructField("done", LongType())]))
         self.have = handle.getMapState("have", _LONG("part"), _LONG("length"))
 
-    def _out(self, key, parts: int, complete: bool) -> Row:
-        lengths = [r[0] for r in self.have.values()]
+    @staticmethod
+    def _out(key, parts: int, lengths: list[int], complete: bool) -> Row:
         return Row(image_id=key[0], tileno=key[1], parts=parts, have=len(lengths), bytes=sum(lengths), complete=complete)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        parts, done = self.told.get() if self.told.exists() else (0, 0)
-        new = parts == 0
+        known = self.told.get() if self.told.exists() else None
+        parts, done = known or (0, 0)
+        come: dict[int, int] = {}
         for r in rows:
             parts = max(parts, r.parts)
-            if not done:
-                old = self.have.getValue((r.part,))[0] if self.have.containsKey((r.part,)) else 0
-                self.have.updateValue((r.part,), (max(old, r.length),))  # of a part that comes twice the longer
-        if new:
+            come[r.part] = max(come.get(r.part, 0), r.length)  # of a part that comes twice the longer
+        if known is None:
             self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.patience)
-        if not done and sum(1 for _ in self.have.keys()) >= parts:
-            yield self._out(key, parts, True)
-            done = 1
-            self.have.clear()
-        self.told.update((parts, done))
+        if not done:
+            held = {k[0]: v[0] for k, v in self.have.iterator()} if known else {}
+            now = held | {k: max(v, held.get(k, 0)) for k, v in come.items()}
+            if len(now) >= parts:
+                yield self._out(key, parts, list(now.values()), True)
+                done = 1
+                if held:
+                    self.have.clear()
+            else:  # only what is new is written
+                for k, v in come.items():
+                    if held.get(k) != now[k]:
+                        self.have.updateValue((k,), (now[k],))
+        if known != (parts, done):
+            self.told.update((parts, done))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         parts, done = self.told.get() if self.told.exists() else (0, 1)
         if not done:
-            yield self._out(key, parts, False)
-        self.have.clear()
+            yield self._out(key, parts, [v[0] for v in self.have.values()], False)
+            self.have.clear()
         self.told.clear()
 
     def close(self) -> None:
