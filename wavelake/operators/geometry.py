@@ -37,6 +37,12 @@ def resolutions(c: DataFrame) -> DataFrame:
     return r.withColumn("pw", cells("x", "pdx")).withColumn("ph", cells("y", "pdy"))
 
 
+def lower(r: DataFrame) -> DataFrame:
+    """`r` with lw and lh, width and height of the next lower resolution of the same tile and component, in closed form."""
+    size = lambda a: ceil_shift(f"c{a}1", F.col("lv") + 1) - ceil_shift(f"c{a}0", F.col("lv") + 1)
+    return r.withColumns({"lw": size("x"), "lh": size("y")})
+
+
 def bands(r: DataFrame) -> DataFrame:
     """Resolution 0 has the low band 0; the others have 1 (high in x), 2 (high in y) and 3 (both)."""
     b = r.withColumn("bandno", F.explode(F.when(F.col("resno") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(3))))).withColumn("bandno", long("bandno"))
