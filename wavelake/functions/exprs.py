@@ -16,8 +16,7 @@ def long(x) -> Column:
 
 def div(a, b) -> Column:
     """Quotient, truncated toward zero."""
-    a, b = long(a), long(b)
-    return ((a - a % b) / b).cast("long")
+    return F.call_function("div", long(a), long(b))
 
 
 def ceil_div(a, b) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ceil_div, ceil_shift, clamp, div, long, shift_left, shift_right
+from ..functions.exprs import ceil_div, ceil_shift, clamp, div, long, once, shift_left, shift_right
 
 
 def _counted(df: DataFrame, name: str, n) -> DataFrame:
@@ -101,13 +101,15 @@ def in_region(b: DataFrame, x0, y0, x1, y1, margin: int = 2) -> DataFrame:
     """Bands that a region of the image needs: its window in band coordinates, grown by the filter's reach, meets them."""
     n = F.when(F.col("resno") == 0, F.col("numres") - 1).otherwise(F.col("numres") - F.col("resno"))
     high = {"x": F.col("bandno") % 2, "y": div("bandno", F.lit(2))}
-
-    def edge(v, a):
-        v = clamp(ceil_div(v, f"cd{a}"), F.col(f"c{a}0"), F.col(f"c{a}1"))
-        return F.when(n == 0, v).otherwise(ceil_shift(v - F.when(F.col("bandno") > 0, shift_left(F.lit(1), n - 1)).otherwise(F.lit(0)) * high[a], n))
-
-    meets = (edge(x0, "x") - margin < F.col("bx1")) & (edge(x1, "x") + margin > F.col("bx0")) & (edge(y0, "y") - margin < F.col("by1")) & (edge(y1, "y") + margin > F.col("by0"))
-    return b.where("bx1 > bx0 and by1 > by0").where(meets)
+    whole = {"x0": (x0, "x"), "x1": (x1, "x"), "y0": (y0, "y"), "y1": (y1, "y")}
+    # worked out once and in steps: one filter of it all is code that is too long to be compiled
+    inner = {k: clamp(ceil_div(v, f"cd{a}"), F.col(f"c{a}0"), F.col(f"c{a}1")).alias(k) for k, (v, a) in whole.items()}
+    b = once(b.where("bx1 > bx0 and by1 > by0"), "_w", F.struct(n.alias("n"), F.when(F.col("bandno") > 0, shift_left(F.lit(1), n - 1)).otherwise(F.lit(0)).alias("half"), *inner.values()))
+    w = F.col("_w")
+    edges = [F.when(w["n"] == 0, w[k]).otherwise(ceil_shift(w[k] - w["half"] * high[a], w["n"])).alias(k) for k, (_, a) in whole.items()]
+    b = once(b, "_e", F.struct(*edges))
+    meets = (F.col("_e.x0") - margin < F.col("bx1")) & (F.col("_e.x1") + margin > F.col("bx0")) & (F.col("_e.y0") - margin < F.col("by1")) & (F.col("_e.y1") + margin > F.col("by0"))
+    return b.where(meets).drop("_w", "_e")
 
 
 def stitched(t: DataFrame, x0, y0, x1, y1) -> DataFrame:
