@@ -393,7 +393,7 @@ def _order_sql(order: str) -> str:
 
 def _packet_query(order: str):
     def f(spark, sf_dir):
-        return _digest(packets.ordered(packets.packets(_res(spark, sf_dir)), order))
+        return _digest(packets.numbered(_res(spark, sf_dir), order))
 
     f.__name__ = f"packets_{order}"
     return query(_order_sql(order))(f)

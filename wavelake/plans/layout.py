@@ -19,7 +19,7 @@ _LENGTH = "1 + (image_id * 3 + tileno * 5 + compno * 7 + resno * 11 + precno + l
 
 
 def _packets(spark, sf_dir, order: str) -> DataFrame:
-    return packets.ordered(packets.packets(_res(spark, sf_dir)), order).withColumn("length", F.expr(_LENGTH).cast("long"))
+    return packets.numbered(_res(spark, sf_dir), order).withColumn("length", F.expr(_LENGTH).cast("long"))
 
 
 def _packets_sql(order: str) -> str:
