@@ -54,9 +54,8 @@ SELECT image_id, tileno, compno, count(*) FILTER (cut IS NULL OR seq < cut) AS k
 def packets_in_budgets(spark, sf_dir):
     """Packets of each tile up to the first that breaks the budget of the stream or of a component."""
     p = packets.within_budgets(_packets(spark, sf_dir, "lrcp"), F.expr(_STREAM), F.expr(_COMPONENT))
-    whole = p.groupBy("image_id", "tileno").agg(F.bool_and("fits").alias("whole"))
-    kept = p.groupBy("image_id", "tileno", "compno").agg(F.count_if("fits").alias("kept"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("length"))), F.lit(0).cast("long")).alias("bytes"))
-    return kept.join(whole, ["image_id", "tileno"]).select("image_id", "tileno", "compno", "kept", "bytes", "whole")
+    kept = p.groupBy("image_id", "tileno", "compno").agg(F.count_if("fits").alias("kept"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("length"))), F.lit(0).cast("long")).alias("bytes"), F.bool_and("whole").alias("whole"))
+    return kept.select("image_id", "tileno", "compno", "kept", "bytes", "whole")
 
 
 # --- packed headers -----------------------------------------------------------------------------------------------
