@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PERMISSIVE, DROPMALFORMED, FAILFAST = "PERMISSIVE", "DROPMALFORMED", "FAILFAST"
@@ -32,5 +32,6 @@ def in_mode(rows: DataFrame, mode: str, order: list[str], error: str = "error")
 
 def strict(parts: DataFrame, file: list[str], damaged: str) -> DataFrame:
     """Rows of the files none of whose parts is damaged: a strict reader's; a relaxed one keeps all with their mark."""
-    bad = parts.where(damaged).select(*file).distinct()
-    return parts.join(bad, file, "left_anti")
+    bad = F.max(F.coalesce(F.expr(damaged), F.lit(False))).over(Window.partitionBy(*file))
+    no_file = F.greatest(F.lit(False), *(F.col(c).isNull() for c in file))  # a row of no file shares none's damage
+    return parts.withColumn("_bad", bad).where(~F.col("_bad") | no_file).drop("_bad")

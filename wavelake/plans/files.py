@@ -203,14 +203,13 @@ p AS (SELECT *, 1 + (image_id + tileno + part) % 5 AS n, CASE WHEN image_id % 5
 def part_streams(spark, sf_dir) -> DataFrame:
     """(image_id, content): codestreams of all tiles in one to three parts each; in a fifth of the images the number
     of parts is told one too small."""
-    t = geometry.tiles(geom(spark, sf_dir)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _k() % 3)))
+    g = geom(spark, sf_dir)
+    t = geometry.tiles(g.withColumn("h", headers.codestream_header(g))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _k() % 3)))
     data = F.unhex(F.repeat(F.lpad(F.hex((F.col("tileno") * 16 + F.col("part")) % 256), 2, "0"), (1 + (_k() + F.col("tileno") + F.col("part")) % 5).cast("int")))
     t = t.withColumn("piece", markers.tile_part(F.col("tileno"), F.col("part"), 1 + _k() % 3 - F.when(_k() % 5 == 0, 1).otherwise(0), data))
     # all first parts come before all second ones
-    joined = t.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("part", "tileno", "piece"))).alias("p"))
+    out = t.groupBy("image_id").agg(F.first("h").alias("h"), F.sort_array(F.collect_list(F.struct("part", "tileno", "piece"))).alias("p"))
     body = F.aggregate("p", F.unhex(F.lit("")), lambda a, p: F.concat(a, p["piece"]))
-    head = geom(spark, sf_dir).select("image_id", headers.codestream_header(geom(spark, sf_dir)).alias("h"))
-    out = head.join(joined, "image_id")
     return e.once(out, "content", F.concat(F.expr("substring(h, 1, octet_length(h) - 2)"), body, headers.raw(markers.EOC))).select("image_id", "content")
 
 
