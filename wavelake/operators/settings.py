@@ -162,3 +162,9 @@ def override(own: Column, default: Column) -> Column:
 def fits_memory(w: Column, h: Column) -> Column:
     """Whether four bytes for each sample of a plane can be counted in 64 bits."""
     return (h == 0) | (w <= F.call_function("div", F.lit((1 << 62) - 1), F.greatest(h, F.lit(1).cast("long"))))
+
+
+def overridden(levels: dict[str, Column]) -> tuple[Column, Column]:
+    """The value of the first level that has one, and the name of this level; levels go from the narrowest to the widest."""
+    names = [F.when(v.isNotNull(), F.lit(n)) for n, v in levels.items()]
+    return F.coalesce(*levels.values()), F.coalesce(*names)
