@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Images that a task gets at most, about.
+IMAGES = 4096
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,8 +46,10 @@ def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + k % 3).alias("numcomps"), (1 + k % 2).alias("dx"), (1 + F.expr("k div 2") % 2).alias("dy"), (8 + k % 5).alias("prec"),
         (1 + s % 4).alias("numres"), (2 + k % 4).alias("cblkw"), (2 + s % 4).alias("cblkh"), (3 + s % 4).alias("pdx"), (3 + k % 4).alias("pdy"), (1 + s % 3).alias("nlayers"),
     )
-    # an image grows to thousands of rows: images are spread before that, whatever the number of input splits
-    return out.withColumn("reduce", F.col("image_id") % F.col("numres")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    # an image grows to thousands of rows: images are spread before that, whatever the number of input splits, and so that a
+    # task's images do not grow with the table (the count reads footers only)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() // IMAGES)
+    return out.withColumn("reduce", F.col("image_id") % F.col("numres")).repartition(tasks, "image_id")
 
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
