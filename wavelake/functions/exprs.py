@@ -75,3 +75,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """`df` with a column whose value later columns refer to and do not work out again: a large expression that is used
     many times would else be copied into each use."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), whose value is worked out once: what a lambda refers to would else be worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import long, shift_left
+from ..functions.exprs import bound, long, shift_left
 from ..operators.settings import clamp_sample
 from .headers import number
 
@@ -46,12 +46,17 @@ def read_pixmap(content: Column) -> Column:
     w, h, top = (F.regexp_extract(text, pattern, i).try_cast("long") for i in (2, 3, 4))
     comps = F.when(kind.isin("3", "6"), F.lit(3)).otherwise(F.lit(1)).cast("long")
     size = F.when(top > 255, F.lit(2)).otherwise(F.lit(1)).cast("long")
-    words = F.regexp_extract_all(F.substring(text, head + 1, F.length(text)), F.lit(r"(\d+)"), F.lit(1))
-    binary = lambda i: F.conv(F.hex(F.substring(content, (head + i * size + 1).cast("int"), size.cast("int"))), 16, 10).cast("long")
-    n = w * h * comps
     plain = kind.isin("2", "3")
-    held = F.when(plain, F.size(words) >= n).otherwise(F.octet_length(content) >= head + n * size)
-    return F.when(plain & held, _placed(n, w, comps, lambda i: F.get(words, i.cast("int")).cast("long"))).when((kind != "") & held, _placed(n, w, comps, binary))
+    words = F.when(plain, F.regexp_extract_all(F.substring(text, head + 1, F.length(text)), F.lit(r"(\d+)"), F.lit(1)))
+    n = w * h * comps
+
+    def samples(f: Column) -> Column:
+        binary = lambda i: F.conv(F.hex(F.substring(content, (f["head"] + i * f["size"] + 1).cast("int"), f["size"].cast("int"))), 16, 10).cast("long")
+        held = F.when(f["plain"], F.size(f["words"]) >= f["n"]).otherwise(F.octet_length(content) >= f["head"] + f["n"] * f["size"])
+        return F.when(f["plain"] & held, _placed(f["n"], f["w"], f["comps"], lambda i: F.get(f["words"], i.cast("int")).cast("long"))).when((f["kind"] != "") & held, _placed(f["n"], f["w"], f["comps"], binary))
+
+    fields = {"head": head, "kind": kind, "w": w, "n": n, "comps": comps, "size": size, "plain": plain, "words": words}
+    return bound(F.struct(*(v.alias(k) for k, v in fields.items())), samples)
 
 
 def pgx(samples: Column, w: Column, h: Column, prec: Column, signed: Column) -> Column:
@@ -70,13 +75,19 @@ def read_pgx(content: Column) -> Column:
     prec, w, h = (F.regexp_extract(text, pattern, i).try_cast("long") for i in (3, 4, 5))
     size = F.when(prec <= 8, F.lit(1)).when(prec <= 16, F.lit(2)).otherwise(F.lit(4)).cast("long")
 
-    def value(i: Column) -> Column:
-        digits = F.hex(F.substring(content, (head + i * size + 1).cast("int"), size.cast("int")))
-        turned = F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1)))
-        v = F.conv(F.when(low_first, turned).otherwise(digits), 16, 10).cast("long")
-        return F.when(signed & (v >= shift_left(F.lit(1), size * 8 - 1)), v - shift_left(F.lit(1), size * 8)).otherwise(v)
+    def samples(f: Column) -> Column:
+        size = f["size"]
+
+        def value(i: Column) -> Column:
+            digits = F.hex(F.substring(content, (f["head"] + i * size + 1).cast("int"), size.cast("int")))
+            turned = F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1)))
+            v = F.conv(F.when(f["low_first"], turned).otherwise(digits), 16, 10).cast("long")
+            return F.when(f["signed"] & (v >= shift_left(F.lit(1), size * 8 - 1)), v - shift_left(F.lit(1), size * 8)).otherwise(v)
+
+        return F.when((f["head"] > 0) & (F.octet_length(content) >= f["head"] + f["n"] * size), _placed(f["n"], f["w"], F.lit(1).cast("long"), value))
 
-    return F.when((head > 0) & (F.octet_length(content) >= head + w * h * size), _placed(w * h, w, F.lit(1).cast("long"), value))
+    fields = {"head": head, "low_first": low_first, "signed": signed, "w": w, "n": w * h, "size": size}
+    return bound(F.struct(*(v.alias(k) for k, v in fields.items())), samples)
 
 
 def raw_samples(samples: Column, prec: Column, low_first: bool) -> Column:
