@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.exprs import once
+
 _LONG = lambda n: StructType([StructField(n, LongType())])
 
 
@@ -65,12 +67,28 @@ class TileParts(StatefulProcessor):
         pass
 
 
+def _on_disk(spark) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def completed_sums(parts: DataFrame) -> DataFrame:
+    """(image_id, tileno, parts, have, bytes) of the tiles of a stream of parts (as for completed()) all of whose parts have
+    come, in any order and more than once; of a part that comes twice the longer counts. The state is an aggregate's: no
+    tile goes through Python, and none is given or dropped by time. Update or complete mode."""
+    _on_disk(parts.sparkSession)
+    part = F.struct(F.col("part").cast("long").alias("part"), F.col("length").cast("long").alias("length"))
+    seen = parts.groupBy("image_id", "tileno").agg(F.sort_array(F.collect_set(part)).alias("p"), F.max(F.col("parts").cast("long")).alias("parts"))
+    # the last of each number is its longest
+    seen = once(seen, "kept", F.filter("p", lambda p, i: ~F.coalesce(F.get("p", i + 1)["part"] == p["part"], F.lit(False))))
+    total = F.aggregate("kept", F.lit(0).cast("long"), lambda a, p: a + p["length"])
+    return seen.where(F.size("kept") >= F.col("parts")).select("image_id", "tileno", "parts", F.size("kept").cast("long").alias("have"), total.alias("bytes"))
+
+
 def completed(parts: DataFrame, late: str = "10 minutes", patience_ms: int = 3_600_000) -> DataFrame:
     """(image_id, tileno, parts, have, bytes, complete) of a stream of parts (image_id, tileno, part, parts, length, ts): a
     tile when its last part has come, or as it is when the watermark has passed its first part by `patience_ms`. Parts come
     in any order and more than once; a part's number has one byte, so a tile's state is bounded."""
-    spark = parts.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _on_disk(parts.sparkSession)
     kinds = dict(parts.dtypes)
     keyed = parts.select("image_id", "tileno", F.col("part").cast("long").alias("part"), F.col("parts").cast("long").alias("parts"), F.col("length").cast("long").alias("length"), "ts").withWatermark("ts", late)
     out = f"image_id {kinds['image_id']}, tileno {kinds['tileno']}, parts long, have long, bytes long, complete boolean"
