@@ -24,11 +24,15 @@ areas AS (SELECT image_id, error, CASE WHEN error IS NULL THEN CASE WHEN whole T
   CASE WHEN error IS NULL THEN CASE WHEN whole THEN x1 ELSE least(c, x1) END END AS ax1, CASE WHEN error IS NULL THEN CASE WHEN whole THEN y1 ELSE least(d, y1) END END AS ay1 FROM w)"""
 
 
-def _areas(spark, sf_dir) -> DataFrame:
+def _with_areas(spark, sf_dir) -> DataFrame:
     g = geom(spark, sf_dir)
     asked = tuple(F.expr(v).cast("long") for v in _AREA.values())
     a = output.decode_area(asked, tuple(map(F.col, ("x0", "y0", "x1", "y1"))))
-    g = e.once(g, "area", a)
+    return e.once(g, "area", a)
+
+
+def _areas(spark, sf_dir) -> DataFrame:
+    g = _with_areas(spark, sf_dir)
     return g.select("image_id", "area.error", "area.clamped", *(F.col(f"area.{n}").alias(f"a{n}") for n in ("x0", "y0", "x1", "y1")))
 
 
@@ -65,15 +69,15 @@ s AS (SELECT *, unnest(range(o, u)) AS y FROM (SELECT *, unnest(range(l, r)) AS
 SELECT image_id, y, count(*) AS n, sum(({_VALUE}) * (x - ax0 + 1))::BIGINT AS digest FROM s GROUP BY ALL""")
 def stitched_lines(spark, sf_dir):
     """Lines of the asked areas out of tiles, a seventh of which are missing; a digest of each line's values and places."""
-    a = _areas(spark, sf_dir).where("error is null")
-    t = geometry.tiles(geom(spark, sf_dir)).select("image_id", "tileno", F.col("ax0").alias("x0"), F.col("ay0").alias("y0"), F.col("ax1").alias("x1"), F.col("ay1").alias("y1")).where("(image_id + tileno) % 7 <> 0")
-    t = t.join(a.select("image_id", "ax0", "ay0", "ax1", "ay1"), "image_id").where("least(x1, ax1) > greatest(x0, ax0) and least(y1, ay1) > greatest(y0, ay0)")
-    line = lambda y: F.transform(F.sequence(F.col("x0"), F.col("x1") - 1), lambda x: (x * 7 + y * 13 + F.col("tileno") * 31) % 251 - 100)
+    # an image's area goes with its tiles: nothing is joined
+    t = geometry.tiles(_with_areas(spark, sf_dir).where("area.error is null")).where("(image_id + tileno) % 7 <> 0")
+    t = t.select("image_id", "tileno", *(F.col(f"a{n}").alias(n) for n in ("x0", "y0", "x1", "y1")), *(F.col(f"area.{n}").alias(f"a{n}") for n in ("x0", "y0", "x1", "y1"))).where("least(x1, ax1) > greatest(x0, ax0) and least(y1, ay1) > greatest(y0, ay0)")
+    line = lambda y: e.bound(y * 13 + F.col("tileno") * 31, lambda b: F.transform(F.sequence(F.col("x0"), F.col("x1") - 1), lambda x: (x * 7 + b) % 251 - 100))
     t = t.withColumns({"compno": F.lit(0).cast("long"), "vals": F.flatten(F.transform(F.sequence(F.col("y0"), F.col("y1") - 1), line))})
     s = output.stitched(t, hole=-1000)
-    real = F.filter(F.transform("vals", lambda v, i: F.struct(v.alias("v"), (i + 1).cast("long").alias("i"))), lambda p: p["v"] != -1000)
-    s = e.once(s, "real", real)
-    return s.select("image_id", "y", F.size("real").cast("long").alias("n"), F.aggregate("real", F.lit(0).cast("long"), lambda t, p: t + p["v"] * p["i"]).alias("digest"))
+    s = e.once(s, "line", F.col("vals"))
+    placed = F.transform("line", lambda v, i: F.when(v == -1000, F.lit(0).cast("long")).otherwise(v * (i + 1)))
+    return s.select("image_id", "y", F.size(F.filter("line", lambda v: v != -1000)).cast("long").alias("n"), F.aggregate(placed, F.lit(0).cast("long"), lambda t, v: t + v).alias("digest"))
 
 
 # --- standard pixels ----------------------------------------------------------------------------------------------
