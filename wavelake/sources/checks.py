@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ceil_div
+from ..functions.exprs import ceil_div, shift_right
 from .headers import COD, QCD, SIZ, SOC, SOT, number
 
 #: Limits of the format and of readers (fixed values).
@@ -17,8 +17,12 @@ def components(content: Column, s: Column) -> Column:
     """array<struct<compno, prec, signed, dx, dy>> of all components that a size segment has parameters for."""
     n = ((s["len"] - 38 - (s["len"] - 38) % 3) / 3).cast("int")
     at = lambda i: s["off"] + 40 + 3 * i.cast("long")
-    field = lambda i: F.struct(i.cast("long").alias("compno"), (number(content, at(i), 1) % 128 + 1).alias("prec"), (number(content, at(i), 1) >= 128).alias("signed"), number(content, at(i) + 1, 1).alias("dx"), number(content, at(i) + 2, 1).alias("dy"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), field)).otherwise(F.transform(F.array().cast("array<int>"), field))
+    # the three bytes of a component are read once; those that are cut off are null
+    held = lambda i: F.hex(F.substring(content, (at(i) + 1).cast("int"), 3))
+    read = lambda i: F.struct(i.alias("i"), F.conv(F.rpad(held(i), 6, "0"), 16, 10).cast("long").alias("v"), (F.octet_length(content) - at(i)).alias("left"))
+    byte = lambda r, k: F.when(r["left"] > k, shift_right(r["v"], 16 - 8 * k) % 256)
+    field = lambda r: F.struct(r["i"].cast("long").alias("compno"), (byte(r, 0) % 128 + 1).alias("prec"), (byte(r, 0) >= 128).alias("signed"), byte(r, 1).alias("dx"), byte(r, 2).alias("dy"))
+    return F.transform(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), read), field)
 
 
 def component_bytes(content: Column, siz: Column) -> Column:
