@@ -326,6 +326,20 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def common_share(near: np.ndarray, row: np.ndarray, window: np.ndarray, share: tuple[list, list], terms: int) -> np.ndarray:
+    """For each pair of a row of `near` (distinct terms, -1 for none) and a window, in the order of windows: the part of the
+    window's weight that these terms have. A window's weights are laid out by term once for all its rows."""
+    own, part = share
+    out = np.zeros(len(row), np.float32)
+    by_term = np.zeros(terms + 1, np.float32)  # the last is that of -1
+    cut = np.flatnonzero(np.diff(window, prepend=-1))
+    for w, a, z in zip(window[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(row)], strict=False):
+        by_term[own[w]] = part[w]
+        out[a:z] = by_term[near[row[a:z]]].sum(1, dtype=np.float32)
+        by_term[own[w]] = 0
+    return out
+
+
 @dataclass(frozen=True)
 class Limits:
     cosine: float = 0.35
@@ -362,11 +376,9 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
     # an item whose words are all too common for the latent space is looked for by its words alone
     blind = [i for i in range(len(items.words)) if len(items.words[i]) and not (size[of == i] > 0).any()]
     q = q / np.maximum(size, 1e-9)[:, None]
-    plain = np.append(weight, np.float32(0))
+    # terms of each window, and the weight of each as a part of the whole
     own = [np.unique(w) for w in windows]
-    # weight of each term in a window, as a part of the whole: sorted keys of windows and terms
-    cells = np.concatenate([i * len(plain) + w.astype(np.int64) for i, w in enumerate(own)])
-    share = cells, np.concatenate([plain[w] / max(float(plain[w].sum()), 1e-9) for w in own]).astype(np.float32)
+    share = own, [(weight[w] / max(float(weight[w].sum()), 1e-9)).astype(np.float32) for w in own]
     known = docs.sparkSession.sparkContext.broadcast((items.words, of, q, vectors, weight, blind, share, items.runs(limits.lcs)))  # of one slice
 
     def rows(batches):
@@ -382,12 +394,6 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
             norm = np.sqrt((x * x).sum(1))
             live = np.flatnonzero(norm > 1e-6)
 
-            def shares(window: np.ndarray, terms: np.ndarray) -> np.ndarray:
-                cells, part = share
-                key = window[:, None].astype(np.int64) * (len(weight) + 1) + terms
-                at = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
-                return np.where((cells[at] == key) & (terms >= 0), part[at], 0).sum(1, dtype=np.float32)
-
             best: dict[tuple[int, int], tuple] = {}
 
             def check(h: int, i: int, c: float):
@@ -402,14 +408,14 @@ def find(docs: DataFrame, items: Items, limits: Limits) -> DataFrame:
             for lo in range(0, len(live), step):
                 h = live[lo : lo + step]
                 c = (x[h] / norm[h, None]) @ q.T
-                a, b = np.nonzero(c >= limits.cosine)
+                b, a = np.nonzero(np.ascontiguousarray((c >= limits.cosine).T))  # by windows
                 if len(a):
                     pos = first[p.doc[h]][:, None] + p.nth[h][:, None] * HALF + np.arange(2 * HALF)
                     near = np.where(pos < first[p.doc[h] + 1][:, None], seq[np.minimum(pos, len(seq) - 1)], -1)
                     near = np.sort(near, axis=1)
                     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1  # each term once
-                    part = np.concatenate([shares(b[i : i + 50_000], near[a[i : i + 50_000]]) for i in range(0, len(a), 50_000)])
-                    a, b = a[part >= limits.overlap], b[part >= limits.overlap]
+                    enough = common_share(near, a, b, share, len(weight)) >= limits.overlap
+                    a, b = a[enough], b[enough]
                 if len(a):
                     # each candidate item once for a passage
                     key, where = np.unique(h[a] * len(words) + of[b], return_index=True)
