@@ -4,7 +4,7 @@ import time
 
 import numpy as np
 
-from wavelake.llm import decontaminate
+from wavelake.llm import decontaminate, tokens
 
 # --- decontamination ----------------------------------------------------------------------------------------------
 
@@ -32,3 +32,37 @@ def test_common_share_is_a_lookup_by_term():
     assert (got == want).all() and (got > 0).any() and (got == 0).any()
     assert took < searched / 2
     assert len(decontaminate.common_share(near, row[:0], window[:0], (own, part), terms)) == 0
+
+
+# --- tokens -------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_of_late_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 100)
+    enc = tokens.Encoder(tokens.vocabulary_path())
+    encoded, met = enc.encoded, []
+    enc.encoded = lambda pieces: met.append(len(pieces)) or encoded(pieces)
+    letters = "abcdefghij"
+    word = lambda i: "w" + "".join(letters[int(d)] for d in str(i))
+    often = [word(i) for i in range(80)] + ["été", "l'", "0", "7", "..", "ü0"]
+    for k in range(4):
+        texts = [" ".join(often), " ".join(word(1000 + 60 * k + i) for i in range(60)), ""]
+        raw = [t.encode() for t in texts]
+        ids, o = enc.block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), None)
+        assert [ids[i:j].tolist() for i, j in zip(o[:-1], o[1:], strict=True)] == [x.tolist() for x in enc.whole(texts)]
+        assert len(enc.known.names) == 100
+    assert met == [146, 60, 60, 60]
+
+
+def test_plain_pieces_need_no_marks(monkeypatch):
+    """Only what is no plain word goes through the whole tokenizer."""
+    enc = tokens.Encoder(tokens.vocabulary_path())
+    whole, given = enc.whole, []
+    monkeypatch.setattr(enc, "whole", lambda texts: given.extend(texts) or whole(texts))
+    text = "Plain words, 2 signs (of 10)! l'été"
+    ids, _ = enc.block(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), None)
+    assert given == ["l'été"] and ids.tolist() == whole([text])[0].tolist()
+    monkeypatch.setattr(enc, "by_ends", lambda names: None)  # a model whose ids do not tell where words end
+    enc.known = tokens.Pieces.none()
+    again, _ = enc.block(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), None)
+    assert again.tolist() == ids.tolist()

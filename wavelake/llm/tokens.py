@@ -28,6 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ DICTIONARY_BYTES = 64 << 10
 FLAT_TOKENS = 1 << 16
 SAMPLE_TEXT = 32 << 10
 PACK_LEVEL = 9
-CACHED = 120_000
+CACHED = 1 << 18
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = 0, 1, 2, 3, 4
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -53,6 +54,8 @@ _CLASS[128:] = _OTHER
 _CLASS[[0, *range(1, 9), *range(14, 32), 127]] = _OTHER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Pieces that are one word whatever stands beside them: one kind of ASCII characters, no apostrophe.
+_PLAIN = r"\A(?:[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+)\z"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -64,48 +67,116 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 # --- encoding -----------------------------------------------------------------------------------------------------
 
 
+class Pieces:
+    """Distinct pieces of texts (large binary) and the ids of each, one after the other: those of piece i lie at at[i] to
+    at[i + 1]."""
+
+    def __init__(self, names: pa.Array, ids: np.ndarray, at: np.ndarray):
+        self.names, self.ids, self.at = names, ids, at
+
+    @classmethod
+    def of(cls, names: list[bytes], ids: list[np.ndarray]) -> Pieces:
+        at = np.cumsum([0, *map(len, ids)])
+        return cls(pa.array(names, pa.large_binary()), np.concatenate([np.zeros(0, np.uint32), *ids]), at)
+
+    @classmethod
+    def none(cls) -> Pieces:
+        return cls.of([], [])
+
+    def and_these(self, more: Pieces) -> Pieces:
+        return Pieces(pa.concat_arrays([self.names, more.names]), np.append(self.ids, more.ids), np.append(self.at, self.at[-1] + more.at[1:]))
+
+    def take(self, which: np.ndarray) -> Pieces:
+        size = np.diff(self.at)[which]
+        at = np.append(0, np.cumsum(size))
+        ids = self.ids[np.arange(at[-1]) + np.repeat(self.at[which] - at[:-1], size)]
+        return Pieces(self.names.take(pa.array(which)), ids, at)
+
+
 class Encoder:
-    """Encodes blocks of texts; keeps the ids of pieces it has met, up to CACHED."""
+    """Encodes blocks of texts; keeps the ids of pieces it has met, the CACHED latest."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known = Pieces.none()
         mark = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        # a plain piece is one word to the model: nothing to normalise or to split, and its last id says that it ends
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.last[[i for name, i in names.items() if suffix and name.endswith(suffix)]] = True
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece; pieces are encoded many at a time, between marks that no piece contains."""
-        out: list[np.ndarray | None] = [self.known.get(p) for p in pieces]
-        new = [i for i, v in enumerate(out) if v is None]
-        plain = [i for i in new if self.mark is not None and b"0" not in pieces[i]]
-        for i, ids in zip(rest := [i for i in new if self.mark is None or b"0" in pieces[i]], self.whole([pieces[i].decode() for i in rest]), strict=True):
-            out[i] = ids
-        step = 400
-        groups = [plain[k : k + step] for k in range(0, len(plain), step)]
+    def pieces(self, pieces: pa.Array) -> Pieces:
+        """The ids of each piece, in the order of `pieces` (distinct)."""
+        at = pc.index_in(pieces, value_set=self.known.names)
+        fresh = self.encoded(pieces.filter(at.is_null()))
+        both = self.known.and_these(fresh)
+        where = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        where[where < 0] = len(self.known.names) + np.arange(len(fresh.names))
+        # the pieces of this block are the latest: others are kept behind them as far as there is room
+        rest = np.ones(len(both.names), bool)
+        rest[where] = False
+        self.known = both.take(np.append(where, np.flatnonzero(rest))[:CACHED])
+        return both.take(where)
+
+    def encoded(self, pieces: pa.Array) -> Pieces:
+        """Pieces that were not met before, encoded many at a time: plain ones by the words' ends, others between marks
+        that no piece contains."""
+        one = pc.match_substring_regex(pieces.cast(pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False).astype(bool)
+        out = []
+        names = pieces.filter(pa.array(one))
+        found = self.by_ends(names)
+        if found is None:
+            one[:] = False
+        else:
+            out.append(found)
+        raw = pieces.filter(pa.array(~one)).to_pylist()
+        marked = [self.mark is not None and b"0" not in p for p in raw]
+        out.append(self.between([p for p, m in zip(raw, marked, strict=True) if m]))
+        alone = [p for p, m in zip(raw, marked, strict=True) if not m]
+        out.append(Pieces.of(alone, self.whole([p.decode() for p in alone])))
+        found = out[0]
+        for x in out[1:]:
+            found = found.and_these(x)
+        order = pc.index_in(pieces, value_set=found.names).to_numpy(zero_copy_only=False)
+        return found.take(order)
+
+    def by_ends(self, names: pa.Array) -> Pieces | None:
+        """The ids of plain pieces; None if there are not as many ends as pieces."""
+        step = np.append(np.arange(0, len(names), 400), len(names)).astype(np.int32)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(step), names.cast(pa.string())), " ").to_pylist()
+        parts = [np.array(e.ids, np.uint32) for k in range(0, len(lines), 64) for e in self.words.encode_batch_fast(lines[k : k + 64], add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(names) or (ends[-1] if len(ends) else 0) != len(ids):
+            return None
+        return Pieces(names, ids, np.append(0, ends))
+
+    def between(self, pieces: list[bytes], step: int = 400) -> Pieces:
+        """The ids of pieces without a mark, from texts that have a mark between any two."""
+        groups = [pieces[k : k + step] for k in range(0, len(pieces), step)]
+        ids, size = [], []
         for k in range(0, len(groups), 64):
             part = groups[k : k + 64]
-            texts = [b" 0 ".join([pieces[i] for i in g]).decode() for g in part]
-            for g, ids in zip(part, self.whole(texts), strict=True):
-                cut = np.flatnonzero(ids == self.mark)
-                for i, v in zip(g, self.between(ids, cut), strict=True):
-                    out[i] = v
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-        for i in new[:CACHED]:
-            self.known[pieces[i]] = out[i]
-        return out
-
-    @staticmethod
-    def between(ids: np.ndarray, cut: np.ndarray):
-        a = np.append(0, cut + 1).tolist()
-        z = np.append(cut, len(ids)).tolist()
-        return [ids[i:j] for i, j in zip(a, z, strict=True)]
+            for g, v in zip(part, self.whole([b" 0 ".join(g).decode() for g in part]), strict=True):
+                cut = np.flatnonzero(v == self.mark)
+                if len(cut) == len(g) - 1:
+                    ids.append(v[v != self.mark])
+                    size.append(np.diff(cut, prepend=-1, append=len(v)) - 1)
+                else:
+                    ids += (alone := self.whole([p.decode() for p in g]))
+                    size.append(np.fromiter(map(len, alone), np.int64, len(g)))
+        return Pieces(pa.array(pieces, pa.large_binary()), np.concatenate([np.zeros(0, np.uint32), *ids]), np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *size]))))
 
     def block(self, data: np.ndarray, offsets: np.ndarray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a block of texts given as bytes and offsets."""
@@ -133,10 +204,8 @@ class Encoder:
         at[:-1] = np.cumsum(solid)[starts] - 1 if len(starts) else 0
         at[-1] = len(kept)
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(kept)]).dictionary_encode()
-        ids = self.pieces(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
+        pieces = self.pieces(words.dictionary)
+        flat, begin, size = pieces.ids, pieces.at[:-1], np.diff(pieces.at)
         which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
         lens = size[which]
         where = np.cumsum(lens) - lens
