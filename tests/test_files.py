@@ -115,3 +115,19 @@ def test_rasters_without_samples(spark):
     assert [(r.a, r.b, r.g) for r in got] == [(None, None, None)] * len(files)
     r = _one(spark, b"").select(rasters.read_raw_samples(F.col("c"), eight, eight, no, False).alias("a"), headers.read_raw(F.col("c"), 8, 8, False).alias("b")).first()
     assert r.a is None and r.b is None
+
+
+def test_a_header_is_read_in_one_step(spark):
+    from wavelake.sources import transforms
+
+    df = spark.range(1).select(F.array(F.lit(1.5), F.lit(-2.0)).alias("v"), F.expr("array(named_struct('inputs', array(2L, 0L), 'outputs', array(0L, 2L), 'matrix', 7L, 'offsets', 0L, 'reversible', true))").alias("r"))
+    record = lambda i: transforms.record(F.lit(i), 1, F.lit(3), F.col("v"))
+    c = df.select(F.concat(headers.raw("FF4F"), record(7), transforms.collections(F.lit(1), F.col("r")), record(9), headers.raw("FF90")).alias("c")).first().c
+    read = lambda c: _one(spark, c).select(transforms.header_of(F.col("c")).alias("h")).first().h
+    h = read(bytes(c))
+    assert [(m["index"], m["kind"], m["element"], m["values"]) for m in h.records] == [(7, 1, 3, [1.5, -2.0]), (9, 1, 3, [1.5, -2.0])]
+    assert [(g.inputs, g.outputs, g.matrix, g.offsets, g.reversible) for g in h.groups] == [([2, 0], [0, 2], 7, 0, True)]
+    cut = read(bytes(c[:-10]))
+    assert cut.records[0]["index"] == 7 and cut.records[1] is None and len(cut.groups) == 1
+    for none in (b"\xff\x4f\xff\x90", b""):
+        assert read(none).records == [] and read(none).groups is None

@@ -412,11 +412,12 @@ def _products(spark, sf_dir, fixed: bool) -> DataFrame:
     cells = lambda *at: F.array(*(eighth(F.lit(i)) for i in at))
     row = lambda ins, outs, m: F.struct(F.array(*(F.lit(c).cast("long") for c in ins)).alias("inputs"), F.array(*(F.lit(c).cast("long") for c in outs)).alias("outputs"), F.lit(m).cast("long").alias("matrix"), F.lit(0).cast("long").alias("offsets"), F.lit(True).alias("reversible"))
     content = headers.joined(headers.raw(headers.SOC), transforms.record(F.lit(5), transforms.MATRIX, F.lit(2), cells(0, 1, 2, 3)), transforms.record(F.lit(6), transforms.MATRIX, F.lit(3), cells(4)), transforms.collections(F.lit(1), F.array(row((2, 0), (0, 2), 5), row((1,), (1,), 6))), headers.raw(headers.SOT))
-    h = e.once(p.select("image_id", content.alias("made")), "content", F.col("made"))
-    h = e.once(h, "found", headers.segments(F.col("content")))
-    records = h.select("image_id", "content", F.explode(markers.of_code(F.col("found"), markers.MCT)).alias("s")).select("image_id", transforms.record_of(F.col("content"), F.col("s")).alias("m")).select("image_id", F.col("m.index").alias("matrix"), "m.values")
-    groups = h.select("image_id", F.explode(transforms.collections_of(F.col("content"), F.get(markers.of_code(F.col("found"), markers.MCC), F.lit(0)))).alias("g")).select("image_id", "g.inputs", "g.outputs", "g.matrix")
-    rows = groups.join(records, ["image_id", "matrix"]).join(p, "image_id")
+    # a row keeps its planes: each Python step of a task is a process, and joins of its own branches would have them twice
+    h = e.once(p.select("*", content.alias("made")), "content", F.col("made"))
+    h = e.once(h, "header", transforms.header_of(F.col("content")))
+    rows = h.select("image_id", "planes", "header.records", F.explode("header.groups").alias("g"))
+    rows = rows.select("image_id", "planes", "g.inputs", "g.outputs", F.explode(F.filter("records", lambda r: r["index"] == F.col("g.matrix"))).alias("m"))
+    rows = rows.select("*", "m.values")
     chosen = F.transform("inputs", lambda c: F.get("planes", c.cast("int")))
     rows = rows.select("image_id", "outputs", "values", chosen.alias("chosen")).withColumn("i", F.explode(F.sequence(F.lit(0), F.size(F.get("chosen", F.lit(0))) - 1)))
     rows = rows.withColumn("v", F.transform("chosen", lambda c: F.get(c, F.col("i"))))
