@@ -1,10 +1,11 @@
 """What a step costs, counted or set against the plain way: the results must be the same."""
 
+import random
 import time
 
 import numpy as np
 
-from wavelake.llm import decontaminate, tokens
+from wavelake.llm import decontaminate, simhash, tokens
 
 # --- decontamination ----------------------------------------------------------------------------------------------
 
@@ -66,3 +67,36 @@ def test_plain_pieces_need_no_marks(monkeypatch):
     enc.known = tokens.Pieces.none()
     again, _ = enc.block(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), None)
     assert again.tolist() == ids.tolist()
+
+
+# --- near copies --------------------------------------------------------------------------------------------------
+
+
+def test_dense_groups_are_linked_in_rounds(spark, monkeypatch):
+    """Pairs of two halves of a group, whose search tree holds too few links, are joined until the halves are one."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(120), 1):
+            words[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(words)))
+    sets = simhash._shingle_sets(spark.createDataFrame(rows, "id long, text string"), 5)
+    alone = simhash.materialise(sets.selectExpr("id", "id as component", "shingles"), "alone")
+    every = {tuple(r) for r in simhash.rare_pairs(alone, 0.8).collect()}
+    parts = [{tuple(r) for r in simhash.rare_pairs(alone, 0.8, lots=lots).collect()} for lots in simhash.ROUNDS]
+    assert len(every) > 2000 and set.union(*parts) == every and sum(map(len, parts)) == len(every)
+
+    found, rare = [], simhash.rare_pairs
+
+    def counted(crowd, *a, **k):
+        out = rare(crowd, *a, **k)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "rare_pairs", counted)
+    monkeypatch.setattr(simhash, "candidate_edges", lambda distinct, shards: distinct.selectExpr("id as src", "id as dst"))
+    groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.group for r in groups}) == 1 and len(groups) == 120
+    assert sum(found) < len(every) / 4

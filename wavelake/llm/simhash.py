@@ -398,11 +398,16 @@ def _similar_pairs(pairs: DataFrame, similar: float) -> DataFrame:
     return pairs.mapInArrow(rows, "src long, dst long")
 
 
-def rare_pairs(crowd: DataFrame, similar: float, sample: int = 200_000, most: int = 1 << 18) -> DataFrame:
+#: Sixteenths of a crowd's texts whose pairs each round of _groups() looks for.
+ROUNDS = ((0, 1), (1, 4), (4, 16))
+
+
+def rare_pairs(crowd: DataFrame, similar: float, sample: int = 200_000, most: int = 1 << 18, lots: tuple[int, int] = (0, 16)) -> DataFrame:
     """(src, dst) of all pairs of `crowd` (id, component, shingles) of two components that can have a Jaccard similarity
     of `similar` or more, by prefix filter: in any one order of all shingles, the first that both sets have is among the
     first of each. The order has rare shingles first (often: up to `most` frequent ones of `sample` sets), so that what
-    a template's texts share comes last. The order decides the cost, not the pairs."""
+    a template's texts share comes last. The order decides the cost, not the pairs. lots: sixteenths, by hash, that the
+    smaller text of a pair is in."""
     spark = crowd.sparkSession
     part = 2 * similar / (1 + similar)
 
@@ -414,8 +419,8 @@ def rare_pairs(crowd: DataFrame, similar: float, sample: int = 200_000, most: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(flat(batch)[0].astype(np.int64))], names=["shingle"])
 
-    lots = max(1, -(-crowd.count() // sample))
-    some = crowd.where(F.pmod(F.xxhash64("id"), F.lit(lots)) == 0).select("shingles").mapInArrow(members, "shingle long")
+    parts = max(1, -(-crowd.count() // sample))
+    some = crowd.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("shingles").mapInArrow(members, "shingle long")
     often = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(most).toArrow()
     name, many = (np.append(often.column(c).to_numpy(), 0) for c in ("shingle", "count"))
     by = np.argsort(name[:-1])
@@ -440,7 +445,8 @@ def rare_pairs(crowd: DataFrame, similar: float, sample: int = 200_000, most: in
     rows = crowd.select("id", "component", "shingles").mapInArrow(prefixes, "shingle long, id long, component long, size int, nth int, low boolean")
     rows = materialise(rows, "wide-prefixes")
     a, b = (rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "size", "nth", "low"))) for x in "ab")
-    both = a.where("low_a").join(b.hint("merge"), "shingle").where("component_a <> component_b and (size_a < size_b or size_a = size_b and id_a < id_b)")
+    lot = F.pmod(F.xxhash64("id_a", F.lit("lot")), F.lit(16))
+    both = a.where("low_a").where((lot >= lots[0]) & (lot < lots[1])).join(b.hint("merge"), "shingle").where("component_a <> component_b and (size_a < size_b or size_a = size_b and id_a < id_b)")
     both = both.where(F.col("size_a") >= similar * F.col("size_b") - 1e-9)
     # as the first that both have, it leaves enough after it
     both = both.where(F.least(F.col("size_a") - F.col("nth_a"), F.col("size_b") - F.col("nth_b")) >= part / 2 * (F.col("size_a") + F.col("size_b")) - 1e-9)
@@ -482,11 +488,14 @@ def _groups(held: DataFrame, width: int, similar: float) -> DataFrame:
     linked = verified(near)
     of = connected_components(linked).select(F.col("node").alias("id"), "component")
     if not crowd.isEmpty():
-        crowd = sets.join(crowd.hint("merge"), "id").join(of.hint("merge"), "id", "left")
-        crowd = materialise(crowd.select("id", F.coalesce("component", "id").alias("component"), "shingles"), "wide-crowd")
-        more = verified(materialise(rare_pairs(crowd, similar), "wide-rare"))
-        if not more.isEmpty():
-            of = connected_components(linked.union(more)).select(F.col("node").alias("id"), "component")
+        # in rounds, the first of few texts: pairs that its links put in one component are not joined in the next
+        crowd = materialise(sets.join(crowd.hint("merge"), "id"), "wide-crowd")
+        for lots in ROUNDS:
+            now = crowd.join(of.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "shingles")
+            more = verified(materialise(rare_pairs(materialise(now, "wide-round"), similar, lots=lots), "wide-rare"))
+            if not more.isEmpty():
+                linked = linked.union(more)
+                of = connected_components(linked).select(F.col("node").alias("id"), "component")
     known = materialise(distinct.select("id", "words").join(of.hint("merge"), "id", "left").select("words", F.coalesce("component", "id").alias("group")), "wide-known")
     return marked.select("doc_id", "key", "words").join(known.hint("merge"), "words").select("doc_id", "key", "group")
 
